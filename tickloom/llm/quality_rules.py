@@ -46,45 +46,50 @@ RULES = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it, even where a filter is pushed down."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeat_words(words: Column, size: int) -> Column:
+    """How many words lie in windows of ``size`` words that occur at least twice."""
+    windows = F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])))
+
+    def covered(places: Column) -> Column:
+        return F.aggregate(F.transform(places, lambda p, j: F.least(F.lit(size), F.coalesce(F.get(places, j + 1) - p, F.lit(size)))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def places(order: Column) -> Column:
+        same = lambda x, j: F.coalesce(x.h == F.get(order, j - 1).h, F.lit(False)) | F.coalesce(x.h == F.get(order, j + 1).h, F.lit(False))
+        return F.array_sort(F.transform(F.filter(order, same), lambda x: x.i))
+
+    def counted(hashes: Column) -> Column:  # only texts in which some window is repeated need the windows in order
+        order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(order, lambda o: _let(places(o), covered)))
+
+    return F.coalesce(_let(windows, counted), F.lit(0).cast("long"))
+
+
 def measures(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
-    """``docs`` with the counts that the rules use, in one chain of projections over each row.
+    """``docs`` with the counts that the rules use, in projections over each row.
 
     A null text counts as empty: every count is 0. Rows keep their other columns, except that
     columns of the same names as the counts are replaced.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.withColumn("_t", t)
-    out = out.withColumns({
-        "_w": F.array_remove(F.split("_t", r"[\x20\x09-\x0D]+"), ""),
-        "_lines": F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACES, "") != ""),
-        "word_chars": F.char_length(F.translate("_t", SPACES, "")).cast("long"),
-        "n_symbols": (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long"),
-        "n_upper": (F.char_length("_t") - F.char_length(F.regexp_replace("_t", r"\p{Lu}", ""))).cast("long"),
-    })
-    out = out.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter("_w", lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))).cast("long"),
-        "_g": F.when(
-            F.size("_w") >= window,
-            F.transform(F.sequence(F.lit(0), F.size("_w") - window), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(window)])),
-        ).otherwise(F.array().cast("array<bigint>")),
+    stop = sorted(set(STOP_WORDS))
+    words = _let(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))).cast("long").alias("n_stop_words"), _repeat_words(w, window).alias("n_repeat_words")))
+    lines = _let(F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != ""), lambda x: F.struct(
+        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    out = docs.withColumns({
+        "word_chars": F.char_length(F.translate(t, SPACES, "")).cast("long"),
+        "n_symbols": (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "n_upper": (F.char_length(t) - F.char_length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long"),
+        "_words": words,
+        "_lines": lines,
     })
-    # Only texts in which some window is repeated need the positions of those windows.
-    out = out.withColumn("_s", F.when(
-        F.size(F.array_distinct("_g")) < F.size("_g"),
-        F.array_sort(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    out = out.withColumn("_p", F.array_sort(F.transform(
-        F.filter("_s", lambda x, j: (x.h == F.get("_s", j - 1).h) | F.coalesce(x.h == F.get("_s", j + 1).h, F.lit(False))),
-        lambda x: x.i,
-    )))
-    out = out.withColumn("n_repeat_words", F.aggregate(
-        F.transform("_p", lambda p, j: F.least(F.lit(window), F.coalesce(F.get("_p", j + 1) - p, F.lit(window)))),
-        F.lit(0).cast("long"), lambda a, x: a + x,
-    ))
-    return out.drop("_t", "_w", "_lines", "_g", "_s", "_p")
+    fields = {"n_words": "_words", "n_stop_words": "_words", "n_repeat_words": "_words", "n_lines": "_lines", "n_dup_lines": "_lines"}
+    return out.withColumns({k: F.col(f"{v}.{k}") for k, v in fields.items()}).drop("_words", "_lines")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -203,7 +203,7 @@ def archive(pages: DataFrame) -> str:
     spark = pages.sparkSession
     target = shared_path(spark, "warc")
     listed = write_archives(with_types(pages), target)
-    listed.write.parquet(f"{target}-list")
+    listed.write.parquet(f"{target}/_list")
     return target
 
 
