@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, orc_tokens, quality_rules, sharding, warc
+from . import byte_bpe, orc_tokens, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op2_orc_tokens": orc_tokens.op2_orc_tokens,
     "op3_rendezvous": sharding.op3_rendezvous,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_warc": warc.op6_warc,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
