@@ -2,59 +2,99 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, shared_path
+from .common import parts, row_chunks, shared_path, text_buffers
 
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 300_000
-#: White space to Python's split() but not to the tokenizer's patterns.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+CACHE_WORDS = 700_000
+SLICE_BYTES = 8 << 20
 _tokenizers: dict = {}
 
 
 def _tokenizer(path: str):
+    """The library's tokenizer, ids of words seen before, and a special token that may stand between words."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        special = {str(t): i for i, t in tok.get_added_tokens_decoder().items() if t.special}
+        gap = max(special.items(), key=lambda x: x[1], default=None)
+        _tokenizers[path] = (tok, {}, gap)
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The library's ids of every text, concatenated, and how many each text has.
-
-    The vocabulary's patterns never cross white space, so each run of other characters is encoded
-    once by the library and remembered. A text with a character on which the two notions of white
-    space differ goes to the library whole.
+def _learn(words: list[str], tok, known: dict, gap: tuple[str, int] | None) -> None:
+    """Have the library encode ``words``, many in one text with a special token between them."""
+    apart = [w for w in words if gap is None or "<" in w or "|" in w]
+    for w, e in zip(apart, tok.encode_batch_fast(apart, add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, "<u4").tobytes()
+    apart = set(apart)
+    plain = [w for w in words if w not in apart]
+    groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+    for low in range(0, len(groups), 64):
+        some = groups[low : low + 64]
+        for group, e in zip(some, tok.encode_batch_fast([gap[0].join(g) for g in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == gap[1]).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(group, [0, *[x + 1 for x in ends]], [*ends, len(ids)], strict=True):
+                known[w] = raw[4 * a : 4 * b]
+
+
+def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The library's ids of every text, concatenated, and how many each text has; nulls are empty.
+
+    The vocabulary's patterns never cross white space and letters count in lower case, so each
+    lower-case word of a text is encoded once by the library and remembered. That holds for texts
+    of Latin-1 characters, whose composition, case and white space are the same to Arrow and to the
+    library; any other text goes to the library whole.
     """
-    tok, known = _tokenizer(path)
+    tok, known, gap = _tokenizer(path)
     if len(known) > CACHE_WORDS:
         known.clear()
-    lists = [None if ODD_SPACE.search(x) else x.split() for x in texts]
-    new = list({w for ws in lists if ws for w in ws if w not in known})
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    flat = []
-    for text, ws in zip(texts, lists, strict=True):
-        if ws is None:
-            flat.append(np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-        else:
-            flat.append(b"".join(map(known.__getitem__, ws)))
-    return np.frombuffer(b"".join(flat), "<u4"), np.array([len(x) // 4 for x in flat], np.int64)
+    data, offsets = text_buffers(column)
+    odd = (data >= 0xC4) | ((data >= 0x1C) & (data <= 0x1F))
+    sums = np.concatenate([[0], np.cumsum(odd)])
+    whole = np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]])
+    usual = np.ones(len(column), bool)
+    usual[whole] = False
+    texts = pc.if_else(pa.array(usual), pc.fill_null(column, ""), "")
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    counts = np.asarray(lists.offsets)
+    words = lists.values.slice(int(counts[0]), int(counts[-1] - counts[0])).dictionary_encode()
+    counts = counts - counts[0]
+    distinct = words.dictionary.to_pylist()
+    known.setdefault("", b"")
+    _learn([w for w in distinct if w not in known], tok, known, gap)
+    parts = [known[w] for w in distinct]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    at = np.asarray(words.indices)
+    each = sizes[at]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    ids = flat[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+    stops = upto[counts]
+    n = np.diff(stops)
+    if not len(whole):
+        return ids, n
+    pieces = np.split(ids, stops[1:-1])
+    for i in whole.tolist():
+        pieces[i] = np.array(tok.encode(column[i].as_py(), add_special_tokens=False).ids, "<u4")
+        n[i] = len(pieces[i])
+    return np.concatenate(pieces), n
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -62,9 +102,9 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                ids, counts = encode_texts([x or "" for x in part.column(1).to_pylist()], path)
+            for low, high in row_chunks(text_buffers(batch.column(1))[1], SLICE_BYTES):
+                part = batch.slice(low, high - low)
+                ids, counts = encode_texts(part.column(1), path)
                 stops = np.cumsum(counts)
                 if end_id is not None:
                     ids, stops = np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
@@ -109,6 +149,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
 
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("_file")
     rows = read_orc(spark, path).select("doc_id", "ids", part).mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, _file int")
+    rows = rows.repartition(parts(spark), "_file")  # one exchange, which both branches below read
     totals = rows.groupBy("_file").agg(F.sum("n_tokens").alias("n"))
     totals = totals.select("_file", (F.sum("n").over(Window.orderBy("_file")) - F.col("n")).alias("_before"))
     order = Window.partitionBy("_file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
