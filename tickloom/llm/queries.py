@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, orc_tokens, quality_rules, sharding, suffix_dedup, warc
+from . import byte_bpe, orc_tokens, order_minhash, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
+    "op1_order_minhash": order_minhash.op1_order_minhash,
     "op2_orc_tokens": orc_tokens.op2_orc_tokens,
     "op3_rendezvous": sharding.op3_rendezvous,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
