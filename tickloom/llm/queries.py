@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, orc_tokens, order_minhash, quality_rules, sharding, suffix_dedup, warc
+from . import byte_bpe, language_id, orc_tokens, order_minhash, quality_mil, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
     "op2_orc_tokens": orc_tokens.op2_orc_tokens,
     "op3_rendezvous": sharding.op3_rendezvous,
+    "op4_quality_mil": quality_mil.op4_quality_mil,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_warc": warc.op6_warc,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
