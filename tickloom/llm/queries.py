@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, orc_tokens, order_minhash, quality_mil, quality_rules, sharding, suffix_dedup, warc
+from . import byte_bpe, decontaminate, language_id, orc_tokens, order_minhash, quality_mil, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_mil": quality_mil.op4_quality_mil,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_warc": warc.op6_warc,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_quality_rules": quality_rules.op10_quality_rules,
