@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, BYTE_CODES, U64, mix, parts, row_chunks, text_buffers
@@ -111,8 +111,28 @@ def _deal(kind: int, buckets: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int8()), pa.array(found[low : low + 256].astype(np.int32)), pa.array([_pack(*(x[starts[i] : ends[i]] for x in sorted_arrays)) for i in some], pa.binary())], schema=ROW_SCHEMA)
 
 
-def _doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    return (mix(docs.astype(np.int64).view(U64) + BASE) % U64(n)).astype(np.int64)
+def _bucket_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` integers that Spark's hash partitioning puts into ``n`` different partitions, so that buckets lie evenly."""
+    near = spark.range(24 * n).select(F.col("id").cast("int").alias("key"))
+    found = near.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key")).collect()
+    return np.array([r.key for r in found], np.int64)  # fewer than n only if a partition has no key: still a valid deal
+
+
+def _doc_bucket(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[(mix(docs.astype(np.int64).view(U64) + BASE) % U64(len(keys))).astype(np.int64)]
+
+
+def _gram_bucket(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[((names >> U64(16)) % U64(len(keys))).astype(np.int64)]
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[bytes]]]:
+    """The blobs of a partition by kind and bucket."""
+    out: dict[int, dict[int, list[bytes]]] = {}
+    for batch in batches:
+        for kind, bucket, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            out.setdefault(kind, {}).setdefault(bucket, []).append(blob)
+    return out
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -154,7 +174,7 @@ def _text_places(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> Ite
             yield names[at], context, docs[low + doc], before + first
 
 
-def _sample(n_grams: int, n_docs: int):
+def _sample(keys: np.ndarray):
     """Round 1 in the documents: sampled grams, without those that an equal one of the task settles."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -163,12 +183,12 @@ def _sample(n_grams: int, n_docs: int):
         gram, context, doc, at = gram[order], context[order], doc[order], at[order]
         new = _groups(gram, context)
         later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-        yield from _deal(SETTLED, _doc_bucket(doc[later], n_docs), doc[later], at[later].astype("<u4"))
+        yield from _deal(SETTLED, _doc_bucket(doc[later], keys), doc[later], at[later].astype("<u4"))
         gram, context, doc, at = (x[~later] for x in (gram, context, doc, at))
         order = np.lexsort((at, doc))
         gram, context, doc, at = gram[order], context[order], doc[order], at[order]
         # 48 bits of each name move, besides those that the bucket holds; places compare by both names.
-        yield from _deal(OPEN, (gram >> U64(16)) % U64(n_grams), (gram & U64(0xFFFFFFFF)).astype("<u4"), (gram >> U64(48)).astype("<u2"), (context & U64(0xFFFFFFFF)).astype("<u4"), (context >> U64(48)).astype("<u2"), doc.astype("<i8"), at.astype("<u4"))
+        yield from _deal(OPEN, _gram_bucket(gram, keys), (gram & U64(0xFFFFFFFF)).astype("<u4"), (gram >> U64(48)).astype("<u2"), (context & U64(0xFFFFFFFF)).astype("<u4"), (context >> U64(48)).astype("<u2"), doc.astype("<i8"), at.astype("<u4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -186,29 +206,15 @@ def _sample(n_grams: int, n_docs: int):
     return run
 
 
-def _rank_grams(n_docs: int):
+def _rank_grams(keys: np.ndarray):
     """Round 1 over the grams of a partition: unique ones drop out, whole contexts settle, the rest stay open."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
-        for batch in batches:
-            for kind, bucket, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if kind == OPEN:
-                    blobs.append((bucket, blob))
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], schema=ROW_SCHEMA)
-        if not blobs:
-            return
-        low, high, c_low, c_high, doc, at = _gather([b for _, b in blobs], "<u4", "<u2", "<u4", "<u2", "<i8", "<u4")
-        sizes = [int.from_bytes(b[:8], "little") for _, b in blobs]
+    def ranked(blobs: list[bytes]) -> tuple[list[np.ndarray], ...]:
+        low, high, c_low, c_high, doc, at = _gather(blobs, "<u4", "<u2", "<u4", "<u2", "<i8", "<u4")
         gram = low.astype(U64) | high.astype(U64) << U64(32)
-        # the bucket's number goes in the 16 bits above, so that buckets don't mix
-        gram |= np.repeat(np.array([b for b, _ in blobs], U64), sizes) << U64(48)
         context = c_low.astype(U64) | c_high.astype(U64) << U64(32)
-        del low, high, c_low, c_high, blobs
         order = np.lexsort((doc, context, gram))
         gram, context, doc, at = gram[order], context[order], doc[order], at[order]
-        del order
         new = _groups(gram)
         starts = np.flatnonzero(new)
         group = np.cumsum(new) - 1
@@ -216,11 +222,17 @@ def _rank_grams(n_docs: int):
         own = _groups(gram, context)
         first = doc == doc[np.maximum.accumulate(np.where(own, np.arange(len(doc)), 0))]
         several = (np.add.reduceat(own.astype(np.int64), starts) > 1)[group]
-        yield from _deal(SETTLED, _doc_bucket(doc[repeated & ~first], n_docs), doc[repeated & ~first], at[repeated & ~first])
         still = repeated & first & several
-        count = np.bincount(group[still], minlength=len(starts))[group]
-        for kind, some in ((OPEN, still & (count <= HOT)), (OPEN_HOT, still & (count > HOT))):
-            yield from _deal(kind, _doc_bucket(doc[some], n_docs), doc[some], at[some])
+        hot = (np.bincount(group[still], minlength=len(starts)) > HOT)[group]
+        return tuple([doc[some], at[some]] for some in (repeated & ~first, still & ~hot, still & hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = _by_bucket(batches)
+        found = [ranked(x) for x in blobs.get(OPEN, {}).values()]
+        done = [_gather([b for x in blobs.get(SETTLED, {}).values() for b in x], "<i8", "<u4")]
+        for i, kind in enumerate((SETTLED, OPEN, OPEN_HOT)):
+            doc, at = (np.concatenate(x) for x in zip(*[f[i] for f in found], *(done if kind == SETTLED else [[np.zeros(0, "<i8"), np.zeros(0, "<u4")]]), strict=True))
+            yield from _deal(kind, _doc_bucket(doc, keys), doc, at)
 
     return run
 
@@ -238,7 +250,7 @@ def _texts(blobs: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
             at += size
 
 
-def _pack_texts(n_docs: int):
+def _pack_texts(keys: np.ndarray):
     """Texts by bucket of their document, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +259,7 @@ def _pack_texts(n_docs: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             docs = np.asarray(batch.column(0), dtype=np.int64)
-            bucket = _doc_bucket(docs, n_docs)
+            bucket = _doc_bucket(docs, keys)
             order = np.argsort(bucket, kind="stable")
             found, starts = np.unique(bucket[order], return_index=True)
             for b, rows in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
@@ -291,7 +303,7 @@ def _rank_windows(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return later
 
 
-def _open_contexts(n_grams: int):
+def _open_contexts(keys: np.ndarray):
     """The documents' side of round 2: bytes around open grams; settled places become runs."""
 
     def run(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
@@ -334,7 +346,7 @@ def _open_contexts(n_grams: int):
             doc, at, before, after, around = (np.concatenate(x) for x in zip(*some, strict=True))
             gram = gram_names(np.ascontiguousarray(around).reshape(-1))[np.arange(len(around)) * AROUND + SPAN]
             if k == OPEN:
-                out += _deal(CONTEXT, (gram >> U64(16)) % U64(n_grams), doc, at, before, after, around)
+                out += _deal(CONTEXT, _gram_bucket(gram, keys), doc, at, before, after, around)
             else:
                 whole = _whole(before, after)
                 names = _window_names(around, gram)[whole]
@@ -344,23 +356,19 @@ def _open_contexts(n_grams: int):
                 out += _deal(SETTLED, np.full(int(later.sum()), bucket), docs[later], starts[later], starts[later] + np.uint32(LENGTH))
                 _, once = np.unique(np.stack([names, docs.view(U64), starts.astype(U64)])[:, ~later], axis=1, return_index=True) if (~later).any() else (None, np.zeros(0, np.int64))
                 keep = np.flatnonzero(~later)[once]
-                out += _deal(WINDOW, names[keep] % U64(n_grams), names[keep].astype("<u8"), docs[keep], starts[keep])
+                out += _deal(WINDOW, _gram_bucket(names[keep], keys), names[keep].astype("<u8"), docs[keep], starts[keep])
         return pa.Table.from_batches(out, ROW_SCHEMA)
 
     return run
 
 
-def _rank_open(n_docs: int):
+def _rank_open(keys: np.ndarray):
     """Round 2 over the windows of a partition: those that stand in an earlier document, as runs of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, windows = [], []
-        for batch in batches:
-            for kind, bucket, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if kind == SETTLED:
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], schema=ROW_SCHEMA)
-                else:
-                    (contexts if kind == CONTEXT else windows).append(blob)
+        blobs = _by_bucket(batches)
+        contexts, windows = ([b for x in blobs.get(k, {}).values() for b in x] for k in (CONTEXT, WINDOW))
+        done = _gather([b for x in blobs.get(SETTLED, {}).values() for b in x], "<i8", "<u4", "<u4")
         found = []
         if contexts:
             doc, at, before, after, around = _gather(contexts, "<i8", "<u4", "u1", "u1", f"({AROUND},)u1")
@@ -387,10 +395,11 @@ def _rank_open(n_docs: int):
             docs, begin = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((begin, docs))
             docs, begin = docs[order], begin[order]
-            if len(docs):  # neighbouring windows of a document are one run
-                new = _groups(docs) | np.concatenate([[True], begin[1:] > begin[:-1] + LENGTH])
-                last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(docs) - 1]])
-                yield from _deal(SETTLED, _doc_bucket(docs[new], n_docs), docs[new], begin[new].astype("<u4"), (begin[last] + LENGTH).astype("<u4"))
+            # neighbouring windows of a document are one run
+            new = _groups(docs) | np.concatenate([[True], begin[1:] > begin[:-1] + LENGTH])[: len(docs)]
+            last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(docs) - 1]]) if len(docs) else np.zeros(0, np.int64)
+            done = [np.concatenate(x) for x in zip(done, (docs[new], begin[new].astype("<u4"), (begin[last] + LENGTH).astype("<u4")), strict=True)]
+        yield from _deal(SETTLED, _doc_bucket(done[0], keys), *done)
 
     return run
 
@@ -428,13 +437,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     n = parts(spark)
-    n_grams, n_docs = min(8 * n, 1 << 16), 4 * n
+    keys = _bucket_keys(spark, n)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
-    grams = named.mapInArrow(_sample(n_grams, n_docs), ROWS).repartition(n, "bucket").mapInArrow(_rank_grams(n_docs), ROWS)
-    texts = named.mapInArrow(_pack_texts(n_docs), ROWS)
-    windows = texts.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_open_contexts(n_grams), ROWS)
-    runs = windows.repartition(n, "bucket").mapInArrow(_rank_open(n_docs), ROWS)
+    grams = named.mapInArrow(_sample(keys), ROWS).repartition(n, "bucket").mapInArrow(_rank_grams(keys), ROWS)
+    texts = named.mapInArrow(_pack_texts(keys), ROWS)
+    windows = texts.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_open_contexts(keys), ROWS)
+    runs = windows.repartition(n, "bucket").mapInArrow(_rank_open(keys), ROWS)
     cut = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_cut, OUT)
     rest = rows.where(F.col("doc_id").isNull())
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
