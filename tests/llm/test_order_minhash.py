@@ -34,8 +34,8 @@ def test_alignment():
             elif i < len(b):
                 b.pop(i)
         b = np.array(b, "<u4")
-        n = max(len(a), len(b))
-        want = lcs(a.tolist(), b.tolist()) / n if n else 0
+        m = lcs(a.tolist(), b.tolist())
+        want = m / (len(a) + len(b) - m) if len(a) + len(b) else 0
         assert aligned(a, b) == pytest.approx(want if want >= 0.8 else 0)
 
 
@@ -76,7 +76,7 @@ def test_classes(spark):
     got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
     w = {i: words(t) for i, t in zip(ids, texts, strict=True)}
     h = {i: [zlib.crc32(x.encode()) for x in v] for i, v in w.items()}
-    near = [(a, b) for a in ids for b in ids if a < b and w[a] and min(len(w[a]), len(w[b])) >= 0.8 * max(len(w[a]), len(w[b])) and len(set(h[a]) & set(h[b])) >= 0.3 * len(set(h[a])) and lcs(h[a], h[b]) >= 0.8 * max(len(w[a]), len(w[b]))]
+    near = [(a, b) for a in ids for b in ids if a < b and w[a] and min(len(w[a]), len(w[b])) >= 0.8 * max(len(w[a]), len(w[b])) and len(set(h[a]) & set(h[b])) >= 0.3 * len(set(h[a])) and lcs(h[a], h[b]) * 1.8 >= 0.8 * (len(w[a]) + len(w[b]))]
     want = classes(near, ids)
     bad = [(a, b, len(w[a]), len(w[b]), lcs(h[a], h[b])) for a, b in near if got[a] != got[b]]
     assert not bad, [(x, w[x[0]][:12], w[x[1]][:12]) for x in bad[:4]]

@@ -152,8 +152,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     return done.unionByName(long.select("doc_id", "_row").join(put, "_row").select("doc_id", "ids", "decoded"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, and the columns ``more``."""
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -180,8 +180,9 @@ def with_leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS
 
     ``items`` has item_id and text; items of fewer than SEED words or null text are never found. A
     score is 1 for a whole copy. Null and empty texts have no leaks; rows are judged each by
-    itself; all other columns are kept.
+    itself; all other columns are kept, but for one named ``leaks``, which is replaced.
     """
+    docs = docs.drop("leaks")
     out = docs.withColumn("leaks", F.array().cast(LEAK))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("leaks", LEAK)])

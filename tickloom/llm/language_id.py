@@ -161,8 +161,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score.
 
     Every window of the whole text is scored. ``und`` with score 0 where the text is null, has no
-    letter, or no language was learned; rows are judged each by itself.
+    letter, or no language was learned; rows are judged each by itself. Columns of ``docs`` with
+    the names of the new ones are replaced.
     """
+    docs = docs.drop("lang_pred", "score", "_letters")
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     names = docs.columns
@@ -185,6 +187,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def accepted() -> Column:
+    """What a filter keeps of identified rows: a language, with a score of at least LEAST_SCORE."""
     return (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
 
 

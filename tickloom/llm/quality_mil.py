@@ -161,8 +161,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """``docs`` with score, predicted and top_weight (the attention of its weightiest passage).
 
     Every passage of the whole text counts. Null texts count as empty; rows are judged each by
-    itself from their text alone.
+    itself from their text alone. Columns of ``docs`` with the names of the new ones are replaced.
     """
+    docs = docs.drop("score", "predicted", "top_weight")
     names = docs.columns
     schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "top_weight": F.lit(0.0)}).schema
 

@@ -404,15 +404,20 @@ def _rank_open(keys: np.ndarray):
     return run
 
 
-OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept "
 
 
-def _cut(key: tuple, texts: pa.Table, runs: pa.Table) -> pa.Table:
+def _cut(as_text: bool):
+    """The last step: each text without its runs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
+    return lambda key, texts, runs: _cut_bucket(texts, runs, schema, as_text)
+
+
+def _cut_bucket(texts: pa.Table, runs: pa.Table, schema: pa.Schema, as_text: bool) -> pa.Table:
     doc, start, end = _gather(runs.column("blob").to_pylist(), "<i8", "<u4", "<u4")
     order = np.argsort(doc, kind="stable")
     doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
-    out = {k: [] for k in OUT_SCHEMA.names}
+    out = {k: [] for k in schema.names}
     for d, text in _texts(texts.column("blob").to_pylist()):
         mine = slice(*np.searchsorted(doc, [d, d + 1]))
         starts, ends = _runs(np.minimum(start[mine], len(text)), np.minimum(end[mine], len(text)))
@@ -422,18 +427,19 @@ def _cut(key: tuple, texts: pa.Table, runs: pa.Table) -> pa.Table:
         out["doc_id"].append(d)
         out["n_bytes"].append(len(text))
         out["spans"].append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b > a])
-        out["kept"].append((text[keep] if len(starts) else text).tobytes())
-    return pa.Table.from_pydict(out, OUT_SCHEMA)
+        kept = (text[keep] if len(starts) else text).tobytes()
+        out["kept"].append(kept.decode(errors="ignore") if as_text else kept)
+    return pa.Table.from_pydict(out, schema)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: ``text`` without the bytes that an earlier document has.
 
     Removed is each byte of a LENGTH-byte string that also starts in a document with a smaller
     doc_id, judged on the input. Null texts are empty; a row without doc_id keeps its text and
     gives nothing away; rows that share a doc_id are taken to have one text and are each returned.
     ``spans`` are the maximal removed runs of bytes; ``kept`` is the rest, which may start or end
-    inside a character.
+    inside a character; with ``as_text`` it is a string without such parts of characters.
     """
     spark = docs.sparkSession
     n = parts(spark)
@@ -444,10 +450,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = named.mapInArrow(_pack_texts(keys), ROWS)
     windows = texts.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_open_contexts(keys), ROWS)
     runs = windows.repartition(n, "bucket").mapInArrow(_rank_open(keys), ROWS)
-    cut = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_cut, OUT)
+    cut = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_cut(as_text), OUT + ("string" if as_text else "binary"))
     rest = rows.where(F.col("doc_id").isNull())
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("spans"), F.col("text").cast("binary").alias("kept")))
+    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("spans"), F.col("text").cast("string" if as_text else "binary").alias("kept")))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
