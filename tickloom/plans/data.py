@@ -61,7 +61,7 @@ def fingerprint(parts: dict) -> str:
 
 
 def day_range(spark: SparkSession, first: str, last: str) -> DataFrame:
-    return spark.sql("SELECT cast(explode(sequence(date(:a), date(:b), interval 1 day)) AS string) AS day", {"a": first, "b": last})
+    return spark.range(1).select(F.explode(F.expr(f"sequence(date'{first}', date'{last}', interval 1 day)")).alias("day")).select(F.col("day").cast("string"))
 
 
 def complete_days(days: DataFrame, needed: int) -> DataFrame:

@@ -34,7 +34,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): text lines in an order that doesn't depend on splits: byte order of paths, then the line's number."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     return lines.where(F.trim("value") != "")
 

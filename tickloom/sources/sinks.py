@@ -48,4 +48,4 @@ def write_zip(path: str | Path, entries: Iterable[tuple[str, bytes]]) -> dict[st
 
 def write_events(events: DataFrame, path: str) -> None:
     """Decoded events by day and market: one shuffle by market, each market in replay order."""
-    events.repartition("day", "market_id").sortWithinPartitions("market_id", "ts_ms", "rank", "seq").write.mode("overwrite").partitionBy("day").parquet(path)
+    events.repartition("day", "market_id").sortWithinPartitions("day", "market_id", "ts_ms", "rank", "seq").write.mode("overwrite").partitionBy("day").parquet(path)
