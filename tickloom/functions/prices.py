@@ -131,3 +131,19 @@ def queue_probability(ahead: Column, behind: Column, model: str = "power", power
     else:
         raise ValueError(f"unknown queue model {model}")
     return F.when((ahead > 0) & (ahead <= 1e15) & (behind >= 0) & (behind <= 1e15), F.greatest(F.lit(0.0), F.least(F.lit(1.0), out)))
+
+
+def seeded_uniform(seed: Column, draw: Column) -> Column:
+    """The ``draw``-th number (from 1) of the splitmix32 stream of a seed, in [0, 1): each row by itself, without state."""
+    mask = F.lit(0xFFFFFFFF).cast("bigint")
+    low = lambda x: x.bitwiseAND(mask)
+    shift = lambda x, n: F.shiftrightunsigned(x, n)
+
+    def times(x: Column, k: int) -> Column:  # modulo 2^32, in two halves so that no product leaves 63 bits
+        high = low(shift(x, 16) * k)
+        return low(F.shiftleft(high, 16) + low(x.bitwiseAND(F.lit(0xFFFF).cast("bigint")) * k))
+
+    s = low(low(seed.cast("bigint")) + low(draw.cast("bigint") * 0x9E3779B9))
+    z = times(s.bitwiseXOR(shift(s, 16)), 0x21F0AAAD)
+    z = times(z.bitwiseXOR(shift(z, 15)), 0x735A2D97)
+    return low(z.bitwiseXOR(shift(z, 15))) / F.lit(4294967296.0)

@@ -109,3 +109,40 @@ def book_age(takes: DataFrame, bounds_ms: Sequence[int] = (1000, 5000, 30000)) -
         aggs.append(F.coalesce(F.sum(F.when(inside, micro)), F.lit(0).cast("bigint")).alias(name))
         low = high
     return takes.agg(*aggs, F.max("age_ms").alias("max_age_ms"))
+
+
+def rebuild(changes: DataFrame, keys: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
+    """A client's book: the levels after all changes, without those that a later best price contradicts, whatever their age in ms.
+
+    ``changes`` and ``bounds`` have ord, their place in the feed; prices keep their text in ``price``.
+    """
+    by_place = changes.withColumn("ts_ms", F.col("ord"))
+    levels = levels_after(by_place, keys, ["ord"])
+    text = changes.groupBy(*keys, "ladder", "ticks").agg(F.max_by("price", "ord").alias("price"))
+    out = levels.join(text, [*keys, "ladder", "ticks"])
+    return out if bounds is None else prune(out, bounds.withColumn("ts_ms", F.col("ord")), keys)
+
+
+def opening_quotes(tops: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """(key, up_ticks, down_ticks) at each market's first moment with asks on both sides."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    side = lambda s: F.last(F.when(F.col("side") == s, F.col("ask_ticks")), ignorenulls=True).over(w)
+    seen = tops.withColumns({"up_ticks": side("UP"), "down_ticks": side("DOWN")}).where("up_ticks IS NOT NULL AND down_ticks IS NOT NULL")
+    return seen.groupBy(key).agg(F.min_by(F.struct("up_ticks", "down_ticks"), F.struct(*order)).alias("q")).select(key, "q.*")
+
+
+def opening_snapshot(changes: DataFrame, markets: DataFrame, order: Sequence[str]) -> DataFrame:
+    """What stood in each market's book before its opening, as one snapshot at the opening."""
+    before = changes.join(markets.select("market_id", "open_ms"), "market_id").where("ts_ms < open_ms")
+    state = levels_after(before.drop("open_ms"), ["market_id"], order)
+    return state.join(markets.select("market_id", "open_ms"), "market_id").select("market_id", F.col("open_ms").alias("ts_ms"), F.lit(True).alias("snapshot"), "ladder", "ticks", "size")
+
+
+def record_grid(samples: DataFrame, key: str, step_ms: int) -> DataFrame:
+    """Each sample's value at every multiple of ``step_ms`` until the next sample of its key; the last one at its own time."""
+    w = Window.partitionBy(key).orderBy("ts", "ord")
+    nxt = samples.withColumn("_next", F.lead("ts").over(w))
+    first = F.ceil(F.col("ts") / step_ms) * step_ms
+    last = F.floor((F.col("_next") - 1) / step_ms) * step_ms
+    grid = F.when(F.col("_next").isNull(), F.array("ts")).when(last >= first, F.sequence(first, last, F.lit(step_ms).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return nxt.withColumn("at", F.explode(grid)).drop("_next")

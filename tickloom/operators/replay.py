@@ -1,0 +1,146 @@
+"""Markets replayed through a strategy object: one ordered fold for each market, without look-ahead.
+
+What can be said as a set of signals should be (see signals.py): joins and windows scale further.
+This is for strategies that keep state of their own. Limits, fees and settlement are as in the
+set-based operators.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+OUT = "market_id string, kind string, seq bigint, ts_ms bigint, side string, qty double, filled double, quoted_ticks int, avg_ticks double, levels_walked int, cash double, pnl double, reason string"
+OTHER = {"UP": "DOWN", "DOWN": "UP"}
+
+
+class Context:
+    """What a strategy may see: the time, the book as it is, ticks so far, its position. Nothing later, and no outcome."""
+
+    def __init__(self, params: dict):
+        self.p, self.now, self.ticks = params, None, []
+        self.levels = {s: {"asks": {}, "bids": {}} for s in OTHER}
+        self.legs = {s: [0.0, 0.0] for s in OTHER}
+
+    def best(self, side: str) -> int | None:
+        return min(self.levels[side]["asks"], default=None)
+
+    def best_bid(self, side: str) -> int | None:
+        return max(self.levels[side]["bids"], default=None)
+
+    def position(self, side: str) -> float:
+        return self.legs[side][0]
+
+    def history(self, n: int) -> list[float]:
+        return self.ticks[-n:]
+
+
+def apply_change(levels: dict, ladder: str, ticks: int, size: float) -> None:
+    """A level's new absolute size; nothing or less removes it."""
+    if size > 0:
+        levels[ladder][ticks] = size
+    else:
+        levels[ladder].pop(ticks, None)
+
+
+def take(asks: dict[int, float], qty: float, limit: int) -> list[tuple[int, float]]:
+    """(ticks, size) that a buyer takes, best first, up to its limit; the levels shrink."""
+    got = []
+    for t in sorted(asks):
+        if t > limit or qty <= 1e-9:
+            break
+        part = min(asks[t], qty)
+        got.append((t, part))
+        qty -= part
+        asks[t] -= part
+        if asks[t] <= 1e-9:
+            del asks[t]
+    return got
+
+
+def _run(market: dict, events: pd.DataFrame, make: Callable[[], object], params: dict, delay: int) -> list[tuple]:
+    ctx, strategy, jobs, out, seq = Context(params), make(), [], [], 0
+    hook = lambda name, *a: getattr(strategy, name)(ctx, *a) if hasattr(strategy, name) else None
+
+    def drain(upto: int) -> None:
+        nonlocal seq
+        while jobs and jobs[0][0] <= upto:
+            at, order = jobs.pop(0)
+            side, qty, limit = order.get("side"), order.get("size"), order.get("limit_ticks", 10_000)
+            seq += 1
+            if side not in OTHER or not qty or not qty > 0:
+                out.append((market["market_id"], "order", seq, at, side, qty, 0.0, None, None, 0, 0.0, None, "side" if side not in OTHER else "size"))
+                continue
+            asks, quoted = ctx.levels[side]["asks"], ctx.best(side)
+            whole = sum(s for t, s in asks.items() if t <= limit) >= qty - 1e-9
+            got = take(asks, qty, limit) if whole or order.get("tif") != "fok" else []
+            filled, cost = sum(s for _, s in got), sum(t * s for t, s in got)
+            ctx.legs[side][0] += filled
+            ctx.legs[side][1] += cost
+            out.append((market["market_id"], "fill", seq, at, side, qty, filled, quoted, cost / filled if filled else None, len(got), -cost, None, None))
+
+    def ask(ts: int, wanted: object) -> None:
+        for order in wanted if isinstance(wanted, (list, tuple)) else [wanted] if wanted else []:
+            jobs.append((ts + delay, dict(order)))
+        jobs.sort(key=lambda j: j[0])
+
+    close = market["close_ms"]
+    ctx.now = market["open_ms"]
+    ask(ctx.now, hook("on_market_open", {k: v for k, v in market.items() if k != "outcome"}))
+    for e in events.itertuples(index=False):
+        if e.ts_ms > close:
+            break
+        drain(e.ts_ms - 1)  # on the book as it was
+        ctx.now = e.ts_ms
+        if e.kind == "book":
+            if e.snapshot:
+                ctx.levels[e.side][e.ladder] = {}
+            if e.ticks is not None and e.ticks == e.ticks:
+                apply_change(ctx.levels[e.side], e.ladder, int(e.ticks), float(e.size))
+        drain(e.ts_ms)
+        if e.kind == "tick":
+            ctx.ticks.append(e.value)
+        ask(e.ts_ms, hook(f"on_{e.kind}", e))
+    drain(close)
+    ctx.now = close
+    if market["outcome"] is not None:
+        for side, (size, cost) in ctx.legs.items():
+            if size > 1e-9:
+                value = {"TIE": 5_000, side: 10_000}.get(market["outcome"], 0) * size
+                out.append((market["market_id"], "trade", seq, close, side, size, size, None, cost / size, 0, value, value - cost, "settled"))
+        hook("on_settle", market, market["outcome"])
+    return out
+
+
+def replay(events: DataFrame, markets: DataFrame, make: Callable[[], object], params: dict | None = None, fill_delay_ms: int = 0) -> DataFrame:
+    """Fills and trades of a strategy, a fresh one for each market: rows of kind fill, order (refused) and trade.
+
+    ``events`` has market_id, ts_ms, pos, kind (book, tick, trade), side, ladder, ticks, size,
+    snapshot and value; ``markets`` has market_id, open_ms, close_ms and outcome. In each market an
+    order decided at ts runs at ts + ``fill_delay_ms``: before the next event is applied if that is
+    later, else after it; never past the close. Amounts are in ticks. Markets run side by side; a
+    market is one group of a bounded lifetime.
+    """
+    columns = ["pos", "ts_ms", "kind", "side", "ladder", "ticks", "size", "snapshot", "value"]
+    rows = events.select("market_id", *columns)
+    meta = markets.select("market_id", "open_ms", "close_ms", "outcome")
+
+    def fold(key: tuple, pdf: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in OUT.split(", ")]
+        found = []
+        for m in about.to_dict("records"):
+            m = {k: None if not isinstance(v, str) and pd.isna(v) else v for k, v in m.items()}
+            found += _run(m, pdf.sort_values(["ts_ms", "pos"]), make, params or {}, fill_delay_ms)
+        out = pd.DataFrame(found, columns=names)
+        return out.astype({"quoted_ticks": "Int32", "market_id": "str"})
+
+    return rows.groupBy("market_id").cogroup(meta.groupBy("market_id")).applyInPandas(fold, OUT)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row: orders, contracts and pnl in ticks of a replay."""
+    fill, trade = F.col("kind") == "fill", F.col("kind") == "trade"
+    return rows.agg(F.count_if(fill).alias("orders"), F.sum(F.when(fill, F.col("filled"))).alias("contracts"), F.count_if(trade).alias("trades"), F.sum(F.when(trade, F.col("pnl"))).alias("pnl_ticks"))

@@ -225,3 +225,39 @@ def account_series(samples: DataFrame, step_ms: int, key: str = "key") -> DataFr
     for c, name in (("dv", "value"), ("dp", "position_value"), ("do", "open_positions")):
         out = running(out, block, ["ts"], F.col(c), name)
     return out.select("ts", "value", "position_value", "open_positions")
+
+
+def maker_fills(fills: DataFrame, markouts: Sequence[str]) -> DataFrame:
+    """One row over maker fills: how many, their size, median queue ahead at joining, and each markout's mean by size."""
+    made = fills.where((F.col("liquidity") == "maker") & (F.col("filled") > 0))
+    means = [ratio(F.sum(F.col(m) * F.col("filled")), F.sum(F.when(F.col(m).isNotNull(), F.col("filled")))).alias(f"{m}_mean") for m in markouts]
+    return made.agg(F.count(F.lit(1)).alias("fills"), F.sum("filled").alias("size"), *means).crossJoin(at_share(made, "ahead_at_join", {"median_ahead_at_join": 0.5}))  # one row each
+
+
+def orders_panel(orders: DataFrame) -> DataFrame:
+    """(reason, orders): orders by why they were refused; null for those taken."""
+    return orders.groupBy("reason").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def fee_models(markets: DataFrame) -> DataFrame:
+    return markets.groupBy(F.coalesce(F.col("fee.model"), F.lit("unknown")).alias("model")).agg(F.count(F.lit(1)).alias("markets"))
+
+
+def crosscheck(checks: DataFrame, claimed: str, actual: str) -> DataFrame:
+    hit = F.col(claimed).eqNullSafe(F.col(actual))
+    return checks.agg(F.count(F.lit(1)).alias("checks"), F.count_if(hit).alias("matches"), F.count_if(~hit).alias("mismatches"))
+
+
+def marked_extras(trades: DataFrame) -> DataFrame:
+    """One row: pnl realised and merely marked, markets still marked, legs marked at 0, the oldest mark."""
+    marked = F.col("how") == "marked"
+    zero = F.lit(0).cast("bigint")
+    return trades.agg(F.coalesce(F.sum(F.when(~marked, F.col("pnl"))), zero).alias("realised_pnl"), F.coalesce(F.sum(F.when(marked, F.col("pnl"))), zero).alias("marked_pnl"),
+                      F.countDistinct(F.when(marked, F.col("market_id"))).alias("marked_markets"), F.count_if(marked & (F.col("exit_ticks") == 0)).alias("zero_legs"), F.max(F.when(marked, F.col("mark_age_ms"))).alias("max_mark_age_ms"))
+
+
+def over_budget(costs: DataFrame, key: str, order: str, cost: str, limit: float, size: int = 2000) -> DataFrame:
+    """(key, at): where the mean of the last ``size`` costs, once there are so many, first exceeds ``limit``."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - size, 0)
+    seen = costs.withColumns({"_mean": F.avg(cost).over(w), "_n": F.count(cost).over(w)})
+    return seen.where((F.col("_n") == size) & (F.col("_mean") > limit)).groupBy(key).agg(F.min(order).alias("at"))
