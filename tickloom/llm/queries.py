@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_id, orc_tokens, order_minhash, quality_mil, quality_rules, sharding, suffix_dedup, warc
+from . import byte_bpe, decontaminate, language_id, oracles, orc_tokens, order_minhash, quality_mil, quality_rules, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
@@ -17,6 +17,8 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
+    "op3_rendezvous": oracles.rendezvous_sql(),
     "op6_warc": warc.OP6_SQL,
+    "op8_suffix_dedup": oracles.SUFFIX_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }

@@ -53,7 +53,7 @@ def slots(docs: DataFrame, key: str, shard_column: str, tie: Sequence[str] = (),
 
 
 def op3_rendezvous(spark, sf_dir: str, n_shards: int = 24) -> DataFrame:
-    """Equal weights. No SQL oracle: DuckDB has no crc32; a brute-force test stands in."""
+    """Equal weights; one more shard of the same weight for grown_shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
