@@ -86,6 +86,26 @@ def test_fold_equals_the_set_based_walk(spark):
     assert replay.summary(out).first().orders == 30
 
 
+class Timed:
+    def on_market_open(self, ctx, market):
+        ctx.schedule(15, "a")
+        ctx.unschedule(ctx.schedule(16, "b"))
+        try:
+            ctx.schedule(101)
+        except ValueError:
+            ctx.schedule(40, "c")
+
+    def on_timer(self, ctx, tag):
+        return {"side": "UP", "size": 1.0 if tag == "a" else 2.0}
+
+
+def test_timers(spark):
+    rows = [level(1, 1, 5000, 10), tick(2, 10), level(3, 20, 5000, 0), level(4, 21, 6000, 4), tick(5, 90)]
+    out = replay.replay(spark.createDataFrame(rows, EVENTS), spark.createDataFrame([("m", 0, 100, "UP")], MARKETS), Timed)
+    got = [(r.ts_ms, r.filled, r.avg_ticks) for r in out.where("kind = 'fill'").orderBy("seq").collect()]
+    assert got == [(15, 1.0, 5000.0), (40, 2.0, 6000.0)]
+
+
 class Sized:
     def on_tick(self, ctx, e):
         return {"side": "UP", "size": e.value, "limit_ticks": 5000}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 OUT = "market_id string, kind string, seq bigint, ts_ms bigint, side string, qty double, filled double, quoted_ticks int, avg_ticks double, levels_walked int, cash double, pnl double, reason string"
 OTHER = {"UP": "DOWN", "DOWN": "UP"}
+PENDING = 64
 
 
 class Context:
@@ -24,6 +25,22 @@ class Context:
         self.p, self.now, self.ticks = params, None, []
         self.levels = {s: {"asks": {}, "bids": {}} for s in OTHER}
         self.legs = {s: [0.0, 0.0] for s in OTHER}
+        self.timers: list[tuple[int, int, object]] = []
+        self._close, self._made = None, 0
+
+    def schedule(self, at: int, tag: object = None) -> int:
+        """Have on_timer called at a later time up to the close; the timer's number. At most PENDING wait at once."""
+        if not isinstance(at, int) or at <= self.now or at > self._close or len(self.timers) >= PENDING:
+            raise ValueError(f"no timer at {at}")
+        self._made += 1
+        self.timers.append((at, self._made, tag))
+        self.timers.sort(key=lambda t: t[:2])
+        return self._made
+
+    def unschedule(self, number: int) -> bool:
+        kept = [t for t in self.timers if t[1] != number]
+        found, self.timers = len(kept) < len(self.timers), kept
+        return found
 
     def best(self, side: str) -> int | None:
         return min(self.levels[side]["asks"], default=None)
@@ -66,28 +83,40 @@ def _run(market: dict, events: pd.DataFrame, make: Callable[[], object], params:
     hook = lambda name, *a: getattr(strategy, name)(ctx, *a) if hasattr(strategy, name) else None
 
     def drain(upto: int) -> None:
+        """Run due orders and timers in order of time, at one time orders first."""
+        while True:
+            at_order, at_timer = (x[0][0] if x else upto + 1 for x in (jobs, ctx.timers))
+            if min(at_order, at_timer) > upto:
+                return
+            if at_order <= at_timer:
+                execute()
+            else:
+                at, _, tag = ctx.timers.pop(0)
+                ctx.now = at
+                ask(at, hook("on_timer", tag))
+
+    def execute() -> None:
         nonlocal seq
-        while jobs and jobs[0][0] <= upto:
-            at, order = jobs.pop(0)
-            side, qty, limit = order.get("side"), order.get("size"), order.get("limit_ticks", 10_000)
-            seq += 1
-            if side not in OTHER or not qty or not qty > 0:
-                out.append((market["market_id"], "order", seq, at, side, qty, 0.0, None, None, 0, 0.0, None, "side" if side not in OTHER else "size"))
-                continue
-            asks, quoted = ctx.levels[side]["asks"], ctx.best(side)
-            whole = sum(s for t, s in asks.items() if t <= limit) >= qty - 1e-9
-            got = take(asks, qty, limit) if whole or order.get("tif") != "fok" else []
-            filled, cost = sum(s for _, s in got), sum(t * s for t, s in got)
-            ctx.legs[side][0] += filled
-            ctx.legs[side][1] += cost
-            out.append((market["market_id"], "fill", seq, at, side, qty, filled, quoted, cost / filled if filled else None, len(got), -cost, None, None))
+        at, order = jobs.pop(0)
+        side, qty, limit = order.get("side"), order.get("size"), order.get("limit_ticks", 10_000)
+        seq += 1
+        if side not in OTHER or not qty or not qty > 0:
+            out.append((market["market_id"], "order", seq, at, side, qty, 0.0, None, None, 0, 0.0, None, "side" if side not in OTHER else "size"))
+            return
+        asks, quoted = ctx.levels[side]["asks"], ctx.best(side)
+        whole = sum(s for t, s in asks.items() if t <= limit) >= qty - 1e-9
+        got = take(asks, qty, limit) if whole or order.get("tif") != "fok" else []
+        filled, cost = sum(s for _, s in got), sum(t * s for t, s in got)
+        ctx.legs[side][0] += filled
+        ctx.legs[side][1] += cost
+        out.append((market["market_id"], "fill", seq, at, side, qty, filled, quoted, cost / filled if filled else None, len(got), -cost, None, None))
 
     def ask(ts: int, wanted: object) -> None:
         for order in wanted if isinstance(wanted, (list, tuple)) else [wanted] if wanted else []:
             jobs.append((ts + delay, dict(order)))
         jobs.sort(key=lambda j: j[0])
 
-    close = market["close_ms"]
+    close = ctx._close = market["close_ms"]
     ctx.now = market["open_ms"]
     ask(ctx.now, hook("on_market_open", {k: v for k, v in market.items() if k != "outcome"}))
     for e in events.itertuples(index=False):
