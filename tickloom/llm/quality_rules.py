@@ -40,8 +40,8 @@ class Rule:
 RULES = (
     Rule("mean word length", "word_chars", "n_words", low=1500, high=15000),
     Rule("symbols per word", "n_symbols", "n_words", high=300),
-    Rule("stop words per word", "n_stop_words", "n_words", low=10),
-    Rule("repeated lines", "n_dup_lines", "n_lines", high=300),
+    Rule("stop words per word", "if(n_words < 20, n_words, n_stop_words)", "n_words", low=10),  # too few words say nothing
+    Rule("repeated lines", "n_dup_lines", "n_lines", high=500),
     Rule("upper-case letters", "n_upper", "word_chars", high=500),
 )
 
@@ -130,6 +130,6 @@ n AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(l
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND 1000 * word_chars BETWEEN 1500 * n_words AND 15000 * n_words
-    AND 1000 * n_symbols <= 300 * n_words AND 1000 * n_stop_words >= 10 * n_words
-    AND 1000 * n_dup_lines <= 300 * n_lines AND 1000 * n_upper <= 500 * word_chars AS kept FROM n
+    AND 1000 * n_symbols <= 300 * n_words AND (n_words < 20 OR 1000 * n_stop_words >= 10 * n_words)
+    AND 1000 * n_dup_lines <= 500 * n_lines AND 1000 * n_upper <= 500 * word_chars AS kept FROM n
 """
