@@ -17,6 +17,7 @@ from .common import parts, row_chunks, shared_path, text_buffers
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 700_000
 SLICE_BYTES = 8 << 20
+SYMBOLS = ".,;:!?*#$%&+-=()[]{}/"
 _tokenizers: dict = {}
 
 
@@ -36,6 +37,29 @@ def _tokenizer(path: str):
 
 
 def _learn(words: list[str], tok, known: dict, gap: tuple[str, int] | None) -> None:
+    """Remember the ids of ``words`` that are not known.
+
+    Letters and a run of symbols after them are tokens apart to the vocabulary's patterns, so a
+    word with such an end is put together from its two parts.
+    """
+    parted, need = [], {}
+    for w in words:
+        if not w.isalpha():
+            stem = w.rstrip(SYMBOLS)
+            if stem and len(stem) < len(w) and stem.isalpha():
+                end = w[len(stem) :]
+                parted.append((w, stem, end))
+                for x in (stem, end):
+                    if x not in known:
+                        need[x] = None
+                continue
+        need[w] = None
+    _encode_words(list(need), tok, known, gap)
+    for w, stem, end in parted:
+        known[w] = known[stem] + known[end]
+
+
+def _encode_words(words: list[str], tok, known: dict, gap: tuple[str, int] | None) -> None:
     """Have the library encode ``words``, many in one text with a special token between them."""
     apart = [w for w in words if gap is None or "<" in w or "|" in w]
     for w, e in zip(apart, tok.encode_batch_fast(apart, add_special_tokens=False), strict=True):
@@ -65,9 +89,8 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if len(known) > CACHE_WORDS:
         known.clear()
     data, offsets = text_buffers(column)
-    odd = (data >= 0xC4) | ((data >= 0x1C) & (data <= 0x1F))
-    sums = np.concatenate([[0], np.cumsum(odd)])
-    whole = np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]])
+    odd = (data >= 0xC4) | (data - np.uint8(0x1C) < 4)  # past Latin-1, or white space to Arrow alone
+    whole = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
     usual = np.ones(len(column), bool)
     usual[whole] = False
     texts = pc.if_else(pa.array(usual), pc.fill_null(column, ""), "")
@@ -85,7 +108,9 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     at = np.asarray(words.indices)
     each = sizes[at]
     upto = np.concatenate([[0], np.cumsum(each)])
-    ids = flat[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+    place = np.arange(upto[-1])
+    place += np.repeat(starts[at] - upto[:-1], each)
+    ids = flat[place]
     stops = upto[counts]
     n = np.diff(stops)
     if not len(whole):
@@ -115,7 +140,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "do
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
-def write_orc(docs: DataFrame, target: str, tokenizer: str, end_id: int | None = 2, stripe_mb: int = 16) -> None:
+def write_orc(docs: DataFrame, target: str, tokenizer: str, end_id: int | None = 2, stripe_mb: int = 16, compress: str = "LZ4") -> None:
     """Encode ``docs`` and write ``target`` as ORC files that follow one another in doc_id order.
 
     The texts are dealt into doc_id ranges first and encoded in place, so they move once and are
@@ -123,7 +148,7 @@ def write_orc(docs: DataFrame, target: str, tokenizer: str, end_id: int | None =
     """
     ranged = docs.select("doc_id", "text").repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     (encode(ranged, tokenizer, end_id).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(stripe_mb << 20)).option("orc.compress", "ZSTD").orc(target))
+        .option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(stripe_mb << 20)).option("compression", compress.lower()).orc(target))
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
