@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, row_chunks, shared_path, text_buffers
+from .common import parts, row_chunks, setting, shared_path, text_buffers
 
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 700_000
-SLICE_BYTES = 8 << 20
+CACHE_WORDS = 400_000
+SLICE_BYTES = 4 << 20
+#: Texts that go to a Python worker at once, so that a few long ones don't fill it.
+BATCH_ROWS = 2000
 SYMBOLS = ".,;:!?*#$%&+-=()[]{}/"
 _tokenizers: dict = {}
 
@@ -147,8 +149,9 @@ def write_orc(docs: DataFrame, target: str, tokenizer: str, end_id: int | None =
     encoded once. Each stripe has row indexes, and Bloom filters on doc_id.
     """
     ranged = docs.select("doc_id", "text").repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    (encode(ranged, tokenizer, end_id).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(stripe_mb << 20)).option("compression", compress.lower()).orc(target))
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        (encode(ranged, tokenizer, end_id).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
+            .option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(stripe_mb << 20)).option("compression", compress.lower()).orc(target))
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
