@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +48,27 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return byte_bpe.digests(encoded, "ids")
 
 
+#: Texts that go to a Python worker at once, in all stages of a session.
+BATCH_ROWS = 2000
+
+
+def in_small_batches(stage):
+    """``stage`` with batches of BATCH_ROWS texts; the setting stays, since a stage's rows are made after it returns."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("near_dedup", drop_near_duplicates),
-    ("passage_dedup", drop_repeated_passages),
-    ("decontamination", drop_benchmark_leaks),
-    ("byte_bpe", encode_tokens),
+    ("language_id", in_small_batches(identify_language)),
+    ("near_dedup", in_small_batches(drop_near_duplicates)),
+    ("passage_dedup", in_small_batches(drop_repeated_passages)),
+    ("decontamination", in_small_batches(drop_benchmark_leaks)),
+    ("byte_bpe", in_small_batches(encode_tokens)),
 ]
 
 #: Sketches, alignment, a trained network and a tokenizer have no SQL; tests compare with brute force.
