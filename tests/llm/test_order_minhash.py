@@ -39,6 +39,29 @@ def test_alignment():
         assert aligned(a, b) == pytest.approx(want if want >= 0.8 else 0)
 
 
+def test_bitmaps_lose_no_pair(spark):
+    """In a crowded bucket, every pair that aligns and agrees on a finer sketch stays a candidate; pairs far apart go."""
+    from tickloom.llm import order_minhash as op
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 900, 90)
+    rows = []
+    for i in range(160):
+        w = base.copy()
+        for _ in range(int(rng.integers(0, 30))):
+            w[int(rng.integers(0, len(w)))] = rng.integers(0, 900)
+        rows.append((i, w[: len(w) - int(rng.integers(0, 6))].astype("<u4")))
+    words = spark.createDataFrame([(i, w.tobytes()) for i, w in rows], "doc_id long, words binary")
+    cells = spark.createDataFrame([(0, 1, i, len(w), i, len(rows)) for i, w in rows], "t int, s long, doc_id long, n int, root long, size long")
+    fine = {r.doc_id: set(enumerate(r.fine)) for r in op._fine_sketches(words).collect()}
+    got = {(r.a, r.b) for r in op._apart_pairs(cells, words, 0.8).collect()}
+    near = {(i, j) for i, x in rows for j, y in rows if i < j and op.aligned(x, y)}
+    met = {(i, j) for i, x in rows for j, y in rows if i < j and fine[i] & fine[j]}
+    assert near & met <= got <= met
+    assert len(near - met) <= 0.01 * len(near)
+    assert len(got) < len({p for p in met if min(len(rows[p[0]][1]), len(rows[p[1]][1])) >= 0.8 * max(len(rows[p[0]][1]), len(rows[p[1]][1]))})
+
+
 def classes(pairs, ids):
     root = {i: i for i in ids}
 

@@ -26,7 +26,9 @@ WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 4, 0.8
 ROUNDS = 3
 #: A bucket with more texts, some still apart, is dealt anew by finer sketches.
 LARGE = 24
-FINE, FINE_WORDS = 36, 13
+FINE, FINE_WORDS = 42, 10
+#: 64-bit words of the bitmap that bounds from below in how many words two texts differ.
+BITMAP = 8
 MISSING = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -200,44 +202,63 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _fine_sketches(words: DataFrame) -> DataFrame:
-    """(doc_id, fine): FINE sketches of FINE_WORDS labelled words each, for texts that crowd a bucket."""
+    """(doc_id, fine, b0, b1, ...): FINE sketches of FINE_WORDS labelled words each, for texts that crowd a bucket, and a bitmap.
+
+    Each labelled word flips one bit of the bitmap, so the bits in which two bitmaps differ are no
+    more than the words, occurrences counted, that only one of the texts has.
+    """
     powers = np.cumprod(np.full(FINE_WORDS, BASE))
+    bits = [f"b{i}" for i in range(BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column("words"):
+            out, maps = [], np.zeros((batch.num_rows, BITMAP), U64)
+            for row, text in enumerate(batch.column("words")):
                 w = np.sort(np.frombuffer(text.as_py(), "<u4")).astype(U64)
                 new = np.concatenate([[True], w[1:] != w[:-1]])
                 place = np.arange(len(w))
                 value = mix(w * BASE + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(U64))
+                odd = np.bincount((value % U64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+                maps[row] = np.packbits(odd.astype(bool)).view("<u8")
                 sketch = np.zeros(FINE, U64)
                 for t in range(FINE):
                     h = mix(value ^ mix(np.array([t + 1], U64) * BASE))
                     least = np.sort(np.partition(h, FINE_WORDS)[:FINE_WORDS] if len(h) > FINE_WORDS else h)
                     sketch[t] = np.append(least * powers[: len(least)], U64(t)).sum()
                 out.append(sketch.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(BITMAP))], names=["doc_id", "fine", *bits])
+
+    return words.mapInArrow(run, "doc_id bigint, fine array<bigint>, " + ", ".join(f"{b} bigint" for b in bits))
 
-    return words.mapInArrow(run, "doc_id bigint, fine array<bigint>")
+
+def _may_align(least: float) -> Column:
+    """False where the bitmaps of a pair, in ``left`` and ``right``, differ in more bits than texts that align may; true without bitmaps.
+
+    ``least`` of all words of both aligned leaves at most (1 - least) / (1 + least) of na + nb words
+    unaligned, and a word that only one text has is never aligned. So no pair is lost here.
+    """
+    differ = sum((F.bit_count(F.col(f"left.b{i}").bitwiseXOR(F.col(f"right.b{i}"))) for i in range(BITMAP)), F.lit(0))
+    return F.coalesce(differ <= (F.col("na") + F.col("nb")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6), F.lit(True))
 
 
 def _apart_pairs(cells: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of one bucket in different components whose lengths allow ``least``, each pair once.
+    """(a, b): texts of one bucket in different components whose lengths and bitmaps allow ``least``, each pair once.
 
     In a bucket of at most LARGE texts these are all such pairs. The texts of larger buckets are
-    dealt anew by FINE sketches of FINE_WORDS words each: a pair of ``least`` agrees on one with a
-    chance of 0.86, a pair of 0.85 with 0.98, and texts that share one long passage rarely.
+    dealt anew by FINE sketches of FINE_WORDS words each: a pair of 0.8 agrees on one with a
+    chance of 0.99, and texts that share one long passage rarely.
     """
+    bits = [f"b{i}" for i in range(BITMAP)]
     one = cells.where(F.col("size") <= LARGE).select("t", "s", "doc_id", "n", "root")
     crowd = cells.where(F.col("size") > LARGE).select("doc_id", "n", "root").distinct()
     fine = _fine_sketches(words.join(crowd.select("doc_id"), "doc_id", "left_semi"))
-    two = crowd.join(fine, "doc_id").select(F.posexplode("fine").alias("t", "s"), "doc_id", "n", "root")
-    all_cells = written(one.unionByName(two.withColumn("t", -1 - F.col("t"))), "cells")
+    two = crowd.join(fine, "doc_id").select(F.posexplode("fine").alias("t", "s"), "doc_id", "n", "root", *bits)
+    all_cells = written(one.unionByName(two.withColumn("t", -1 - F.col("t")), allowMissingColumns=True), "cells")
     mixed = all_cells.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "s")
-    left = all_cells.join(mixed, ["t", "s"]).select("t", "s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = all_cells.select("t", "s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = left.join(right, (left.t == right.t) & (left.s == right.s) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", least))
+    left = all_cells.join(mixed, ["t", "s"]).select("t", "s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *bits).alias("left")
+    right = all_cells.select("t", "s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *bits).alias("right")
+    same = (F.col("left.t") == F.col("right.t")) & (F.col("left.s") == F.col("right.s"))
+    pairs = left.join(right, same & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", least) & _may_align(least))
     return pairs.select("a", "b").distinct()
 
 
