@@ -54,7 +54,7 @@ def test_bitmaps_lose_no_pair(spark):
     words = spark.createDataFrame([(i, w.tobytes()) for i, w in rows], "doc_id long, words binary")
     cells = spark.createDataFrame([(0, 1, i, len(w), i, len(rows)) for i, w in rows], "t int, s long, doc_id long, n int, root long, size long")
     fine = {r.doc_id: set(enumerate(r.fine)) for r in op._fine_sketches(words).collect()}
-    got = {(r.a, r.b) for r in op._apart_pairs(cells, words, 0.8).collect()}
+    got = {(r.a, r.b) for r in op._apart_pairs(*op._deal_anew(cells, words), 0.8).collect()}
     near = {(i, j) for i, x in rows for j, y in rows if i < j and op.aligned(x, y)}
     met = {(i, j) for i, x in rows for j, y in rows if i < j and fine[i] & fine[j]}
     assert near & met <= got <= met

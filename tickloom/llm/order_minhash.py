@@ -29,6 +29,7 @@ LARGE = 24
 FINE, FINE_WORDS = 42, 10
 #: 64-bit words of the bitmap that bounds from below in how many words two texts differ.
 BITMAP = 8
+BITS = [f"b{i}" for i in range(BITMAP)]
 MISSING = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -166,10 +167,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     themselves; rows that share a doc_id share a class.
 
     Copies fall together first. In ROUNDS rounds, the texts of each bucket of a sketch are aligned
-    with one text of the bucket, another in each round, unless they are linked to it already. Then
-    those of a bucket that are still in different components are aligned with one another. A pair
-    in one component adds nothing, so no bucket makes all its pairs unless all its texts are apart;
-    large buckets of such texts are dealt anew by finer sketches.
+    with one text of the bucket, another in each round, unless they are linked to it already. Large
+    buckets of texts that are still apart are dealt anew by finer sketches, with as many rounds. Then
+    those of a bucket that are in different components are aligned with one another. A pair in one
+    component adds nothing, so no bucket makes all its pairs unless all its texts are apart.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     all_rows = written(sketches(rows, k, count, ordered), "sketches")
@@ -181,7 +182,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = written(cells.join(several, ["t", "s"]), "members")
     words = written(_words(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")), "words")
 
-    now, links, tried, roots = members.withColumn("root", F.col("doc_id")), None, None, None
+    now, links, tried = _lead(members, words, least)
+    cells, fine = _deal_anew(now, words)
+    now, links, tried = _lead(cells, words, least, links, tried)
+    more = verify(_apart_pairs(now, fine, least).join(tried, ["a", "b"], "left_anti"), words, least)
+    roots = components(links.unionAll(more)).withColumnRenamed("node", "rep")
+    classes = texts.select("same", F.col("doc_id").alias("rep")).join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
+    found = all_rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes, "same", "left")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _lead(cells: DataFrame, words: DataFrame, least: float, links: DataFrame | None = None, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells of the buckets that still hold several components after ROUNDS rounds, with roots; all links; all pairs tried.
+
+    In each round the texts of a bucket are aligned with one of them, unless they are linked to it already.
+    """
+    now = cells if "root" in cells.columns else cells.withColumn("root", F.col("doc_id"))
     for i in range(ROUNDS):
         lead = now.groupBy("t", "s").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("rank"), "doc_id", "n", "root")).alias("lead"))
         pairs = now.join(lead, ["t", "s"]).where("root <> lead.root").where(_fits("n", "lead.n", least))
@@ -190,15 +206,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = written(verify(pairs, words, least), "links")
         links = found if links is None else links.unionAll(found)
-        roots = components(links)
-        rooted = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "s", "size", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        apart = rooted.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
+        roots = components(links).withColumnRenamed("node", "doc_id")
+        rooted = cells.drop("root").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        apart = rooted.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "s")
         now = written(rooted.join(apart, ["t", "s"]), "open")
-    more = verify(_apart_pairs(now, words, least).join(tried, ["a", "b"], "left_anti"), words, least)
-    roots = components(links.unionAll(more)).withColumnRenamed("node", "rep")
-    classes = texts.select("same", F.col("doc_id").alias("rep")).join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
-    found = all_rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes, "same", "left")
-    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return now, links, tried
 
 
 def _fine_sketches(words: DataFrame) -> DataFrame:
@@ -208,7 +220,6 @@ def _fine_sketches(words: DataFrame) -> DataFrame:
     more than the words, occurrences counted, that only one of the texts has.
     """
     powers = np.cumprod(np.full(FINE_WORDS, BASE))
-    bits = [f"b{i}" for i in range(BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,9 +237,9 @@ def _fine_sketches(words: DataFrame) -> DataFrame:
                     least = np.sort(np.partition(h, FINE_WORDS)[:FINE_WORDS] if len(h) > FINE_WORDS else h)
                     sketch[t] = np.append(least * powers[: len(least)], U64(t)).sum()
                 out.append(sketch.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(BITMAP))], names=["doc_id", "fine", *bits])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(BITMAP))], names=["doc_id", "fine", *BITS])
 
-    return words.mapInArrow(run, "doc_id bigint, fine array<bigint>, " + ", ".join(f"{b} bigint" for b in bits))
+    return words.mapInArrow(run, "doc_id bigint, fine array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
 def _may_align(least: float) -> Column:
@@ -241,24 +252,31 @@ def _may_align(least: float) -> Column:
     return F.coalesce(differ <= (F.col("na") + F.col("nb")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6), F.lit(True))
 
 
-def _apart_pairs(cells: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of one bucket in different components whose lengths and bitmaps allow ``least``, each pair once.
+def _deal_anew(cells: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of buckets of at most LARGE texts as they are and the texts of larger ones in the buckets of finer sketches; those sketches.
 
-    In a bucket of at most LARGE texts these are all such pairs. The texts of larger buckets are
-    dealt anew by FINE sketches of FINE_WORDS words each: a pair of 0.8 agrees on one with a
-    chance of 0.99, and texts that share one long passage rarely.
+    These are FINE sketches of FINE_WORDS words each: a pair of 0.8 agrees on one with a chance of
+    0.99, and texts that share one long passage rarely.
     """
-    bits = [f"b{i}" for i in range(BITMAP)]
     one = cells.where(F.col("size") <= LARGE).select("t", "s", "doc_id", "n", "root")
     crowd = cells.where(F.col("size") > LARGE).select("doc_id", "n", "root").distinct()
-    fine = _fine_sketches(words.join(crowd.select("doc_id"), "doc_id", "left_semi"))
-    two = crowd.join(fine, "doc_id").select(F.posexplode("fine").alias("t", "s"), "doc_id", "n", "root", *bits)
-    all_cells = written(one.unionByName(two.withColumn("t", -1 - F.col("t")), allowMissingColumns=True), "cells")
-    mixed = all_cells.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "s")
-    left = all_cells.join(mixed, ["t", "s"]).select("t", "s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *bits).alias("left")
-    right = all_cells.select("t", "s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *bits).alias("right")
+    fine = written(_fine_sketches(words.join(crowd.select("doc_id"), "doc_id", "left_semi")), "fine")
+    two = crowd.join(fine, "doc_id").select(F.posexplode("fine").alias("t", "s"), "doc_id", "n", "root")
+    return written(one.unionByName(two.withColumn("t", -1 - F.col("t"))), "cells"), fine
+
+
+def _apart_pairs(cells: DataFrame, fine: DataFrame, least: float) -> DataFrame:
+    """(a, b): texts of one bucket in different components whose lengths and bitmaps allow ``least``, each pair once.
+
+    A pair that agrees on several finer sketches is made in the bucket of the first of them alone.
+    """
+    marked = cells.join(fine, "doc_id", "left")
+    left = marked.select("t", "s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "fine", *BITS).alias("left")
+    right = marked.select("t", "s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "fine", *BITS).alias("right")
     same = (F.col("left.t") == F.col("right.t")) & (F.col("left.s") == F.col("right.s"))
-    pairs = left.join(right, same & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", least) & _may_align(least))
+    agree = F.array_position(F.zip_with("left.fine", "right.fine", lambda x, y: x == y), True)
+    first = (F.col("left.t") >= 0) | (agree == -F.col("left.t"))
+    pairs = left.join(right, same & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", least) & _may_align(least) & first)
     return pairs.select("a", "b").distinct()
 
 
