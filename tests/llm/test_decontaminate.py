@@ -66,3 +66,19 @@ def test_leaks(spark, monkeypatch):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in got if want.get(k, 0) >= 0.5) and set(got) <= set(want)
     assert d.with_leaks(df.limit(0), bench).count() == 0
     assert all(r.leaks == [] for r in d.with_leaks(df, bench.limit(0)).collect())
+
+
+def test_copies_of_an_item_that_is_everywhere(spark):
+    """A partial and an edited copy are found though a third of the documents hold the item in full."""
+    from tickloom.llm import decontaminate as d
+
+    rng = np.random.default_rng(14)
+    item = [f"i{i}" for i in range(40)]
+    edited = [f"e{i}" if i in (2, 5, 8) else w for i, w in enumerate(item)]
+    filler = lambda: [f"w{x}" for x in rng.integers(0, 5000, 30)]
+    texts = [filler() + (item if i % 3 == 0 else []) + filler() for i in range(300)]
+    texts += [filler() + item[10:] + filler(), filler() + edited + filler()]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: round(r.leaks[0].score, 9) for r in d.with_leaks(df, bench).collect() if r.leaks}
+    assert got == {**{i: 1.0 for i in range(0, 300, 3)}, 300: 0.75, 301: 0.85}

@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find test items in texts, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find test items in texts, Smith-Waterman alignment scores them.
 
 Items are taken in blocks of bounded size, each sent whole to every task; the documents never move.
-A first pass counts in how many documents each item n-gram occurs. The seeds of an item are its
-n-grams that few documents have, and always its RAREST rarest, so that an item whose text is
-everywhere is still found. A second pass looks the seeds up in every text and aligns the words
-around each hit with the item.
+All n-grams of an item are seeds, however many documents have them. A pass looks the seeds up in
+every text and aligns the words around each hit with the item, unless too few of the item's words
+are there for any alignment to count.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from pyspark.sql import types as T
 from .common import U64, row_chunks, shingles, text_buffers, word_hashes
 
 SEED = 3  # words of a seed
-RARE_SHARE, RARE_LEAST, RAREST = 1e-3, 20, 8
 #: An item is found if its alignment (+1 a match, -1 a mismatch or gap) reaches this share of its words, and LEAST_SCORE or all of them.
 THRESHOLD, LEAST_SCORE = 0.5, 8
 #: Words of the items that one block sends to the tasks.
@@ -65,7 +63,7 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 
 class Block:
-    """Word hashes of some items, their n-grams and which of these are seeds."""
+    """Word hashes of some items, and their n-grams in order: the seeds."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         joined = [t.lower().encode() for t in texts]
@@ -76,20 +74,9 @@ class Block:
         item = np.repeat(np.arange(len(ids)), np.diff(at))
         place = np.arange(len(grams)) - at[:-1][item]
         long = np.diff(starts)[item] >= SEED
-        self.gram, self.item, self.place = grams[long], item[long], place[long]
-        self.distinct = np.unique(self.gram)
-
-    def choose(self, frequency: np.ndarray, n_docs: int) -> None:
-        """Keep the seeds, given how many documents have each distinct n-gram."""
-        df = frequency[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.place, df, self.item))
-        rank = np.empty(len(order), np.int64)
-        first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank[order] = np.arange(len(order)) - first[self.item[order]]
-        keep = (df <= max(RARE_LEAST, RARE_SHARE * n_docs)) | (rank < RAREST)
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
+        grams, item, place = grams[long], item[long], place[long]
+        order = np.argsort(grams, kind="stable")
+        self.gram, self.item, self.place = grams[order], item[order], place[order]
 
 
 class Lookup:
@@ -115,33 +102,6 @@ def _text_grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield (low, high, words, starts, *shingles(words, starts, SEED))
 
 
-def _count(docs: DataFrame, block: Block) -> tuple[np.ndarray, int]:
-    """In how many rows each distinct n-gram of the block occurs, and how many rows there are. All rows count."""
-    table = block.distinct
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, counts, rows = Lookup(table), np.zeros(len(table), np.int64), 0
-        for batch in batches:
-            for low, high, _, _, grams, at in _text_grams(batch.column(0)):
-                hits = look.find(grams)
-                doc = np.searchsorted(at, hits, "right") - 1
-                pairs = np.unique(doc * len(table) + np.searchsorted(table, grams[hits])) if len(hits) else hits
-                counts += np.bincount(pairs % max(len(table), 1), minlength=len(table))[: len(table)]
-                rows += high - low
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(counts[found], rows))], names=["i", "n"])
-
-    # As many rows come back as the block has distinct n-grams, whatever the number of documents.
-    sums = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(len(table), np.int64), 0
-    for r in sums:
-        if r.i < 0:
-            total = r.n
-        else:
-            out[r.i] = r.n
-    return out, total
-
-
 def _align(block: Block, words: np.ndarray, hits: np.ndarray, grams: np.ndarray) -> list[dict]:
     """The items found in one text, given where its words have seeds."""
     low, high = np.searchsorted(block.gram, grams, "left"), np.searchsorted(block.gram, grams, "right")
@@ -157,6 +117,8 @@ def _align(block: Block, words: np.ndarray, hits: np.ndarray, grams: np.ndarray)
         best = None
         for group in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1):
             a, b = max(int(group[0]) - m // 2, 0), min(int(group[-1]) + m + m // 2 + 1, len(words))
+            if np.isin(words_of, words[a:b]).sum() < need:  # a score is no more than the words that match
+                continue
             score, first, last = smith_waterman(words_of, words[a:b])
             if score >= need and (best is None or score > best[0]):
                 best = (score, a + first, a + last)
@@ -189,7 +151,6 @@ def with_leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS
     for block in _blocks(items, block_words):
         if not len(block.gram):
             continue
-        block.choose(*_count(docs, block))
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             look = Lookup(np.unique(block.gram))
