@@ -123,3 +123,19 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = classes(edges, {x for e in edges for x in e})
     assert got == {k: v for k, v in want.items() if k != 500}
+
+
+def test_crowded_buckets_are_verified(spark, monkeypatch):
+    """Every pair of a crowded bucket that aligns is linked, though short texts agree on no finer sketch."""
+    from tickloom.llm import order_minhash as op
+
+    passage = "this passage of eight words is in all"
+    texts = {4 * i + j: f"{passage} own{i} {w}{i}" for i in range(70) for j, w in enumerate(("left", "right"))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    sketch = {r.doc_id: r.sketch[0] for r in op.sketches(df, count=1, ordered=1).collect()}
+    near = [(a, a + 1) for a in texts if a % 4 == 0 and sketch[a] == sketch[a + 1]]
+    crowd = max(map(list(sketch.values()).count, set(sketch.values())))
+    assert crowd > op.LARGE
+    monkeypatch.setattr(op, "BLOCK", 20, raising=False)
+    got = {r.doc_id: r.class_id for r in op.near_duplicates(df, count=1, ordered=1).collect()}
+    assert got == classes(near, texts)

@@ -24,8 +24,8 @@ from .graph import components
 WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 4, 0.8
 #: Rounds in which each bucket's texts are aligned with one of them.
 ROUNDS = 3
-#: A bucket with more texts, some still apart, is dealt anew by finer sketches.
-LARGE = 24
+#: A bucket with more texts, some still apart, is dealt anew by finer sketches first, and in blocks of about BLOCK texts after.
+LARGE, BLOCK = 24, 2048
 FINE, FINE_WORDS = 42, 10
 #: 64-bit words of the bitmap that bounds from below in how many words two texts differ.
 BITMAP = 8
@@ -169,8 +169,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Copies fall together first. In ROUNDS rounds, the texts of each bucket of a sketch are aligned
     with one text of the bucket, another in each round, unless they are linked to it already. Large
     buckets of texts that are still apart are dealt anew by finer sketches, with as many rounds. Then
-    those of a bucket that are in different components are aligned with one another. A pair in one
-    component adds nothing, so no bucket makes all its pairs unless all its texts are apart.
+    those of a bucket that are in different components are aligned with one another, in large buckets
+    too, whatever the finer sketches met. A pair in one component adds nothing, so no bucket makes all
+    its pairs unless all its texts are apart.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     all_rows = written(sketches(rows, k, count, ordered), "sketches")
@@ -182,11 +183,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = written(cells.join(several, ["t", "s"]), "members")
     words = written(_words(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")), "words")
 
-    now, links, tried = _lead(members, words, least)
-    cells, fine = _deal_anew(now, words)
+    open_cells, links, tried = _lead(members, words, least)
+    cells, fine = _deal_anew(open_cells, words)
     now, links, tried = _lead(cells, words, least, links, tried)
-    more = verify(_apart_pairs(now, fine, least).join(tried, ["a", "b"], "left_anti"), words, least)
-    roots = components(links.unionAll(more)).withColumnRenamed("node", "rep")
+    pairs = written(_apart_pairs(now, fine, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links, tried = links.unionAll(written(verify(pairs, words, least), "links")), tried.unionAll(pairs)
+    rest = _rest_pairs(open_cells.where(F.col("size") > LARGE), links, fine, least).join(tried, ["a", "b"], "left_anti")
+    roots = components(links.unionAll(verify(rest, words, least))).withColumnRenamed("node", "rep")
     classes = texts.select("same", F.col("doc_id").alias("rep")).join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
     found = all_rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes, "same", "left")
     return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -206,13 +209,18 @@ def _lead(cells: DataFrame, words: DataFrame, least: float, links: DataFrame | N
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = written(verify(pairs, words, least), "links")
         links = found if links is None else links.unionAll(found)
-        roots = components(links).withColumnRenamed("node", "doc_id")
-        rooted = cells.drop("root").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        apart = rooted.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "s")
-        now = written(rooted.join(apart, ["t", "s"]), "open")
+        now = written(_still_apart(cells, links), "open")
     return now, links, tried
 
 
+def _still_apart(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """Cells of the buckets that hold several components of ``links``, with their roots."""
+    roots = components(links).withColumnRenamed("node", "doc_id")
+    rooted = cells.drop("root").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    apart = rooted.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "s")
+    return rooted.join(apart, ["t", "s"])
+
+
 def _fine_sketches(words: DataFrame) -> DataFrame:
     """(doc_id, fine, b0, b1, ...): FINE sketches of FINE_WORDS labelled words each, for texts that crowd a bucket, and a bitmap.
 
@@ -255,8 +263,9 @@ def _may_align(least: float) -> Column:
 def _deal_anew(cells: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells of buckets of at most LARGE texts as they are and the texts of larger ones in the buckets of finer sketches; those sketches.
 
-    These are FINE sketches of FINE_WORDS words each: a pair of 0.8 agrees on one with a chance of
-    0.99, and texts that share one long passage rarely.
+    These are FINE sketches of FINE_WORDS words each: a long pair of 0.8 agrees on one with a chance
+    of 0.99, and texts that share one long passage rarely. They only bring most pairs together early;
+    what they miss meets in _rest_pairs.
     """
     one = cells.where(F.col("size") <= LARGE).select("t", "s", "doc_id", "n", "root")
     crowd = cells.where(F.col("size") > LARGE).select("doc_id", "n", "root").distinct()
@@ -280,5 +289,42 @@ def _apart_pairs(cells: DataFrame, fine: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
+def _rest_pairs(cells: DataFrame, links: DataFrame, fine: DataFrame, least: float) -> DataFrame:
+    """(a, b): as _apart_pairs, for buckets too large for one task, and whether or not a pair agrees on a finer sketch.
+
+    A bucket's texts are dealt into blocks of about BLOCK by a hash, and each two blocks meet in one
+    group. There only lengths, roots and bitmaps are compared, which loses no pair.
+    """
+    share = (1 - least) / (1 + least)
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: np.asarray(table.column(c)) for c in ("doc_id", "n", "root", "own", "low", "high")}
+        bits = np.stack([np.asarray(table.column(b)).astype(np.int64).view(U64) for b in BITS])
+        order = np.argsort(col["n"], kind="stable")
+        col, bits = {c: v[order] for c, v in col.items()}, bits[:, order]
+        one, two = np.flatnonzero(col["own"] == col["low"]), np.flatnonzero(col["own"] == col["high"])
+        n, root, doc = col["n"].astype(np.int64), col["root"], col["doc_id"]
+        n2, root2, doc2, bits2 = n[two], root[two], doc[two], np.ascontiguousarray(bits[:, two])
+        same = bool(len(one)) and col["low"][0] == col["high"][0]
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in one.tolist():
+            at = slice(*np.searchsorted(n2, [least * n[i] - 1e-6, n[i] / least + 1e-6], "left"))
+            differ = np.bitwise_count(bits2[:, at] ^ bits[:, i : i + 1]).sum(0, dtype=np.int64)
+            keep = (differ <= (n2[at] + n[i]) * share + 1e-6) & (root2[at] != root[i])
+            if same:
+                keep &= doc2[at] > doc[i]
+            other = doc2[at][keep]
+            found_a.append(np.minimum(other, doc[i]))
+            found_b.append(np.maximum(other, doc[i]))
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    apart = written(_still_apart(cells, links), "open")
+    sizes = apart.groupBy("t", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = apart.join(sizes, ["t", "s"]).join(fine.drop("fine"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("t", "s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "root", *BITS)
+    return dealt.groupBy("t", "s", "low", "high").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def op1_order_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
