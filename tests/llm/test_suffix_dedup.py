@@ -79,3 +79,21 @@ def test_defined_cases(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, len(r.kept)) for r in remove_repeats(df).collect())
     assert got == [(-1, 0, 0), (-1, 120, 120), (1, 120, 120), (1, 120, 120), (2, 120, 0)]
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_contexts_do_not_depend_on_slices(monkeypatch):
+    """Near copies that differ by a byte near a seam: each gram, context and place as in the text uncut."""
+    import tickloom.llm.suffix_dedup as s
+
+    base = np.random.default_rng(7).choice(np.frombuffer(b"abcdefgh ", np.uint8), 3000)
+    whole = {}
+    for shift in range(-60, 61, 3):
+        data = base.copy()
+        data[1000 + shift] = ord("X")
+        monkeypatch.setattr(s, "SLICE", 4 << 20)
+        uncut = {x for p in s._text_places(data, np.array([0, 3000]), np.array([1])) for x in zip(*(v.tolist() for v in p), strict=True)}
+        monkeypatch.setattr(s, "SLICE", 500)
+        cut = [x for p in s._text_places(data, np.array([0, 3000]), np.array([1])) for x in zip(*(v.tolist() for v in p), strict=True)]
+        assert set(cut) == uncut
+        whole[shift] = uncut
+    assert len(set(map(frozenset, whole.values()))) > 1

@@ -148,30 +148,34 @@ def _text_places(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> Ite
     """(gram, context, doc, position) of the sampled positions of some texts, a chunk at a time.
 
     The context names the bytes of all windows around the gram. At the edge of a text it is made
-    from what is there.
+    from what is there. A slice of a long text has SPAN more bytes on both sides, for contexts alone.
     """
     for low, high in row_chunks(offsets):
         size = offsets[high] - offsets[low]
         if high - low == 1 and size > SLICE:
-            cuts = [(x, min(x + SLICE + LENGTH, size)) for x in range(0, size, SLICE)]
+            cuts = [(max(x - SPAN, 0), min(x + SLICE + LENGTH + SPAN, size), x) for x in range(0, size, SLICE)]
         else:
-            cuts = [(0, size)]
-        for first, last in cuts:
+            cuts = [(0, size, 0)]
+        for first, last, own in cuts:
             d = data[offsets[low] + first : offsets[low] + last]
             if len(d) < LENGTH:
                 continue
             o = offsets[low : high + 1] - offsets[low] if len(cuts) == 1 else np.array([0, last - first])
             names = gram_names(d)
             left = np.repeat(o[1:], np.diff(o)) - np.arange(len(d))
-            at = sampled(names, left[: len(d) - LENGTH + 1] >= LENGTH)
+            ok = left[: len(d) - LENGTH + 1] >= LENGTH
+            if len(cuts) > 1:  # windows that start in the slice itself
+                ok[: own - first] = False
+                ok[own - first + SLICE :] = False
+            at = sampled(names, ok)
             doc = np.searchsorted(o, at, "right") - 1
-            before, after = at - o[doc], o[doc + 1] - at - GRAM
+            before, after = at - o[doc] + first, o[doc + 1] - at - GRAM + size - last
             wide = gram_names(d, SPAN)
             context = mix(wide[np.maximum(at - SPAN, 0)] * BASE + wide[np.minimum(at + GRAM, len(wide) - 1)])
             for i in np.flatnonzero((before < SPAN) | (after < SPAN)):
                 a, b = min(before[i], SPAN), min(after[i], SPAN)
                 context[i] = int.from_bytes(hashlib.blake2b(bytes([a, b]) + d[at[i] - a : at[i] + GRAM + b].tobytes(), digest_size=8).digest(), "little")
-            yield names[at], context, docs[low + doc], before + first
+            yield names[at], context, docs[low + doc], before
 
 
 def _sample(keys: np.ndarray):
