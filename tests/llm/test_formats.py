@@ -67,6 +67,20 @@ def test_orc_ids_equal_the_library(spark):
     assert document_index(spark, empty).count() == 0
 
 
+def test_orc_special_tokens_count_in_their_case():
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.orc_tokens import encode_texts
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|endoftext|>Y <|STARTOFTEXT|>", "plain <", "| words", None, "<|"]
+    ids, n = encode_texts(pa.array(texts), P.path("word_bpe_49k.json"))
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
 def test_rendezvous(spark, tmp_path):
     from pyspark.sql import functions as F
 

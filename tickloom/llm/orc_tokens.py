@@ -85,13 +85,15 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     The vocabulary's patterns never cross white space and letters count in lower case, so each
     lower-case word of a text is encoded once by the library and remembered. That holds for texts
     of Latin-1 characters, whose composition, case and white space are the same to Arrow and to the
-    library; any other text goes to the library whole.
+    library; any other text goes to the library whole, and so does one with the start of a special
+    token, which the library finds in its case as written.
     """
     tok, known, gap = _tokenizer(path)
     if len(known) > CACHE_WORDS:
         known.clear()
     data, offsets = text_buffers(column)
     odd = (data >= 0xC4) | (data - np.uint8(0x1C) < 4)  # past Latin-1, or white space to Arrow alone
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
     whole = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
     usual = np.ones(len(column), bool)
     usual[whole] = False
