@@ -139,3 +139,21 @@ def test_crowded_buckets_are_verified(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 20, raising=False)
     got = {r.doc_id: r.class_id for r in op.near_duplicates(df, count=1, ordered=1).collect()}
     assert got == classes(near, texts)
+
+
+def test_sketches_meet_pairs_at_the_threshold():
+    """Two texts that align to 0.8 to 0.85, with edits scattered, agree on a sketch; no third text helps them."""
+    from tickloom.llm import order_minhash as op
+
+    rng = np.random.default_rng(15)
+    met = pairs = 0
+    for n, edits in ((100, 10), (100, 9), (200, 20), (60, 6)):
+        for _ in range(250):
+            a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 62, edits).astype(np.uint64)
+            assert 0.8 <= op.aligned(a, b) <= 0.85
+            x, y = op._sketch(np.concatenate([a, b]), np.array([0, n, 2 * n]), op.WORDS, op.SKETCHES, op.ORDERED)
+            pairs += 1
+            met += bool((x == y).any())
+    assert met >= 0.985 * pairs

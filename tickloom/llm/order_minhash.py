@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import BASE, U64, mix, row_chunks, shingles, text_buffers, word_hashes, written
 from .graph import components
 
-WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 4, 0.8
+#: Two of 100 words with ten scattered substitutions (0.818) agree on a sketch of 2 ordered k-mers with a chance of 0.99.
+WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 2, 0.8
 #: Rounds in which each bucket's texts are aligned with one of them.
 ROUNDS = 3
 #: A bucket with more texts, some still apart, is dealt anew by finer sketches first, and in blocks of about BLOCK texts after.
