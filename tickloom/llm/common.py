@@ -47,6 +47,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in a folder of its own in the shared folder; what a later table replaces is dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, shared_path(spark, name), {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again: lineage ends there and lost executors lose nothing."""
+        path = f"{self.root}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this job that nothing will read again."""
+        sc = self.spark.sparkContext
+        for df in tables:
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for the actions inside the block; it is put back after."""

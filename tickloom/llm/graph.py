@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,12 +25,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     The number of rounds grows with the logarithm of the longest path. Nothing is collected but a
     row count and a checksum for each round.
     """
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
-        seen = state
-        now = written(_star(_star(now, True), False), "edges")
+        seen, before = state, now
+        now = scratch.write(_star(_star(before, True), False))
+        scratch.drop(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

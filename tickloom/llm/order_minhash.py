@@ -4,30 +4,31 @@ A text's k-mers are its windows of five words, each labelled by how often it cam
 text. For each of SKETCHES hash functions the ORDERED least k-mers are put back in text order and
 hashed together. Two texts agree on such a sketch when they share those k-mers in the same order,
 which is likely in proportion to their edit similarity. Texts that agree on one are candidates; a
-banded alignment of their words decides.
+banded alignment of their words decides. Where many texts agree on a sketch and are not one class,
+bounds that lose no pair choose which of them are aligned.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, mix, row_chunks, shingles, text_buffers, word_hashes, written
+from .common import BASE, U64, Scratch, mix, row_chunks, shingles, text_buffers, word_hashes
 from .graph import components
 
 #: Two of 100 words with ten scattered substitutions (0.818) agree on a sketch of 2 ordered k-mers with a chance of 0.99.
 WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 2, 0.8
 #: Rounds in which each bucket's texts are aligned with one of them.
-ROUNDS = 3
-#: A bucket with more texts, some still apart, is dealt anew by finer sketches first, and in blocks of about BLOCK texts after.
-LARGE, BLOCK = 24, 2048
-FINE, FINE_WORDS = 42, 10
+ROUNDS = 2
+#: Counters that order words from rare to common. They decide how much is compared, not what is found.
+COUNTERS = 1 << 20
 #: 64-bit words of the bitmap that bounds from below in how many words two texts differ.
 BITMAP = 8
 BITS = [f"b{i}" for i in range(BITMAP)]
@@ -142,17 +143,18 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 
 
 def verify(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b) of the pairs whose texts align."""
+    """The rows of ``pairs`` whose texts ``a`` and ``b`` align; any other columns go with them."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             keep = [aligned(np.frombuffer(p.as_py(), "<u4"), np.frombuffer(q.as_py(), "<u4"), least) > 0 for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     left = words.select(F.col("doc_id").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("doc_id").alias("b"), F.col("words").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select(*names, "x", "y").mapInArrow(run, pairs.schema)
 
 
 def _fits(n: str, m: str, least: float) -> Column:
@@ -164,168 +166,140 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs of letters and digits in lower case; texts of equal words are one class. Two
     texts are linked if they agree on a sketch and the words that align are at least ``least`` of all
-    words of both, each aligned pair counted once. Rows without words (null and empty texts too) and rows without doc_id are a class by
-    themselves; rows that share a doc_id share a class.
-
-    Copies fall together first. In ROUNDS rounds, the texts of each bucket of a sketch are aligned
-    with one text of the bucket, another in each round, unless they are linked to it already. Large
-    buckets of texts that are still apart are dealt anew by finer sketches, with as many rounds. Then
-    those of a bucket that are in different components are aligned with one another, in large buckets
-    too, whatever the finer sketches met. A pair in one component adds nothing, so no bucket makes all
-    its pairs unless all its texts are apart.
+    words of both, each aligned pair counted once. Rows without words (null and empty texts too) and
+    rows without doc_id are a class by themselves. Rows that share a doc_id are one document: the
+    classes of their texts are one.
+
+    Copies fall together first. Then, in ROUNDS rounds, the texts of each bucket of a sketch are
+    aligned with one text of the bucket, unless they are linked to it already: first with the one that
+    meets most others, which in a group of copies is close to what they were copied from. Texts of
+    buckets that are still not one class are compared by ``may_align``, which loses no pair, and
+    aligned. Nothing depends on how many texts a bucket has.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    all_rows = written(sketches(rows, k, count, ordered), "sketches")
+    scratch = Scratch(docs.sparkSession, "order-minhash")
+    all_rows = scratch.write(sketches(rows, k, count, ordered))
     with_words = all_rows.where("doc_id IS NOT NULL AND same IS NOT NULL")
     texts = with_words.groupBy("same").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("t")).select("same", "t.*")
-    place = F.posexplode("sketch").alias("t", "s")
-    cells = texts.select("doc_id", "n", place)
-    several = cells.groupBy("t", "s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(cells.join(several, ["t", "s"]), "members")
-    words = written(_words(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")), "words")
-
-    open_cells, links, tried = _lead(members, words, least)
-    cells, fine = _deal_anew(open_cells, words)
-    now, links, tried = _lead(cells, words, least, links, tried)
-    pairs = written(_apart_pairs(now, fine, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links, tried = links.unionAll(written(verify(pairs, words, least), "links")), tried.unionAll(pairs)
-    rest = _rest_pairs(open_cells.where(F.col("size") > LARGE), links, fine, least).join(tried, ["a", "b"], "left_anti")
-    roots = components(links.unionAll(verify(rest, words, least))).withColumnRenamed("node", "rep")
+    cells = texts.select("doc_id", "n", F.explode("sketch").alias("s"))
+    several = cells.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = F.sum("size").over(Window.partitionBy("doc_id"))  # a window of at most ``count`` rows
+    members = scratch.write(cells.join(several, "s").withColumn("met", met).drop("size"))
+    words = scratch.write(_words(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
+
+    links = [_one_document(with_words, texts)]
+    now = members.withColumn("root", F.col("doc_id"))
+    for i in range(ROUNDS):
+        found = scratch.write(verify(_lead(now, least, i), words, least))
+        links.append(found.select("a", "b"))
+        before, now = now, scratch.write(_still_apart(now, found))
+        scratch.drop(before if i else members)
+    pairs = scratch.write(may_align(now.select("doc_id", "root").distinct(), words, least))
+    links.append(verify(pairs, words, least).select("a", "b"))
+    roots = components(functools.reduce(DataFrame.unionAll, links)).withColumnRenamed("node", "rep")
     classes = texts.select("same", F.col("doc_id").alias("rep")).join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
     found = all_rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(classes, "same", "left")
-    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def _lead(cells: DataFrame, words: DataFrame, least: float, links: DataFrame | None = None, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cells of the buckets that still hold several components after ROUNDS rounds, with roots; all links; all pairs tried.
-
-    In each round the texts of a bucket are aligned with one of them, unless they are linked to it already.
-    """
-    now = cells if "root" in cells.columns else cells.withColumn("root", F.col("doc_id"))
-    for i in range(ROUNDS):
-        lead = now.groupBy("t", "s").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(i)).alias("rank"), "doc_id", "n", "root")).alias("lead"))
-        pairs = now.join(lead, ["t", "s"]).where("root <> lead.root").where(_fits("n", "lead.n", least))
-        pairs = pairs.select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        found = written(verify(pairs, words, least), "links")
-        links = found if links is None else links.unionAll(found)
-        now = written(_still_apart(cells, links), "open")
-    return now, links, tried
+    out = scratch.write(found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    scratch.drop(all_rows, words, now, pairs)
+    return out
 
 
-def _still_apart(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """Cells of the buckets that hold several components of ``links``, with their roots."""
-    roots = components(links).withColumnRenamed("node", "doc_id")
-    rooted = cells.drop("root").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    apart = rooted.groupBy("t", "s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("t", "s")
-    return rooted.join(apart, ["t", "s"])
+def _one_document(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the first documents of the texts of a doc_id that has several."""
+    several = rows.groupBy("doc_id").agg(F.min("same").alias("one"), F.max("same").alias("other")).where("one <> other").select("doc_id", F.col("one"))
+    both = rows.join(several, "doc_id").select("one", "same").where("one <> same").distinct()
+    first = texts.select(F.col("same").alias("one"), F.col("doc_id").alias("a"))
+    return both.join(first, "one").join(texts.select("same", F.col("doc_id").alias("b")), "same").select("a", "b")
 
 
-def _fine_sketches(words: DataFrame) -> DataFrame:
-    """(doc_id, fine, b0, b1, ...): FINE sketches of FINE_WORDS labelled words each, for texts that crowd a bucket, and a bitmap.
+def _lead(cells: DataFrame, least: float, turn: int) -> DataFrame:
+    """(a, ra, b, rb): the texts of each bucket with the bucket's leader, and their roots, if they are not linked yet.
 
-    Each labelled word flips one bit of the bitmap, so the bits in which two bitmaps differ are no
-    more than the words, occurrences counted, that only one of the texts has.
+    The leader is the text that meets most others, and in later turns one by a hash.
     """
-    powers = np.cumprod(np.full(FINE_WORDS, BASE))
+    rank = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("met")
+    lead = cells.groupBy("s").agg(F.max(F.struct(rank.alias("rank"), "doc_id", "n", "root")).alias("lead"))
+    pairs = cells.join(lead, "s").where("root <> lead.root").where(_fits("n", "lead.n", least))
+    one, two = F.struct("doc_id", "root"), F.struct("lead.doc_id", "lead.root")
+    pairs = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("x.root").alias("ra"), F.col("y.doc_id").alias("b"), F.col("y.root").alias("rb"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, maps = [], np.zeros((batch.num_rows, BITMAP), U64)
-            for row, text in enumerate(batch.column("words")):
-                w = np.sort(np.frombuffer(text.as_py(), "<u4")).astype(U64)
-                new = np.concatenate([[True], w[1:] != w[:-1]])
-                place = np.arange(len(w))
-                value = mix(w * BASE + (place - np.maximum.accumulate(np.where(new, place, 0))).astype(U64))
-                odd = np.bincount((value % U64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
-                maps[row] = np.packbits(odd.astype(bool)).view("<u8")
-                sketch = np.zeros(FINE, U64)
-                for t in range(FINE):
-                    h = mix(value ^ mix(np.array([t + 1], U64) * BASE))
-                    least = np.sort(np.partition(h, FINE_WORDS)[:FINE_WORDS] if len(h) > FINE_WORDS else h)
-                    sketch[t] = np.append(least * powers[: len(least)], U64(t)).sum()
-                out.append(sketch.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(BITMAP))], names=["doc_id", "fine", *BITS])
-
-    return words.mapInArrow(run, "doc_id bigint, fine array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
-
-
-def _may_align(least: float) -> Column:
-    """False where the bitmaps of a pair, in ``left`` and ``right``, differ in more bits than texts that align may; true without bitmaps.
-
-    ``least`` of all words of both aligned leaves at most (1 - least) / (1 + least) of na + nb words
-    unaligned, and a word that only one text has is never aligned. So no pair is lost here.
-    """
-    differ = sum((F.bit_count(F.col(f"left.b{i}").bitwiseXOR(F.col(f"right.b{i}"))) for i in range(BITMAP)), F.lit(0))
-    return F.coalesce(differ <= (F.col("na") + F.col("nb")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6), F.lit(True))
 
+def _still_apart(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """Cells of the buckets that hold several components, with their roots after ``links`` between earlier roots."""
+    roots = components(links, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("under"))
+    rooted = cells.join(roots, "root", "left").withColumn("root", F.coalesce("under", "root")).drop("under")
+    apart = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+    return rooted.join(apart, "s")
 
-def _deal_anew(cells: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of buckets of at most LARGE texts as they are and the texts of larger ones in the buckets of finer sketches; those sketches.
 
-    These are FINE sketches of FINE_WORDS words each: a long pair of 0.8 agrees on one with a chance
-    of 0.99, and texts that share one long passage rarely. They only bring most pairs together early;
-    what they miss meets in _rest_pairs.
-    """
-    one = cells.where(F.col("size") <= LARGE).select("t", "s", "doc_id", "n", "root")
-    crowd = cells.where(F.col("size") > LARGE).select("doc_id", "n", "root").distinct()
-    fine = written(_fine_sketches(words.join(crowd.select("doc_id"), "doc_id", "left_semi")), "fine")
-    two = crowd.join(fine, "doc_id").select(F.posexplode("fine").alias("t", "s"), "doc_id", "n", "root")
-    return written(one.unionByName(two.withColumn("t", -1 - F.col("t"))), "cells"), fine
+def _labelled(text: bytes) -> np.ndarray:
+    """Hashes of a text's words, each with how often it came before; sorted by word."""
+    w = np.sort(np.frombuffer(text, "<u4")).astype(U64)
+    place = np.arange(len(w))
+    first = np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0)
+    return mix(w * BASE + (place - np.maximum.accumulate(first)).astype(U64))
 
 
-def _apart_pairs(cells: DataFrame, fine: DataFrame, least: float) -> DataFrame:
-    """(a, b): texts of one bucket in different components whose lengths and bitmaps allow ``least``, each pair once.
+def _common(words: DataFrame) -> np.ndarray:
+    """For each of COUNTERS slots of labelled words, the logarithm of how often it occurs, from 0 to 255."""
 
-    A pair that agrees on several finer sketches is made in the bucket of the first of them alone.
-    """
-    marked = cells.join(fine, "doc_id", "left")
-    left = marked.select("t", "s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "fine", *BITS).alias("left")
-    right = marked.select("t", "s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "fine", *BITS).alias("right")
-    same = (F.col("left.t") == F.col("right.t")) & (F.col("left.s") == F.col("right.s"))
-    agree = F.array_position(F.zip_with("left.fine", "right.fine", lambda x, y: x == y), True)
-    first = (F.col("left.t") >= 0) | (agree == -F.col("left.t"))
-    pairs = left.join(right, same & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "nb", least) & _may_align(least) & first)
-    return pairs.select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column("words"):
+                np.add.at(counts, (_labelled(text.as_py()) % U64(COUNTERS)).astype(np.int64), 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "count"])
+
+    out = np.zeros(COUNTERS, np.uint8)
+    sums = words.select("words").mapInArrow(run, "slot bigint, count bigint").groupBy("slot").agg(F.least(F.lit(255), F.floor(5 * F.log2(F.sum("count")))).cast("int").alias("log"))
+    table = sums.toArrow()  # at most COUNTERS rows
+    out[np.asarray(table.column("slot"))] = np.asarray(table.column("log"))
+    return out
 
 
-def _rest_pairs(cells: DataFrame, links: DataFrame, fine: DataFrame, least: float) -> DataFrame:
-    """(a, b): as _apart_pairs, for buckets too large for one task, and whether or not a pair agrees on a finer sketch.
+def may_align(texts: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): all pairs of ``texts`` (doc_id, root) with different roots that may align to ``least``, by bounds that lose none.
 
-    A bucket's texts are dealt into blocks of about BLOCK by a hash, and each two blocks meet in one
-    group. There only lengths, roots and bitmaps are compared, which loses no pair.
+    Words that align are common to both texts, and at least least / (1 + least) of na + nb. So the
+    longer text's rarest (1 - least) n + 1 labelled words and the shorter one's rarest
+    (1 - least) / (1 + least) 2 n + 1 have one in common, in any order of words that is the same for
+    all; and bitmaps of both differ in at most (1 - least) / (1 + least) of na + nb bits.
     """
     share = (1 - least) / (1 + least)
+    wanted = words.join(texts, "doc_id").select("doc_id", (F.octet_length("words") / 4).cast("int").alias("n"), "root", "words")
+    common = _common(wanted)
 
-    def run(table: pa.Table) -> pa.Table:
-        col = {c: np.asarray(table.column(c)) for c in ("doc_id", "n", "root", "own", "low", "high")}
-        bits = np.stack([np.asarray(table.column(b)).astype(np.int64).view(U64) for b in BITS])
-        order = np.argsort(col["n"], kind="stable")
-        col, bits = {c: v[order] for c, v in col.items()}, bits[:, order]
-        one, two = np.flatnonzero(col["own"] == col["low"]), np.flatnonzero(col["own"] == col["high"])
-        n, root, doc = col["n"].astype(np.int64), col["root"], col["doc_id"]
-        n2, root2, doc2, bits2 = n[two], root[two], doc[two], np.ascontiguousarray(bits[:, two])
-        same = bool(len(one)) and col["low"][0] == col["high"][0]
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in one.tolist():
-            at = slice(*np.searchsorted(n2, [least * n[i] - 1e-6, n[i] / least + 1e-6], "left"))
-            differ = np.bitwise_count(bits2[:, at] ^ bits[:, i : i + 1]).sum(0, dtype=np.int64)
-            keep = (differ <= (n2[at] + n[i]) * share + 1e-6) & (root2[at] != root[i])
-            if same:
-                keep &= doc2[at] > doc[i]
-            other = doc2[at][keep]
-            found_a.append(np.minimum(other, doc[i]))
-            found_b.append(np.maximum(other, doc[i]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-    apart = written(_still_apart(cells, links), "open")
-    sizes = apart.groupBy("t", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = apart.join(sizes, ["t", "s"]).join(fine.drop("fine"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "n", "root", *BITS)
-    return dealt.groupBy("t", "s", "low", "high").applyInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare, core, counts = [np.zeros(0, U64)], [np.zeros(0, bool)], []
+            maps = np.zeros((batch.num_rows, BITMAP), U64)
+            for i, text in enumerate(batch.column("words")):
+                value = _labelled(text.as_py())
+                n = len(value)
+                order = np.lexsort((value, common[(value % U64(COUNTERS)).astype(np.int64)]))
+                first = value[order[: int((1 - least) * n + 1e-6) + 1]]
+                rare.append(first)
+                core.append(np.arange(len(first)) < int(share * n + 1e-6) + 1)
+                counts.append(len(first))
+                odd = np.bincount((value >> U64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+                maps[i] = np.packbits(odd.astype(bool)).view("<u8")
+            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            bits = [pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)).take(at) for i in range(BITMAP)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), *(batch.column(c).take(at) for c in ("doc_id", "n", "root")), pa.array(np.concatenate(core)), *bits], names=["w", "doc_id", "n", "root", "core", *BITS])
+
+    rare = wanted.mapInArrow(run, "w bigint, doc_id bigint, n int, root bigint, core boolean, " + ", ".join(f"{b} bigint" for b in BITS))
+    apart = rare.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("w")
+    rare = rare.join(apart, "w")
+    short, long = rare.where("core").alias("short"), rare.alias("long")
+    shorter = (F.col("short.n") < F.col("long.n")) | ((F.col("short.n") == F.col("long.n")) & (F.col("short.doc_id") < F.col("long.doc_id")))
+    differ = sum((F.bit_count(F.col(f"short.{b}").bitwiseXOR(F.col(f"long.{b}"))) for b in BITS), F.lit(0))
+    near = differ <= (F.col("short.n") + F.col("long.n")) * F.lit(share) + F.lit(1e-6)
+    pairs = short.join(long, (F.col("short.w") == F.col("long.w")) & (F.col("short.root") != F.col("long.root")) & shorter & _fits("short.n", "long.n", least) & near)
+    return pairs.select(F.col("short.doc_id").alias("a"), F.col("long.doc_id").alias("b")).distinct()
 
 
 def op1_order_minhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id) of every row of ``documents``, with five-word k-mers and a similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
