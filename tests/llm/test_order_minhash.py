@@ -54,9 +54,10 @@ def test_bounds_lose_no_pair(spark):
             texts.append(w[: len(w) - int(rng.integers(0, 1 + size // 15))].astype("<u4"))
     texts += [rng.integers(0, 900, int(n)).astype("<u4") for n in rng.integers(1, 200, 100)]
     words = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(texts)], "doc_id long, words binary")
-    roots = spark.createDataFrame([(i, i // 2) for i in range(len(texts))], "doc_id long, root long")
-    got = {tuple(sorted((r.a, r.b))) for r in op.may_align(roots, words).collect()}
-    near = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and i // 2 != j // 2 and op.aligned(x, y)}
+    root = [0 if i < 40 else i // 2 for i in range(len(texts))]
+    cells = spark.createDataFrame([(7, i, 100 - i, root[i]) for i in range(len(texts))], "s long, doc_id long, met long, root long")
+    got = {(r.a, r.b) for r in op.may_align(cells, words).collect()}
+    near = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and root[i] != root[j] and op.aligned(x, y)}
     assert len(near) > 500 and near <= got
     assert len(got) < 0.2 * len(texts) ** 2 / 2
 
@@ -166,9 +167,9 @@ def test_recall_on_all_pairs(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     digest = op.sketches(docs, count=1).where("same IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    texts = digest.select("doc_id", F.col("doc_id").alias("root"))
-    words = op._words(docs).join(texts.select("doc_id"), "doc_id")
-    near = [(r.a, r.b) for r in op.verify(op.may_align(texts, words), words).collect()]
+    words = op._words(docs).join(digest.select("doc_id"), "doc_id")
+    one_bucket = digest.select(F.lit(0).alias("s"), "doc_id", F.lit(0).alias("met"), F.col("doc_id").alias("root"))
+    near = [(r.a, r.b) for r in op.verify(op.may_align(one_bucket, words), words).collect()]
     got = {r.doc_id: r.class_id for r in op.near_duplicates(docs).collect()}
     assert len(near) > 20
     assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)

@@ -27,10 +27,8 @@ from .graph import components
 WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 2, 0.8
 #: Rounds in which each bucket's texts are aligned with one of them.
 ROUNDS = 2
-#: Counters that order words from rare to common. They decide how much is compared, not what is found.
-COUNTERS = 1 << 20
 #: 64-bit words of the bitmap that bounds from below in how many words two texts differ.
-BITMAP = 8
+BITMAP = 16
 BITS = [f"b{i}" for i in range(BITMAP)]
 MISSING = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -173,8 +171,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Copies fall together first. Then, in ROUNDS rounds, the texts of each bucket of a sketch are
     aligned with one text of the bucket, unless they are linked to it already: first with the one that
     meets most others, which in a group of copies is close to what they were copied from. Texts of
-    buckets that are still not one class are compared by ``may_align``, which loses no pair, and
-    aligned. Nothing depends on how many texts a bucket has.
+    buckets that are still not one class are compared within their buckets by ``may_align``, which
+    loses no pair, and aligned. Nothing depends on how many texts a bucket has.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession, "order-minhash")
@@ -194,7 +192,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links.append(found.select("a", "b"))
         before, now = now, scratch.write(_still_apart(now, found))
         scratch.drop(before if i else members)
-    pairs = scratch.write(may_align(now.select("doc_id", "root").distinct(), words, least))
+    pairs = scratch.write(may_align(now, words, least))
     links.append(verify(pairs, words, least).select("a", "b"))
     roots = components(functools.reduce(DataFrame.unionAll, links)).withColumnRenamed("node", "rep")
     classes = texts.select("same", F.col("doc_id").alias("rep")).join(roots, "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
@@ -233,71 +231,48 @@ def _still_apart(cells: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(apart, "s")
 
 
-def _labelled(text: bytes) -> np.ndarray:
-    """Hashes of a text's words, each with how often it came before; sorted by word."""
-    w = np.sort(np.frombuffer(text, "<u4")).astype(U64)
-    place = np.arange(len(w))
-    first = np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0)
-    return mix(w * BASE + (place - np.maximum.accumulate(first)).astype(U64))
+def _bitmaps(words: DataFrame) -> DataFrame:
+    """(doc_id, n, b0, b1, ...): how many words a text has and a bitmap of them.
 
-
-def _common(words: DataFrame) -> np.ndarray:
-    """For each of COUNTERS slots of labelled words, the logarithm of how often it occurs, from 0 to 255."""
+    Each word, with how often it came before, flips one bit. So the bits in which two bitmaps differ
+    are no more than the words, occurrences counted, that only one of the texts has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for text in batch.column("words"):
-                np.add.at(counts, (_labelled(text.as_py()) % U64(COUNTERS)).astype(np.int64), 1)
-        slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "count"])
-
-    out = np.zeros(COUNTERS, np.uint8)
-    sums = words.select("words").mapInArrow(run, "slot bigint, count bigint").groupBy("slot").agg(F.least(F.lit(255), F.floor(5 * F.log2(F.sum("count")))).cast("int").alias("log"))
-    table = sums.toArrow()  # at most COUNTERS rows
-    out[np.asarray(table.column("slot"))] = np.asarray(table.column("log"))
-    return out
+            maps = np.zeros((batch.num_rows, BITMAP), U64)
+            counts = np.zeros(batch.num_rows, np.int32)
+            for i, text in enumerate(batch.column("words")):
+                w = np.sort(np.frombuffer(text.as_py(), "<u4")).astype(U64)
+                place = np.arange(len(w))
+                first = np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0)
+                value = mix(w * BASE + (place - np.maximum.accumulate(first)).astype(U64))
+                odd = np.bincount((value % U64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+                maps[i], counts[i] = np.packbits(odd.astype(bool)).view("<u8"), len(w)
+            bits = (pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(BITMAP))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *bits], names=["doc_id", "n", *BITS])
+
+    return words.select("doc_id", "words").mapInArrow(run, "doc_id bigint, n int, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
-def may_align(texts: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): all pairs of ``texts`` (doc_id, root) with different roots that may align to ``least``, by bounds that lose none.
+def may_align(cells: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): the texts of one bucket of ``cells`` (s, doc_id, met, root) with different roots that may align to ``least``.
 
-    Words that align are common to both texts, and at least least / (1 + least) of na + nb. So the
-    longer text's rarest (1 - least) n + 1 labelled words and the shorter one's rarest
-    (1 - least) / (1 + least) 2 n + 1 have one in common, in any order of words that is the same for
-    all; and bitmaps of both differ in at most (1 - least) / (1 + least) of na + nb bits.
+    Words that align are common to both, and at least least / (1 + least) of na + nb. So lengths
+    bound the pairs, and bitmaps differ in at most (1 - least) / (1 + least) of na + nb bits; neither
+    loses one. In each bucket only texts outside the class of the one that meets most look for others, so
+    a large class costs no pairs within itself.
     """
     share = (1 - least) / (1 + least)
-    wanted = words.join(texts, "doc_id").select("doc_id", (F.octet_length("words") / 4).cast("int").alias("n"), "root", "words")
-    common = _common(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rare, core, counts = [np.zeros(0, U64)], [np.zeros(0, bool)], []
-            maps = np.zeros((batch.num_rows, BITMAP), U64)
-            for i, text in enumerate(batch.column("words")):
-                value = _labelled(text.as_py())
-                n = len(value)
-                order = np.lexsort((value, common[(value % U64(COUNTERS)).astype(np.int64)]))
-                first = value[order[: int((1 - least) * n + 1e-6) + 1]]
-                rare.append(first)
-                core.append(np.arange(len(first)) < int(share * n + 1e-6) + 1)
-                counts.append(len(first))
-                odd = np.bincount((value >> U64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
-                maps[i] = np.packbits(odd.astype(bool)).view("<u8")
-            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            bits = [pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)).take(at) for i in range(BITMAP)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), *(batch.column(c).take(at) for c in ("doc_id", "n", "root")), pa.array(np.concatenate(core)), *bits], names=["w", "doc_id", "n", "root", "core", *BITS])
-
-    rare = wanted.mapInArrow(run, "w bigint, doc_id bigint, n int, root bigint, core boolean, " + ", ".join(f"{b} bigint" for b in BITS))
-    apart = rare.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("w")
-    rare = rare.join(apart, "w")
-    short, long = rare.where("core").alias("short"), rare.alias("long")
-    shorter = (F.col("short.n") < F.col("long.n")) | ((F.col("short.n") == F.col("long.n")) & (F.col("short.doc_id") < F.col("long.doc_id")))
-    differ = sum((F.bit_count(F.col(f"short.{b}").bitwiseXOR(F.col(f"long.{b}"))) for b in BITS), F.lit(0))
-    near = differ <= (F.col("short.n") + F.col("long.n")) * F.lit(share) + F.lit(1e-6)
-    pairs = short.join(long, (F.col("short.w") == F.col("long.w")) & (F.col("short.root") != F.col("long.root")) & shorter & _fits("short.n", "long.n", least) & near)
-    return pairs.select(F.col("short.doc_id").alias("a"), F.col("long.doc_id").alias("b")).distinct()
+    marked = cells.select("s", "doc_id", "root").join(_bitmaps(words.join(cells.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
+    base = cells.groupBy("s").agg(F.max_by("root", F.struct("met", "doc_id")).alias("base"))
+    all_texts = marked.join(base, "s")
+    one, two = all_texts.where("root <> base").alias("one"), all_texts.alias("two")
+    once = (F.col("two.root") == F.col("two.base")) | (F.col("one.doc_id") < F.col("two.doc_id"))
+    differ = sum((F.bit_count(F.col(f"one.{b}").bitwiseXOR(F.col(f"two.{b}"))) for b in BITS), F.lit(0))
+    near = differ <= (F.col("one.n") + F.col("two.n")) * F.lit(share) + F.lit(1e-6)
+    pairs = one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.root") != F.col("two.root")) & once & _fits("one.n", "two.n", least) & near)
+    return pairs.select(F.least("one.doc_id", "two.doc_id").alias("a"), F.greatest("one.doc_id", "two.doc_id").alias("b")).distinct()
 
 
 def op1_order_minhash(spark, sf_dir: str) -> DataFrame:
