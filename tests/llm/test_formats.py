@@ -76,9 +76,53 @@ def test_orc_special_tokens_count_in_their_case():
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|endoftext|>Y <|STARTOFTEXT|>", "plain <", "| words", None, "<|"]
-    ids, n = encode_texts(pa.array(texts), P.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(3)
+    alphabet = list("abcXYZ  12.,'!<|>ßéÿÀª²µ\xa0\x85\x1c\tsΣ日")
+    texts += ["".join(rng.choice(alphabet, int(k))) for k in rng.integers(0, 40, 3000)]
     want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert n.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+    for end_id, end in ((None, []), (2, [2])):
+        assert encode_texts(pa.array(texts), P.path("word_bpe_49k.json"), end_id).to_pylist() == [[*x, *end] for x in want]
+    usual = [i for i, t in enumerate(texts) if t and t.isascii() and "<|" not in t and "\x1c" not in t]  # none of these goes whole
+    assert encode_texts(pa.array([texts[i] for i in usual]), P.path("word_bpe_49k.json"), 2).to_pylist() == [[*want[i], 2] for i in usual]
+
+
+def test_orc_other_rules_encode_whole_texts(tmp_path):
+    """A tokenizer file whose pattern is another one gets no shortcut by words."""
+    import json
+
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.orc_tokens import _vocabulary, encode_texts
+
+    file = json.load(open(P.path("word_bpe_49k.json"), encoding="utf-8"))
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[^a]+|a+"}
+    path = str(tmp_path / "other.json")
+    json.dump(file, open(path, "w", encoding="utf-8"))
+    assert _vocabulary(P.path("word_bpe_49k.json")).by_word and not _vocabulary(path).by_word
+    tok, texts = Tokenizer.from_file(path), ["some banana words", None, "x"]
+    assert encode_texts(pa.array(texts), path, 2).to_pylist() == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_orc_repeated_ids_and_long_texts(spark):
+    """Rows that share a doc_id, or have none, keep their place in the files; a very long text is whole."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.common import shared_path
+    from tickloom.llm.orc_tokens import document_index, read_orc, write_orc
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(5, "some words"), (5, "other words here"), (None, "no id"), (5, "some words"), (7, "word " * 1_200_000 + "é")]
+    path = shared_path(spark, "t")
+    write_orc(spark.createDataFrame(rows, "doc_id long, text string"), path, P.path("word_bpe_49k.json"))
+    got = sorted(document_index(spark, path).collect(), key=lambda r: r.start)
+    want = {zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)): len(ids) for ids in ([*tok.encode(t, add_special_tokens=False).ids, 2] for _, t in rows)}
+    assert [r.doc_id for r in got] == [None, 5, 5, 5, 7] and all(want[r.ids_crc32] == r.n_tokens for r in got)
+    stored = [(r.doc_id, zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids))) for r in read_orc(spark, path).coalesce(1).collect()]
+    assert [x for x in stored if x[0] == 5] == [(r.doc_id, r.ids_crc32) for r in got if r.doc_id == 5]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(5)]
 
 
 def test_rendezvous(spark, tmp_path):

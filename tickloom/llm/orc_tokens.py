@@ -20,165 +20,195 @@ SLICE_BYTES = 4 << 20
 #: Texts that go to a Python worker at once, so that a few long ones don't fill it.
 BATCH_ROWS = 2000
 SYMBOLS = ".,;:!?*#$%&+-=()[]{}/"
+#: The parts of a tokenizer file with which a text's words can be encoded one by one.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
 _tokenizers: dict = {}
 
 
-def _tokenizer(path: str):
-    """The library's tokenizer, ids of words seen before, and a special token that may stand between words."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
+class _Vocabulary:
+    """The library's tokenizer, ids of words seen before, and whether words can be encoded one by one."""
+
+    def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, split = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = (
+            (file.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+            and split[0].get("pattern") == {"Regex": PATTERN} and split[0].get("invert") is True
+            and len(split) == 2 and split[1]["type"] == "ByteLevel" and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+            and file.get("post_processor") is None and file.get("truncation") is None
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout")
+            and all(x["content"].startswith("<|") and not x["normalized"] for x in file["added_tokens"])
+        )
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[[i for s, i in model["vocab"].items() if s.endswith(WORD_END)]] = True
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words`` that are not known.
+
+        Letters and a run of symbols after them are tokens apart to the vocabulary's pattern, so a
+        word with such an end is put together from its two parts.
+        """
+        known, parted, letters, other = self.known, [], {}, {}
+        for w in words:
+            if w in known:
+                continue
+            if w.isalpha():
+                letters[w] = None
+                continue
+            stem = w.rstrip(SYMBOLS)
+            if stem and len(stem) < len(w) and stem.isalpha():
+                end = w[len(stem) :]
+                parted.append((w, stem, end))
+                if stem not in known:
+                    letters[stem] = None
+                if end not in known:
+                    other[end] = None
+            else:
+                other[w] = None
+        self._learn_letters(list(letters))
+        for w, ids in zip(other, self.encode(list(other)), strict=True):
+            known[w] = ids.tobytes()
+        for w, stem, end in parted:
+            known[w] = known[stem] + known[end]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Encode words of letters, many in one text: each is one match of the pattern and ends with an id that says so."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(group) and ends[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.known.update(zip(group, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+            else:
+                self.known.update((w, x.tobytes()) for w, x in zip(group, self.encode(group), strict=True))
+
+
+def _vocabulary(path: str) -> _Vocabulary:
     if path not in _tokenizers:
-        tok = Tokenizer.from_file(path)
-        special = {str(t): i for i, t in tok.get_added_tokens_decoder().items() if t.special}
-        gap = max(special.items(), key=lambda x: x[1], default=None)
-        _tokenizers[path] = (tok, {}, gap)
+        _tokenizers[path] = _Vocabulary(path)
     return _tokenizers[path]
 
 
-def _learn(words: list[str], tok, known: dict, gap: tuple[str, int] | None) -> None:
-    """Remember the ids of ``words`` that are not known.
+def encode_texts(column: pa.Array, path: str, end_id: int | None = None) -> pa.ListArray:
+    """The library's ids of every text, and ``end_id`` after them if there is one; nulls are empty.
 
-    Letters and a run of symbols after them are tokens apart to the vocabulary's patterns, so a
-    word with such an end is put together from its two parts.
-    """
-    parted, need = [], {}
-    for w in words:
-        if not w.isalpha():
-            stem = w.rstrip(SYMBOLS)
-            if stem and len(stem) < len(w) and stem.isalpha():
-                end = w[len(stem) :]
-                parted.append((w, stem, end))
-                for x in (stem, end):
-                    if x not in known:
-                        need[x] = None
-                continue
-        need[w] = None
-    _encode_words(list(need), tok, known, gap)
-    for w, stem, end in parted:
-        known[w] = known[stem] + known[end]
-
-
-def _encode_words(words: list[str], tok, known: dict, gap: tuple[str, int] | None) -> None:
-    """Have the library encode ``words``, many in one text with a special token between them."""
-    apart = [w for w in words if gap is None or "<" in w or "|" in w]
-    for w, e in zip(apart, tok.encode_batch_fast(apart, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    apart = set(apart)
-    plain = [w for w in words if w not in apart]
-    groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-    for low in range(0, len(groups), 64):
-        some = groups[low : low + 64]
-        for group, e in zip(some, tok.encode_batch_fast([gap[0].join(g) for g in some], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == gap[1]).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(group, [0, *[x + 1 for x in ends]], [*ends, len(ids)], strict=True):
-                known[w] = raw[4 * a : 4 * b]
-
-
-def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The library's ids of every text, concatenated, and how many each text has; nulls are empty.
-
-    The vocabulary's patterns never cross white space and letters count in lower case, so each
+    The vocabulary's pattern never crosses white space and letters count in lower case, so each
     lower-case word of a text is encoded once by the library and remembered. That holds for texts
     of Latin-1 characters, whose composition, case and white space are the same to Arrow and to the
     library; any other text goes to the library whole, and so does one with the start of a special
-    token, which the library finds in its case as written.
+    token, which the library finds in its case as written. With a tokenizer file of other rules
+    than PATTERN and NORMALIZERS all texts go whole.
     """
-    tok, known, gap = _tokenizer(path)
+    vocabulary = _vocabulary(path)
+    known = vocabulary.known
     if len(known) > CACHE_WORDS:
         known.clear()
+        known[""] = b""
     data, offsets = text_buffers(column)
     odd = (data >= 0xC4) | (data - np.uint8(0x1C) < 4)  # past Latin-1, or white space to Arrow alone
     odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
-    whole = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
-    usual = np.ones(len(column), bool)
-    usual[whole] = False
-    texts = pc.if_else(pa.array(usual), pc.fill_null(column, ""), "")
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    whole = np.zeros(len(column), bool)
+    whole[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+    if not vocabulary.by_word:
+        whole[:] = True
+    column = pc.fill_null(column, "")
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(whole), "", column)))
     counts = np.asarray(lists.offsets)
     words = lists.values.slice(int(counts[0]), int(counts[-1] - counts[0])).dictionary_encode()
-    counts = counts - counts[0]
+    counts = counts[1:] - counts[0]
     distinct = words.dictionary.to_pylist()
-    known.setdefault("", b"")
-    _learn([w for w in distinct if w not in known], tok, known, gap)
-    parts = [known[w] for w in distinct]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    starts = np.cumsum(sizes) - sizes
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    at = np.asarray(words.indices)
-    each = sizes[at]
-    upto = np.concatenate([[0], np.cumsum(each)])
-    place = np.arange(upto[-1])
-    place += np.repeat(starts[at] - upto[:-1], each)
-    ids = flat[place]
-    stops = upto[counts]
-    n = np.diff(stops)
-    if not len(whole):
-        return ids, n
-    pieces = np.split(ids, stops[1:-1])
-    for i in whole.tolist():
-        pieces[i] = np.array(tok.encode(column[i].as_py(), add_special_tokens=False).ids, "<u4")
-        n[i] = len(pieces[i])
-    return np.concatenate(pieces), n
+    vocabulary.learn(distinct)
+    # What can stand in a row: each distinct word, then each whole text, then nothing, then the end.
+    raw = [known[w] for w in distinct]
+    raw += [x.tobytes() for x in vocabulary.encode([column[i].as_py() for i in np.flatnonzero(whole).tolist()])]
+    raw += [b"", b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    stops = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    pieces = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(raw), "<u4").view(np.int32)))
+    last = np.full(len(column), len(raw) - 1, np.int32)
+    texts = last - 1
+    texts[whole] = len(distinct) + np.arange(whole.sum())
+    tails = np.stack([texts, last], 1) if whole.any() else last[:, None]
+    if end_id is None:
+        tails = tails[:, :-1]
+    at = np.insert(np.asarray(words.indices), np.repeat(counts, tails.shape[1]), tails.ravel())
+    rows = np.concatenate([[0], counts + tails.shape[1] * np.arange(1, len(counts) + 1)])
+    taken = pieces.take(pa.array(at))
+    offsets = np.asarray(taken.offsets)
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0])[rows].astype(np.int32)), taken.flatten())
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every row; a null text counts as empty, and has only the end id."""
+    """(doc_id, ids array<int>, ids_crc32) of every row; a null text counts as empty, and has only the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in row_chunks(text_buffers(batch.column(1))[1], SLICE_BYTES):
                 part = batch.slice(low, high - low)
-                ids, counts = encode_texts(part.column(1), path)
-                stops = np.cumsum(counts)
-                if end_id is not None:
-                    ids, stops = np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
-                offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+                ids = encode_texts(part.column(1), path, end_id)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _checksums(ids)], names=["doc_id", "ids", "ids_crc32"])
+
+    kind = docs.schema[doc_id].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("ids_crc32", T.LongType())])
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
+def _checksums(ids: pa.ListArray) -> pa.Array:
+    """The crc32 of each row's ids as little-endian unsigned 32-bit integers."""
+    stops = np.asarray(ids.offsets).tolist()
+    values = np.asarray(ids.values).astype("<u4", copy=False)
+    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)], pa.int64())
+
+
 def write_orc(docs: DataFrame, target: str, tokenizer: str, end_id: int | None = 2, stripe_mb: int = 16, compress: str = "LZ4") -> None:
-    """Encode ``docs`` and write ``target`` as ORC files that follow one another in doc_id order.
+    """Encode ``docs`` (doc_id, text) and write ``target`` as ORC files that follow one another in doc_id order.
 
     The texts are dealt into doc_id ranges first and encoded in place, so they move once and are
-    encoded once. Each stripe has row indexes, and Bloom filters on doc_id.
+    encoded once. Each stripe has row indexes, and Bloom filters on doc_id. Rows without doc_id come
+    first; rows that share one are all written, in the order of their checksums. An empty table
+    makes files without rows.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts(docs.sparkSession), "doc_id")
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
-        (encode(ranged, tokenizer, end_id).write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
+        encoded = encode(ranged, tokenizer, end_id).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32", F.size("ids")).drop("ids_crc32")
+        (encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
             .option("orc.create.index", "true").option("orc.row.index.stride", "2000").option("orc.stripe.size", str(stripe_mb << 20)).option("compression", compress.lower()).orc(target))
 
 
-def read_orc(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, ids) of the files; filters on doc_id skip stripes and row groups by index and Bloom filter."""
-    return spark.read.schema("doc_id bigint, ids array<int>").orc(path)
+def read_orc(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """(doc_id, ids) of the files; filters on doc_id, of type ``kind``, skip stripes and row groups by index and Bloom filter."""
+    return spark.read.schema(f"doc_id {kind}, ids array<int>").orc(path)
 
 
-def document_index(spark: SparkSession, path: str) -> DataFrame:
+def document_index(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     """Per document of the files below ``path``: start, n_tokens and the crc32 of its ids.
 
     The files follow one another in doc_id order, so ``start`` is a prefix sum in two levels: over
-    the files, of which only the totals meet, and within each file. Documents of equal id follow
-    in the order of their checksums.
+    the files, of which only the totals meet, and within each file, in the order of write_orc.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(1)
-            offsets = np.asarray(ids.offsets)
-            values = np.asarray(ids.values).astype("<u4")
-            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "_file"])
+            n = np.diff(np.asarray(ids.offsets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _checksums(ids), batch.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "_file"])
 
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("_file")
-    rows = read_orc(spark, path).select("doc_id", "ids", part).mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, _file int")
+    rows = read_orc(spark, path, kind).select("doc_id", "ids", part).mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, _file int")
     rows = rows.repartition(parts(spark), "_file")  # one exchange, which both branches below read
     totals = rows.groupBy("_file").agg(F.sum("n_tokens").alias("n"))
     totals = totals.select("_file", (F.sum("n").over(Window.orderBy("_file")) - F.col("n")).alias("_before"))
@@ -188,6 +218,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_orc_tokens(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every row of ``documents``, read back from the ORC files; end id 2."""
     import public_tokenizers
 
     target = shared_path(spark, "orc-tokens")
