@@ -38,7 +38,7 @@ class _Vocabulary:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, split = file["model"], (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -56,41 +56,24 @@ class _Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of ``words`` that are not known.
-
-        Letters and a run of symbols after them are tokens apart to the vocabulary's pattern, so a
-        word with such an end is put together from its two parts.
-        """
-        known, parted, letters, other = self.known, [], {}, {}
-        for w in words:
-            if w in known:
-                continue
-            if w.isalpha():
-                letters[w] = None
-                continue
-            stem = w.rstrip(SYMBOLS)
-            if stem and len(stem) < len(w) and stem.isalpha():
-                end = w[len(stem) :]
-                parted.append((w, stem, end))
-                if stem not in known:
-                    letters[stem] = None
-                if end not in known:
-                    other[end] = None
-            else:
-                other[w] = None
-        self._learn_letters(list(letters))
-        for w, ids in zip(other, self.encode(list(other)), strict=True):
-            known[w] = ids.tobytes()
-        for w, stem, end in parted:
-            known[w] = known[stem] + known[end]
+    def ids(self, words: pa.StringArray) -> pa.ListArray:
+        """The ids of each of ``words``, which are encoded once and remembered."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        names, known = words.to_numpy(zero_copy_only=False).tolist(), self.known
+        new = np.array([w not in known for w in names], bool)
+        letters = new & np.asarray(pc.utf8_is_alpha(words))
+        self._learn_letters([names[i] for i in np.flatnonzero(letters).tolist()])
+        other = [names[i] for i in np.flatnonzero(new & ~letters).tolist()]
+        known.update(zip(other, (x.tobytes() for x in self.encode(other)), strict=True))
+        return _lists([known[w] for w in names])
 
     def _learn_letters(self, words: list[str]) -> None:
         """Encode words of letters, many in one text: each is one match of the pattern and ends with an id that says so."""
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
             ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) == len(group) and ends[-1] == 4 * len(ids):
+            if ends and len(ends) == len(group) and ends[-1] == 4 * len(ids):
                 raw = ids.tobytes()
                 self.known.update(zip(group, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
             else:
@@ -103,6 +86,41 @@ def _vocabulary(path: str) -> _Vocabulary:
     return _tokenizers[path]
 
 
+def _lists(raw: list[bytes]) -> pa.ListArray:
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
+def _ends(words: pa.StringArray, stems: pa.StringArray) -> pa.StringArray:
+    """What ``words`` have after ``stems``."""
+    n = (np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(stems))).astype(np.int64)
+    data, offsets = text_buffers(words)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(offsets[1:] - upto[1:], n) + np.arange(upto[-1])
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
+def _concatenated(lists: pa.ListArray, at: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+    """Rows of the lists numbered ``at``, put together from rows[i] to rows[i + 1]."""
+    taken = lists.take(pa.array(at))
+    offsets = np.asarray(taken.offsets)
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0])[rows].astype(np.int32)), taken.flatten())
+
+
+def _word_ids(words: pa.StringArray, vocabulary: _Vocabulary) -> pa.ListArray:
+    """The ids of distinct words.
+
+    Letters and a run of symbols after them are tokens apart to the vocabulary's pattern, so a word
+    with such an end is put together from its two parts.
+    """
+    stems = pc.utf8_rtrim(words, SYMBOLS)
+    stems = pc.if_else(pc.utf8_is_alpha(stems), stems, words)
+    stem, end = stems.dictionary_encode(), _ends(words, stems).dictionary_encode()
+    lists = vocabulary.ids(pa.concat_arrays([stem.dictionary, end.dictionary]))
+    both = np.stack([np.asarray(stem.indices), np.asarray(end.indices) + len(stem.dictionary)], 1)
+    return _concatenated(lists, both.ravel(), 2 * np.arange(len(words) + 1))
+
+
 def encode_texts(column: pa.Array, path: str, end_id: int | None = None) -> pa.ListArray:
     """The library's ids of every text, and ``end_id`` after them if there is one; nulls are empty.
 
@@ -114,10 +132,6 @@ def encode_texts(column: pa.Array, path: str, end_id: int | None = None) -> pa.L
     than PATTERN and NORMALIZERS all texts go whole.
     """
     vocabulary = _vocabulary(path)
-    known = vocabulary.known
-    if len(known) > CACHE_WORDS:
-        known.clear()
-        known[""] = b""
     data, offsets = text_buffers(column)
     odd = (data >= 0xC4) | (data - np.uint8(0x1C) < 4)  # past Latin-1, or white space to Arrow alone
     odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
@@ -130,26 +144,16 @@ def encode_texts(column: pa.Array, path: str, end_id: int | None = None) -> pa.L
     counts = np.asarray(lists.offsets)
     words = lists.values.slice(int(counts[0]), int(counts[-1] - counts[0])).dictionary_encode()
     counts = counts[1:] - counts[0]
-    distinct = words.dictionary.to_pylist()
-    vocabulary.learn(distinct)
+    texts = vocabulary.encode([column[i].as_py() for i in np.flatnonzero(whole).tolist()])
+    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     # What can stand in a row: each distinct word, then each whole text, then nothing, then the end.
-    raw = [known[w] for w in distinct]
-    raw += [x.tobytes() for x in vocabulary.encode([column[i].as_py() for i in np.flatnonzero(whole).tolist()])]
-    raw += [b"", b"" if end_id is None else np.array([end_id], "<u4").tobytes()]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-    stops = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    pieces = pa.ListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(raw), "<u4").view(np.int32)))
-    last = np.full(len(column), len(raw) - 1, np.int32)
-    texts = last - 1
-    texts[whole] = len(distinct) + np.arange(whole.sum())
-    tails = np.stack([texts, last], 1) if whole.any() else last[:, None]
-    if end_id is None:
-        tails = tails[:, :-1]
+    lists = pa.concat_arrays([_word_ids(words.dictionary, vocabulary), _lists([*(x.tobytes() for x in texts), b"", end])])
+    last = np.full(len(column), len(lists) - 1, np.int32)
+    text = last - 1
+    text[whole] = len(words.dictionary) + np.arange(len(texts))
+    tails = np.stack([text, last], 1) if len(texts) else last[:, None]
     at = np.insert(np.asarray(words.indices), np.repeat(counts, tails.shape[1]), tails.ravel())
-    rows = np.concatenate([[0], counts + tails.shape[1] * np.arange(1, len(counts) + 1)])
-    taken = pieces.take(pa.array(at))
-    offsets = np.asarray(taken.offsets)
-    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0])[rows].astype(np.int32)), taken.flatten())
+    return _concatenated(lists, at, np.concatenate([[0], counts + tails.shape[1] * np.arange(1, len(counts) + 1)]))
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
