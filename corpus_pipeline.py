@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import byte_bpe, decontaminate, language_id, order_minhash, suffix_dedup
-from tickloom.llm.common import written
+from tickloom.llm.common import setting, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document of smallest doc_id. Rows without doc_id stay."""
+    """Of each class of near-duplicates, the document of smallest doc_id.
+
+    Rows without doc_id stay; rows that share one are one document and stay or go together.
+    """
     gone = order_minhash.near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -27,13 +30,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; documents of which nothing is left go.
 
-    ``n_chars`` follows the text. Rows that share a doc_id share its other columns.
+    ``n_chars`` follows the text. Rows without doc_id stay as they are; rows that share one are each
+    cut by their own text and keep their own columns.
     """
-    cut = suffix_dedup.remove_repeats(docs, as_text=True).where("kept <> '' OR n_bytes = 0").select("doc_id", F.col("kept").alias("text"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = docs.groupBy("doc_id").agg(F.first(F.struct(*others)).alias("rest")).withColumnRenamed("doc_id", "id") if others else None
-    out = cut.join(rest, cut.doc_id.eqNullSafe(rest.id)).select("doc_id", "text", "rest.*") if others else cut
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    named = docs.where("doc_id IS NOT NULL")
+    cut = suffix_dedup.remove_repeats(named, as_text=True, once=True).where("kept <> '' OR n_bytes = 0")
+    cut = cut.select("doc_id", F.col("n_bytes").alias("_n"), F.col("text_crc32").alias("_crc"), F.col("kept").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rest = named.withColumns({"_n": F.octet_length(text).cast("bigint"), "_crc": F.crc32(text)}).drop("text")
+    out = rest.join(cut, ["doc_id", "_n", "_crc"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +56,15 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 #: Texts that go to a Python worker at once, in all stages of a session.
 BATCH_ROWS = 2000
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def in_small_batches(stage):
-    """``stage`` with batches of BATCH_ROWS texts; the setting stays, since a stage's rows are made after it returns."""
+    """``stage`` with batches of BATCH_ROWS texts. A stage's rows are made after it returns, so the setting is put back by run()."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -76,7 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``; an empty table gives none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    with setting(spark, BATCHES, str(BATCH_ROWS)):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
     return docs

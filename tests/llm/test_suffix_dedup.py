@@ -1,6 +1,7 @@
 """Suffix-array dedup against a dictionary of all 50-byte strings."""
 
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -81,6 +82,33 @@ def test_defined_cases(spark):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark, monkeypatch):
+    """Each row is judged by its own text against smaller doc_ids only, in the hot route and in the other."""
+    import tickloom.llm.suffix_dedup as s
+
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    a, b, c = text(90), text(90), text(70)
+    rows = [(7, a + c), (7, b + c), (7, a + c), (3, c), (-9, b[10:80]), (9, text(30) + a), (9, b + text(30)), (9, text(40)), (1 << 60, a), (2, "")]
+    rows += [(100 + i // 2, text(30) + c[5:65] + text(20)) for i in range(40)]
+    for hot in (1024, 4):
+        monkeypatch.setattr(s, "HOT", hot)
+        got = sorted((r.doc_id, r.n_bytes, r.text_crc32, bytes(r.kept)) for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+        first = {}
+        for d, t in rows:
+            for i in range(len(t) - 49):
+                first[t[i : i + 50]] = min(first.get(t[i : i + 50], d), d)
+        want = []
+        for d, t in rows:
+            gone = np.zeros(len(t), bool)
+            for i in range(len(t) - 49):
+                gone[i : i + 50] |= first[t[i : i + 50]] < d
+            raw = np.frombuffer(t.encode(), np.uint8)
+            want.append((d, len(t), zlib.crc32(raw.tobytes()), raw[~gone].tobytes()))
+        assert got == sorted(want)
+    assert s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), once=True).count() == len(set(rows))
+
+
 def test_contexts_do_not_depend_on_slices(monkeypatch):
     """Near copies that differ by a byte near a seam: each gram, context and place as in the text uncut."""
     import tickloom.llm.suffix_dedup as s

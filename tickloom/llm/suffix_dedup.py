@@ -20,11 +20,12 @@ third of all documents share costs a task one row.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, BYTE_CODES, U64, mix, parts, row_chunks, text_buffers
@@ -33,6 +34,7 @@ LENGTH, GRAM = 50, 22
 SPAN = LENGTH - GRAM  # a window's last gram starts so far after its first
 AROUND = LENGTH + SPAN  # bytes of all windows that hold a gram
 HOT = 1024  # a gram with more unsettled places than this has its windows dealt one by one
+BUCKET_BYTES = 512 << 20  # of text, at most, on average, where the session's partitions are fewer
 SLICE = 4 << 20  # a longer text is sampled in slices
 ANCHORS = 1 << 21  # sampled positions that a task holds before it passes them on
 SETTLED, OPEN, OPEN_HOT, CONTEXT, WINDOW = 1, 2, 3, 4, 5
@@ -178,7 +180,7 @@ def _text_places(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> Ite
             yield names[at], context, docs[low + doc], before
 
 
-def _sample(keys: np.ndarray):
+def _sample(keys: np.ndarray, m: int):
     """Round 1 in the documents: sampled grams, without those that an equal one of the task settles."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,8 @@ def _sample(keys: np.ndarray):
         order = np.lexsort((doc, context, gram))
         gram, context, doc, at = gram[order], context[order], doc[order], at[order]
         new = _groups(gram, context)
-        later = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+        own = _document(doc, m)
+        later = own > own[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
         yield from _deal(SETTLED, _doc_bucket(doc[later], keys), doc[later], at[later].astype("<u4"))
         gram, context, doc, at = (x[~later] for x in (gram, context, doc, at))
         order = np.lexsort((at, doc))
@@ -210,7 +213,7 @@ def _sample(keys: np.ndarray):
     return run
 
 
-def _rank_grams(keys: np.ndarray):
+def _rank_grams(keys: np.ndarray, m: int):
     """Round 1 over the grams of a partition: unique ones drop out, whole contexts settle, the rest stay open."""
 
     def ranked(blobs: list[bytes]) -> tuple[list[np.ndarray], ...]:
@@ -222,9 +225,10 @@ def _rank_grams(keys: np.ndarray):
         new = _groups(gram)
         starts = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        repeated = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))[group]
+        of = _document(doc, m)
+        repeated = (np.minimum.reduceat(of, starts) < np.maximum.reduceat(of, starts))[group]
         own = _groups(gram, context)
-        first = doc == doc[np.maximum.accumulate(np.where(own, np.arange(len(doc)), 0))]
+        first = of == of[np.maximum.accumulate(np.where(own, np.arange(len(doc)), 0))]
         several = (np.add.reduceat(own.astype(np.int64), starts) > 1)[group]
         still = repeated & first & several
         hot = (np.bincount(group[still], minlength=len(starts)) > HOT)[group]
@@ -274,6 +278,11 @@ def _pack_texts(keys: np.ndarray):
     return run
 
 
+def _document(ids: np.ndarray, m: int) -> np.ndarray:
+    """The doc_id of each id, of which every doc_id has ``m``."""
+    return ids if m == 1 else ids // m
+
+
 def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges as maximal runs."""
     if not len(starts):
@@ -297,17 +306,17 @@ def _whole(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (k >= SPAN - before[:, None]) & (k <= after[:, None])
 
 
-def _rank_windows(names: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which windows also stand in a document of smaller id."""
+def _rank_windows(names: np.ndarray, grams: np.ndarray, docs: np.ndarray, m: int) -> np.ndarray:
+    """Which windows also stand in a document of smaller id; windows are equal if both 64-bit names are."""
     order = np.lexsort((docs, names))
-    new = _groups(names[order])
-    sorted_docs = docs[order]
+    new = _groups(names[order], grams[order])
+    sorted_docs = _document(docs[order], m)
     later = np.empty(len(names), bool)
     later[order] = sorted_docs > sorted_docs[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     return later
 
 
-def _open_contexts(keys: np.ndarray):
+def _open_contexts(keys: np.ndarray, m: int):
     """The documents' side of round 2: bytes around open grams; settled places become runs."""
 
     def run(key: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
@@ -323,7 +332,7 @@ def _open_contexts(keys: np.ndarray):
         settled = []
         bucket = key[0].as_py()
         for doc, text in _texts(texts.column("blob").to_pylist()):
-            if doc in seen:  # a repeated row
+            if doc in seen:  # the same text again
                 continue
             seen.add(doc)
             mine = {k: at[slice(*np.searchsorted(docs, [doc, doc + 1]))] for k, (docs, at) in places.items()}
@@ -356,17 +365,19 @@ def _open_contexts(keys: np.ndarray):
                 names = _window_names(around, gram)[whole]
                 docs = np.repeat(doc, whole.sum(1))
                 starts = (at.astype(np.int64)[:, None] - SPAN + np.arange(SPAN + 1)[None, :])[whole].astype("<u4")
-                later = _rank_windows(names, docs)
+                # A window is dealt and compared by its two names whatever gram led to it, so its gram is the one it starts with.
+                first = gram_names(np.ascontiguousarray(around).reshape(-1))[np.arange(len(around))[:, None] * AROUND + np.arange(SPAN + 1)[None, :]][whole]
+                later = _rank_windows(names, first, docs, m)
                 out += _deal(SETTLED, np.full(int(later.sum()), bucket), docs[later], starts[later], starts[later] + np.uint32(LENGTH))
                 _, once = np.unique(np.stack([names, docs.view(U64), starts.astype(U64)])[:, ~later], axis=1, return_index=True) if (~later).any() else (None, np.zeros(0, np.int64))
                 keep = np.flatnonzero(~later)[once]
-                out += _deal(WINDOW, _gram_bucket(names[keep], keys), names[keep].astype("<u8"), docs[keep], starts[keep])
+                out += _deal(WINDOW, _gram_bucket(names[keep], keys), names[keep].astype("<u8"), first[keep].astype("<u8"), docs[keep], starts[keep])
         return pa.Table.from_batches(out, ROW_SCHEMA)
 
     return run
 
 
-def _rank_open(keys: np.ndarray):
+def _rank_open(keys: np.ndarray, m: int):
     """Round 2 over the windows of a partition: those that stand in an earlier document, as runs of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,14 +397,14 @@ def _rank_open(keys: np.ndarray):
                 part = slice(low, high)
                 whole = _whole(before[part], after[part])
                 names = _window_names(around[part], gram[part])[whole]
-                docs = np.repeat(doc[part], whole.sum(1))
+                docs, grams = np.repeat(doc[part], whole.sum(1)), np.repeat(gram[part], whole.sum(1))
                 begin = (at[part].astype(np.int64)[:, None] - SPAN + np.arange(SPAN + 1)[None, :])[whole]
-                later = _rank_windows(names, docs)
+                later = _rank_windows(names, grams, docs, m)
                 found.append((docs[later], begin[later]))
                 low = high
         if windows:
-            names, docs, begin = _gather(windows, "<u8", "<i8", "<u4")
-            later = _rank_windows(names, docs)
+            names, grams, docs, begin = _gather(windows, "<u8", "<u8", "<i8", "<u4")
+            later = _rank_windows(names, grams, docs, m)
             found.append((docs[later], begin[later].astype(np.int64)))
         if found:
             docs, begin = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -408,59 +419,84 @@ def _rank_open(keys: np.ndarray):
     return run
 
 
-OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept "
+OUT = "doc_id bigint, n_bytes bigint, text_crc32 bigint, spans array<struct<start:bigint,end:bigint>>, kept "
 
 
-def _cut(as_text: bool):
+def _cut(as_text: bool, once: bool, m: int):
     """The last step: each text without its runs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
-    return lambda key, texts, runs: _cut_bucket(texts, runs, schema, as_text)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("text_crc32", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string() if as_text else pa.binary())])
+    return lambda key, texts, runs: _cut_bucket(texts, runs, schema, as_text, once, m)
 
 
-def _cut_bucket(texts: pa.Table, runs: pa.Table, schema: pa.Schema, as_text: bool) -> pa.Table:
+def _cut_bucket(texts: pa.Table, runs: pa.Table, schema: pa.Schema, as_text: bool, once: bool, m: int) -> pa.Table:
     doc, start, end = _gather(runs.column("blob").to_pylist(), "<i8", "<u4", "<u4")
     order = np.argsort(doc, kind="stable")
     doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
-    out = {k: [] for k in schema.names}
+    out, seen = {k: [] for k in schema.names}, set()
     for d, text in _texts(texts.column("blob").to_pylist()):
+        if once and d in seen:
+            continue
+        seen.add(d)
         mine = slice(*np.searchsorted(doc, [d, d + 1]))
         starts, ends = _runs(np.minimum(start[mine], len(text)), np.minimum(end[mine], len(text)))
         keep = np.ones(len(text), bool)
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             keep[a:b] = False
-        out["doc_id"].append(d)
+        out["doc_id"].append(d // m)
         out["n_bytes"].append(len(text))
+        out["text_crc32"].append(zlib.crc32(text))
         out["spans"].append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b > a])
         kept = (text[keep] if len(starts) else text).tobytes()
         out["kept"].append(kept.decode(errors="ignore") if as_text else kept)
     return pa.Table.from_pydict(out, schema)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row: ``text`` without the bytes that an earlier document has.
+def _with_ids(named: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows by an id that each text of a doc_id has for itself, how many ids a doc_id has, and the bytes of all texts.
+
+    The id is doc_id unless several texts share one; then it is the doc_id times the most texts that
+    one has, plus the text's number.
+    """
+    texts = named.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    of_text = texts.groupBy("doc_id", "h").agg(F.sum("n").alias("n"))
+    most, total = of_text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).agg(F.max("k"), F.sum("n")).first()
+    m = most or 1
+    if m == 1:
+        return named, 1, total or 0
+    numbered = of_text.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).alias("j"))
+    keyed = named.withColumn("h", F.xxhash64("text")).join(numbered, ["doc_id", "h"])
+    ids = F.when(F.abs("doc_id") < F.lit((1 << 62) // m), F.col("doc_id") * F.lit(m) + F.col("j"))
+    return keyed.select(F.coalesce(ids, F.raise_error("doc_id too large to number the texts that share one").cast("bigint")).alias("doc_id"), "text"), m, total
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, once: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, text_crc32, spans, kept) of every row: ``text`` without the bytes that an earlier document has.
 
     Removed is each byte of a LENGTH-byte string that also starts in a document with a smaller
-    doc_id, judged on the input. Null texts are empty; a row without doc_id keeps its text and
-    gives nothing away; rows that share a doc_id are taken to have one text and are each returned.
-    ``spans`` are the maximal removed runs of bytes; ``kept`` is the rest, which may start or end
-    inside a character; with ``as_text`` it is a string without such parts of characters.
+    doc_id, judged on the input. Strings are equal if two 64-bit names of them are. Null texts are
+    empty; a row without doc_id keeps its text and gives nothing away; rows that share a doc_id are
+    each judged by their own text, and take nothing from one another. ``spans`` are the maximal
+    removed runs of bytes; ``kept`` is the rest, which may start or end inside a character; with
+    ``as_text`` it is a string without such parts of characters. With ``once``, rows of equal doc_id
+    and text give one row.
     """
     spark = docs.sparkSession
-    n = parts(spark)
-    keys = _bucket_keys(spark, n)
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    named = rows.where(F.col("doc_id").isNotNull())
-    grams = named.mapInArrow(_sample(keys), ROWS).repartition(n, "bucket").mapInArrow(_rank_grams(keys), ROWS)
+    named, m, size = _with_ids(rows.where(F.col("doc_id").isNotNull()))
+    n = parts(spark, -(-size // BUCKET_BYTES))
+    keys = _bucket_keys(spark, n)
+    grams = named.mapInArrow(_sample(keys, m), ROWS).repartition(n, "bucket").mapInArrow(_rank_grams(keys, m), ROWS)
     texts = named.mapInArrow(_pack_texts(keys), ROWS)
-    windows = texts.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_open_contexts(keys), ROWS)
-    runs = windows.repartition(n, "bucket").mapInArrow(_rank_open(keys), ROWS)
-    cut = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_cut(as_text), OUT + ("string" if as_text else "binary"))
+    windows = texts.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_open_contexts(keys, m), ROWS)
+    runs = windows.repartition(n, "bucket").mapInArrow(_rank_open(keys, m), ROWS)
+    cut = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_cut(as_text, once, m), OUT + ("string" if as_text else "binary"))
     rest = rows.where(F.col("doc_id").isNull())
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("spans"), F.col("text").cast("string" if as_text else "binary").alias("kept")))
+    return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.crc32("text").alias("text_crc32"), none.alias("spans"), F.col("text").cast("string" if as_text else "binary").alias("kept")))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``documents``."""
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x.end - x.start)
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
