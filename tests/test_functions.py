@@ -164,3 +164,56 @@ def test_plans(spark):
     files = spark.createDataFrame([("a", "prices"), ("b", "twap60s"), ("c", "book")], "path string, dataset string")
     assert sorted(r.path for r in plans.settlement_paths(files, m).collect()) == ["a", "c"]
     assert [r.market_id for r in plans.market_order(m, "session").collect()] == ["m1", "m2"]
+
+
+def test_spans_open_on_either_side(spark):
+    """Without keys too, a null bound is open; a span of two null bounds holds every point; reversed spans hold none."""
+    points = spark.createDataFrame([(t,) for t in (-7, 0, 3, 4, 19)], "ts long")
+    spans = spark.createDataFrame([(1, None, None), (2, 3, None), (3, None, 0), (4, 0, 4), (5, 4, 0), (6, 100, None), (7, -10**15, 10**15)], "id int, start long, end long")
+    got = {}
+    for r in temporal.within(points, spans, "ts", "start", "end", 4).collect():
+        got.setdefault(r.id, []).append(r.ts)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [-7, 0, 3, 4, 19], 2: [3, 4, 19], 3: [-7, 0], 4: [0, 3, 4], 7: [-7, 0, 3, 4, 19]}
+    assert temporal.within(points.limit(0), spans, "ts", "start", "end", 4).count() == 0
+
+
+def test_iso_zones(spark):
+    cases = {"2025-01-01T12:00:00Z": 0, "2025-01-01 12:00:00+00": 0, " 2025-01-01 12:00:00+00:00 ": 0, "2025-01-01T14:30:00+0230": 0, "2025-01-01T07:00:00.25-05": 250, "2025-01-01T12:00:00": None, "2025-02-30T12:00:00Z": None, "2025-01-01T12:00Z": None}
+    df = spark.createDataFrame([(c,) for c in cases], "c string").select("c", P.iso_ms(F.col("c")).alias("ms"))
+    assert {r.c: r.ms for r in df.collect()} == {c: None if v is None else 1735732800000 + v for c, v in cases.items()}
+
+
+def test_unusable_reasons(spark):
+    ok = dict(asset="btc", token_ids=["u", "d"], stream="s", outcome="UP", open_ms=10, close_ms=20)
+    markets = {"ok": ok, "venue": {**ok, "token_ids": []}, "open": {**ok, "open_ms": None, "close_ms": None}, "blank": {**ok, "asset": ""}, "all": dict(asset=None, token_ids=None, stream=None, outcome=None, open_ms=10, close_ms=20), "tokens": {**ok, "token_ids": None, "stream": None},
+               "stream": {**ok, "stream": None, "outcome": None}, "outcome": {**ok, "outcome": "VOID"}, "outside": ok, "trades": ok, "books": ok, "quiet": ok}
+    m = spark.createDataFrame([(k, *v.values()) for k, v in markets.items()], "market_id string, asset string, token_ids array<string>, stream string, outcome string, open_ms long, close_ms long")
+    events = [("ok", 10, "tick"), ("venue", 20, "tick"), ("open", 99, "tick"), ("outside", 21, "tick"), ("outside", 9, "book"), ("trades", 15, "trade"), ("books", 15, "book"), ("books", 25, "tick"), ("unknown", 15, "tick"), ("outcome", 15, "tick"), ("blank", 15, "tick")]
+    got = {r.market_id: r.reason for r in decode.unusable(m, spark.createDataFrame(events, "market_id string, ts_ms long, kind string")).collect()}
+    assert got == {"unknown": decode.NO_METADATA, "blank": decode.NO_ASSET, "all": decode.NO_ASSET, "tokens": decode.NO_TOKENS, "stream": decode.NO_STREAM, "outcome": decode.NO_OUTCOME, "outside": decode.NO_EVENTS, "trades": decode.NO_EVENTS, "quiet": decode.NO_EVENTS, "books": "no settlement ticks on s"}
+
+
+def test_account_series_ends(spark):
+    """The last time is the last final sample's, and a point of its own off the grid; what comes later doesn't count."""
+    cols = "key string, ts long, ord long, cash long, marked long, position_value long, final boolean"
+    rows = [("a", 3, 1, 10, 1, 5, False), ("b", 12, 2, 7, 0, 0, False), ("a", 20, 3, 20, 2, 0, False), ("a", 24, 4, 30, 0, 4, True), ("b", 31, 5, 99, 0, 9, False)]
+    series = lambda r: [tuple(x) for x in report.account_series(spark.createDataFrame(r, cols), 10).orderBy("ts").collect()]
+    assert series(rows) == [(10, 16, 5, 1), (20, 29, 0, 0), (24, 41, 4, 1)]
+    assert series([(*r[:6], False) for r in rows])[-2:] == [(30, 41, 4, 1), (31, 142, 13, 2)]
+    assert series([("a", 3, 1, 10, 1, 5, False)]) == [(3, 16, 5, 1)]
+    assert series([("a", 40, 1, 10, 1, 5, True)]) == [(40, 16, 5, 1)]
+    assert series([]) == []
+
+
+def test_panels_with_gaps(spark):
+    """Markets without trades, cells without runs and cadences outside the range."""
+    from tickloom.plans.data import throttle_ms
+
+    m = spark.createDataFrame([(1, "UP", "s"), (2, "DOWN", "s")], "market_id int, outcome string, stream string")
+    t = spark.createDataFrame([(1, 4, 7, 9)], "market_id int, size long, pnl long, opened_ms long")
+    rows = {r.market_id: r for r in report.market_rows(m, t).collect()}
+    assert (rows[1].entered, rows[1].trades, rows[1].pnl, rows[2].entered, rows[2].trades, rows[2].pnl, rows[2].first_ms) == (True, 1, 7, False, 0, 0, None)
+    cells = spark.createDataFrame([(0, 1, 5), (0, 2, 6), (1, 2, 7)], "y int, x int, v int")
+    assert sorted(map(tuple, report.sweep(cells, "y", "x", "v", [1, 2]).select("y", "x_1", "x_2").collect())) == [(0, 5, 6), (1, None, 7)]
+    w = spark.createDataFrame([("a", 0, 99, 900), ("a", 50, 100, 20), ("a", 400, 500, 10), ("a", 401, 500, 800), ("b", 0, 1, 5)], "asset string, from long, to long, ms int")
+    assert [tuple(r) for r in throttle_ms(w, 100, 400).collect()] == [("a", 20)]

@@ -206,20 +206,24 @@ def downsample(points: DataFrame, index: str, value: str, n: int, most: int) ->
 
 
 def account_series(samples: DataFrame, step_ms: int, key: str = "key") -> DataFrame:
-    """(ts, value, position_value, open_positions) at each multiple of ``step_ms`` from the first sample to the last.
+    """(ts, value, position_value, open_positions) at each multiple of ``step_ms`` from the first sample on, and at the last.
 
+    ``samples`` have ts, ord, cash, marked, position_value and final. The last time is that of the
+    last final sample, or of the last sample if none is final; it is a point even off the grid.
     Each instance counts with its latest sample so far. A sample changes the sums by its
     difference to the instance's sample before, so the series is a running sum of changes.
     """
     w = Window.partitionBy(key).orderBy("ts", "ord")
-    v = F.col("cash") + F.col("position_value")
+    v = F.col("cash") + F.col("marked") + F.col("position_value")
     open_now = (F.col("position_value") > 0).cast("bigint")
     change = lambda x: x - F.coalesce(F.lag(x).over(w), F.lit(0).cast("bigint"))
-    grid = F.ceil(F.col("ts") / step_ms) * step_ms
-    deltas = samples.select(grid.alias("ts"), change(v).alias("dv"), change(F.col("position_value")).alias("dp"), change(open_now).alias("do"))
-    steps = deltas.groupBy("ts").agg(F.sum("dv").alias("dv"), F.sum("dp").alias("dp"), F.sum("do").alias("do"))
-    span = samples.agg((F.ceil(F.min("ts") / step_ms) * step_ms).alias("a"), (F.floor(F.max("ts") / step_ms) * step_ms).alias("b")).where("a <= b")
-    points = span.select(F.explode(F.sequence("a", "b", F.lit(step_ms).cast("bigint"))).alias("ts"))
+    last = samples.agg(F.coalesce(F.max(F.when(F.col("final"), F.col("ts"))), F.max("ts"))).scalar()
+    grid = F.least(F.ceil(F.col("ts") / step_ms) * step_ms, last)
+    deltas = samples.select("ts", grid.alias("at"), change(v).alias("dv"), change(F.col("position_value")).alias("dp"), change(open_now).alias("do"))
+    steps = deltas.where(F.col("ts") <= last).groupBy(F.col("at").alias("ts")).agg(F.sum("dv").alias("dv"), F.sum("dp").alias("dp"), F.sum("do").alias("do"))
+    span = samples.agg((F.ceil(F.min("ts") / step_ms) * step_ms).alias("a"), F.coalesce(F.max(F.when(F.col("final"), F.col("ts"))), F.max("ts")).alias("b"))
+    on_grid = F.when(F.col("a") <= F.col("b"), F.sequence("a", F.floor(F.col("b") / step_ms) * step_ms, F.lit(step_ms).cast("bigint")))
+    points = span.where("b IS NOT NULL").select(F.explode(F.array_distinct(F.concat(F.coalesce(on_grid, F.array().cast("array<bigint>")), F.array("b")))).alias("ts"))
     out = points.join(steps, "ts", "left").select("ts", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("dv", "dp", "do")])
     block = F.floor(F.col("ts") / (step_ms * 1000))
     for c, name in (("dv", "value"), ("dp", "position_value"), ("do", "open_positions")):

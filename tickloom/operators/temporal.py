@@ -29,19 +29,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
 def within(points: DataFrame, spans: DataFrame, ts: str, start: str, end: str, bin_ms: int, on: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Points joined with the closed spans that hold them; a null bound is open.
 
-    Bounded spans are cut into bins of ``bin_ms``, so that the join has an equality and can be
-    shuffled; a span meets each of its points in one bin. Open spans, which no bins can hold, are
-    joined on ``keys`` alone.
+    Spans are cut into bins of ``bin_ms``, so that the join has an equality and can be shuffled; a
+    span meets each of its points in one bin. Bins lie between the first and the last point, which
+    also bounds open spans.
     """
-    bounded = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-    bins = bounded.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_ms), F.floor(F.col(end) / bin_ms))))
-    at = points.withColumn("_bin", F.floor(F.col(ts) / bin_ms))
-    ok = (F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end))
-    out = at.join(bins, ["_bin", *keys]).where(ok).drop("_bin")
-    open_spans = spans.where(F.col(start).isNull() | F.col(end).isNull())
-    free = (F.col(start).isNull() | (F.col(ts) >= F.col(start))) & (F.col(end).isNull() | (F.col(ts) <= F.col(end)))
-    rest = points.join(open_spans, list(keys)).where(free) if keys else None
-    out = out if rest is None else out.unionByName(rest)
+    begin, stop, at = F.col(start), F.col(end), F.col(ts)
+    first, last = points.agg(F.min(ts)).scalar(), points.agg(F.max(ts)).scalar()
+    low, high = F.greatest(begin, first), F.least(stop, last)  # nulls don't count
+    bins = F.sequence(F.floor(low / bin_ms), F.floor(high / bin_ms))
+    cut = spans.where(begin.isNull() | stop.isNull() | (begin <= stop)).withColumn("_bin", F.explode(F.when(low <= high, bins)))
+    out = points.withColumn("_bin", F.floor(at / bin_ms)).join(cut, ["_bin", *keys])
+    out = out.where((begin.isNull() | (at >= begin)) & (stop.isNull() | (at <= stop))).drop("_bin")
     return out if on is None else out.where(on)
 
 

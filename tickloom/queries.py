@@ -399,11 +399,11 @@ def q_split(spark, d):
     return report.split(trades(spark, d).withColumn("asset", F.nullif("asset", F.lit(7))), "asset", "side")
 
 
-ROWS = "WITH " + TR + ", " + MK + ", own AS (SELECT market_id, count(*) AS n, sum(size) AS c, sum(pnl) AS p, min(opened_ms) AS f FROM tr WHERE market_id % 3 <> 0 GROUP BY 1), mr AS (SELECT mk.market_id, outcome, stream, n IS NOT NULL AS entered, coalesce(n, 0)::BIGINT AS trades, coalesce(c, 0)::BIGINT AS contracts, coalesce(p, 0)::BIGINT AS pnl, f AS first_ms FROM mk LEFT JOIN own USING (market_id))"
+ROWS = "WITH " + TR + ", " + MK + ", own AS (SELECT market_id, count(*) AS n, sum(size) AS c, sum(pnl) AS p, min(opened_ms) AS f FROM tr GROUP BY 1), mr AS (SELECT mk.market_id, outcome, stream, n IS NOT NULL AS entered, coalesce(n, 0)::BIGINT AS trades, coalesce(c, 0)::BIGINT AS contracts, coalesce(p, 0)::BIGINT AS pnl, f AS first_ms FROM mk LEFT JOIN own USING (market_id))"
 
 
 def rows_of_markets(spark, d):
-    return report.market_rows(markets(spark, d).drop("up_ticks", "down_ticks"), trades(spark, d).where("market_id % 3 <> 0"))
+    return report.market_rows(markets(spark, d).drop("up_ticks", "down_ticks"), trades(spark, d))
 
 
 @query("q_market_rows", ROWS + " SELECT * FROM mr")
@@ -416,10 +416,10 @@ def q_by_settlement(spark, d):
     return report.by_settlement(rows_of_markets(spark, d))
 
 
-@query("q_sweep_pivot", "WITH " + TR + """, c AS (SELECT asset % 6 AS y, o2 AS x, sum(pnl)::BIGINT AS v FROM tr WHERE (asset + o2) % 5 <> 0 GROUP BY 1, 2)
+@query("q_sweep_pivot", "WITH " + TR + """, c AS (SELECT asset % 6 AS y, o2 AS x, sum(pnl)::BIGINT AS v FROM tr GROUP BY 1, 2)
 SELECT y, max(v) FILTER (WHERE x = 1) AS x_1, max(v) FILTER (WHERE x = 2) AS x_2, max(v) FILTER (WHERE x = 3) AS x_3, max(v) FILTER (WHERE x = 4) AS x_4 FROM c GROUP BY 1""")
 def q_sweep_pivot(spark, d):
-    cells = trades(spark, d).where("(asset + o2) % 5 <> 0").groupBy((F.col("asset") % 6).alias("y"), F.col("o2").alias("x")).agg(F.sum("pnl").alias("v"))
+    cells = trades(spark, d).groupBy((F.col("asset") % 6).alias("y"), F.col("o2").alias("x")).agg(F.sum("pnl").alias("v"))
     return report.sweep(cells, "y", "x", "v", [1, 2, 3, 4])
 
 
@@ -434,12 +434,16 @@ def q_downsample(spark, d):
     return report.downsample(points, "i", "v", days.count(), 100).select("day", "v")
 
 
-@query("q_account_series", "WITH " + EV + """, s AS (SELECT market_id AS k, ts_ms AS ts, event_id AS ord, cents AS cash, CASE WHEN cents % 3 = 0 THEN 0 ELSE cents % 100 END AS pos FROM ev),
-g AS (SELECT unnest(range((-(-min(ts) // 86400000)) * 86400000, max(ts) // 86400000 * 86400000 + 1, 86400000)) AS ts FROM s), k AS (SELECT DISTINCT k FROM s), gk AS (SELECT * FROM g, k),
-a AS (SELECT gk.ts, s.cash, s.pos FROM gk ASOF JOIN (SELECT * FROM s) s ON gk.k = s.k AND gk.ts >= s.ts)
+@query("q_account_series", "WITH " + EV + """, s AS (SELECT market_id AS k, ts_ms AS ts, event_id AS ord, cents AS cash, event_id % 7 AS marked, CASE WHEN cents % 3 = 0 THEN 0 ELSE cents % 100 END AS pos, event_type = 'purchase' AS final FROM ev),
+l AS (SELECT min(ts) AS a, coalesce(max(ts) FILTER (WHERE final), max(ts)) AS b FROM s),
+g AS (SELECT unnest(range((-(-a // 86400000)) * 86400000, b // 86400000 * 86400000 + 1, 86400000)) AS ts FROM l UNION SELECT b FROM l), k AS (SELECT DISTINCT k FROM s), gk AS (SELECT * FROM g, k),
+o AS (SELECT k, ts, arg_max(cash + marked, ord) AS cash, arg_max(pos, ord) AS pos FROM s GROUP BY k, ts),
+a AS (SELECT gk.ts, o.cash, o.pos FROM gk ASOF JOIN o ON gk.k = o.k AND gk.ts >= o.ts)
 SELECT ts::BIGINT AS ts, sum(cash + pos)::BIGINT AS value, sum(pos)::BIGINT AS position_value, count(*) FILTER (WHERE pos > 0) AS open_positions FROM a GROUP BY 1""")
 def q_account_series(spark, d):
-    s = events(spark, d).select(F.col("market_id").alias("key"), F.col("ts_ms").alias("ts"), F.col("event_id").alias("ord"), F.col("cents").alias("cash"), F.when(F.col("cents") % 3 == 0, F.lit(0)).otherwise(F.col("cents") % 100).cast("bigint").alias("position_value"))
+    c = F.col("cents")
+    s = events(spark, d).select(F.col("market_id").alias("key"), F.col("ts_ms").alias("ts"), F.col("event_id").alias("ord"), c.alias("cash"), (F.col("event_id") % 7).alias("marked"),
+                                F.when(c % 3 == 0, F.lit(0)).otherwise(c % 100).cast("bigint").alias("position_value"), (F.col("event_type") == "purchase").alias("final"))
     return report.account_series(s, 86_400_000)
 
 
@@ -458,16 +462,30 @@ def q_antijoin(spark, d):
     return e.where("event_type = 'purchase'").select("day", "market_id").distinct().join(e.where("event_type = 'error'"), ["day", "market_id"], "left_anti")
 
 
-@query("q_unusable", "WITH " + EV + """, m AS (SELECT c_custkey AS market_id, CASE WHEN c_custkey % 11 <> 0 THEN 0 END AS open_ms, CASE WHEN c_custkey % 13 = 0 THEN 0 ELSE 5 END AS close_ms, CASE WHEN c_custkey % 17 <> 0 THEN 'UP' END AS outcome, CASE WHEN c_custkey % 19 <> 0 THEN 'prices' END AS stream FROM customer),
-s AS (SELECT market_id, bool_or(event_type = 'click') AS t, bool_or(event_type = 'view') AS b, bool_or(event_type <> 'purchase') AS a FROM ev WHERE event_id % 40 = 0 GROUP BY 1),
-r AS (SELECT m.market_id, CASE WHEN open_ms IS NULL THEN 'no window' WHEN open_ms >= close_ms THEN 'empty window' WHEN outcome IS NULL THEN 'no outcome' WHEN stream IS NULL THEN 'no settlement stream' WHEN NOT coalesce(a, false) THEN 'no events' WHEN NOT t THEN 'no ticks' WHEN NOT b THEN 'no book' END AS reason FROM m LEFT JOIN s USING (market_id))
+@query("q_unusable", "WITH " + EV + """, t AS (SELECT min(ts_ms) AS a, max(ts_ms) - min(ts_ms) AS span FROM ev),
+m AS (SELECT c_custkey AS market_id, CASE WHEN c_custkey % 23 = 0 THEN '' WHEN c_custkey % 11 <> 0 THEN 'btc' END AS asset, CASE WHEN c_custkey % 13 <> 0 THEN ['u', 'd'] END AS token_ids,
+    CASE WHEN c_custkey % 17 <> 0 THEN 'prices' || c_custkey % 3 END AS stream, CASE c_custkey % 19 WHEN 0 THEN NULL WHEN 1 THEN 'VOID' WHEN 2 THEN 'TIE' ELSE 'UP' END AS outcome,
+    CASE WHEN c_custkey % 5 <> 0 THEN a + span // 8 * (c_custkey % 7) END AS open_ms, CASE WHEN c_custkey % 6 <> 0 THEN a + span // 8 * (c_custkey % 7 + 1) END AS close_ms FROM customer, t),
+e AS (SELECT DISTINCT ev.market_id, event_type FROM ev LEFT JOIN m USING (market_id) WHERE event_type <> 'purchase' AND coalesce(ts_ms >= open_ms, true) AND coalesce(ts_ms <= close_ms, true)),
+i AS (SELECT market_id FROM m UNION SELECT market_id FROM ev), r AS (SELECT i.market_id, CASE
+    WHEN m.market_id IS NULL THEN 'no market metadata'
+    WHEN asset IS NULL OR asset = '' THEN 'market has no asset'
+    WHEN token_ids IS NULL THEN 'market has no usable [Up, Down] token ids'
+    WHEN stream IS NULL THEN 'settlement stream could not be resolved'
+    WHEN outcome IS NULL OR outcome NOT IN ('UP', 'DOWN', 'TIE') THEN 'outcome could not be read'
+    WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.market_id = i.market_id) THEN 'no events inside the market window'
+    WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.market_id = i.market_id AND event_type = 'click') THEN 'no settlement ticks on ' || stream END AS reason FROM i LEFT JOIN m ON i.market_id = m.market_id)
 SELECT * FROM r WHERE reason IS NOT NULL""")
 def q_unusable(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
+    e = events(spark, d)
+    first, span = e.agg(F.min("ts_ms")).scalar(), F.floor(e.agg(F.max("ts_ms") - F.min("ts_ms")).scalar() / 8)
     k = F.col("c_custkey")
-    m = c.select(k.alias("market_id"), F.when(k % 11 != 0, F.lit(0)).alias("open_ms"), F.when(k % 13 == 0, F.lit(0)).otherwise(5).alias("close_ms"), F.when(k % 17 != 0, "UP").alias("outcome"), F.when(k % 19 != 0, "prices").alias("stream"))
+    m = spark.read.parquet(f"{d}/customer.parquet").select(
+        k.alias("market_id"), F.when(k % 23 == 0, "").when(k % 11 != 0, "btc").alias("asset"), F.when(k % 13 != 0, F.array(F.lit("u"), F.lit("d"))).alias("token_ids"),
+        F.when(k % 17 != 0, F.concat(F.lit("prices"), k % 3)).alias("stream"), F.when(k % 19 == 1, "VOID").when(k % 19 == 2, "TIE").when(k % 19 != 0, "UP").alias("outcome"),
+        F.when(k % 5 != 0, first + span * (k % 7)).alias("open_ms"), F.when(k % 6 != 0, first + span * (k % 7 + 1)).alias("close_ms"))
     kind = F.when(F.col("event_type") == "click", "tick").when(F.col("event_type") == "view", "book").when(F.col("event_type") == "purchase", "trade").otherwise("spot")
-    return decode.unusable(m, events(spark, d).where("event_id % 40 = 0").select("market_id", kind.alias("kind")))
+    return decode.unusable(m, e.select("market_id", "ts_ms", kind.alias("kind")))
 
 
 @query("q_resolution", "WITH " + EV + """, c AS (SELECT market_id, ts_ms, CASE event_type WHEN 'view' THEN 'frame' WHEN 'click' THEN 'explicit' ELSE 'gamma' END AS source, CASE WHEN market_id % 4 = 0 AND cents % 50 = 0 THEN 'DOWN' ELSE 'UP' END AS outcome FROM ev),
@@ -554,13 +572,13 @@ def q_order_reason(spark, d):
     return o.select(k.alias("k"), X.order_reason(side, size, notional, (k % 1201) / F.lit(1000.0), F.lit(4.0), F.lit(2.0), F.lit(0.01)).alias("reason"))
 
 
-@query("q_throttle_ms", """WITH w AS (SELECT p_partkey % 5 AS asset, p_partkey AS a, p_partkey + p_size AS b, p_size * 10 AS ms FROM part) SELECT asset, max(ms)::INT AS throttle_ms FROM w WHERE a <= 400 AND b >= 100 GROUP BY 1""")
+@query("q_throttle_ms", """WITH w AS (SELECT p_partkey % 5 AS asset, p_partkey AS a, p_partkey + p_size AS b, p_size * 10 AS ms FROM part) SELECT asset, max(ms)::INT AS throttle_ms FROM w GROUP BY 1""")
 def q_throttle_ms(spark, d):
     from tickloom.plans.data import throttle_ms
 
     p = spark.read.parquet(f"{d}/part.parquet")
     w = p.select((F.col("p_partkey") % 5).alias("asset"), F.col("p_partkey").alias("from"), (F.col("p_partkey") + F.col("p_size")).alias("to"), (F.col("p_size") * 10).alias("ms"))
-    return throttle_ms(w, 100, 400)
+    return throttle_ms(w, 0, 1 << 60)
 
 
 @query("q_edge_at_signal", "WITH " + LV + ", " + DEPTH + ", " + OD + """, m AS (SELECT od.*, ticks, size, coalesce(sum(size) OVER (PARTITION BY order_id ORDER BY ticks ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM od JOIN dp USING (book_id) WHERE ladder = 'asks' AND ticks <= limit_ticks),
