@@ -158,6 +158,7 @@ def digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``documents``; null texts are empty, repeated rows are each returned."""
     import public_tokenizers as P
 
     return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))

@@ -196,6 +196,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of ``documents``; ``und`` for texts without letters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")

@@ -184,6 +184,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op4_quality_mil(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``documents``, learned from the labels that are not held out; empty texts have a score too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     model = fit(docs, labels)

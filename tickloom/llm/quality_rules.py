@@ -106,6 +106,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The contract's counts, base_failed and kept of every row of ``documents``; null and empty texts have no words and fail the base."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

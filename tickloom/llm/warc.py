@@ -208,6 +208,7 @@ def archive(pages: DataFrame) -> str:
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every row of ``pages``, read back from the archives; null pages are empty."""
     target = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_archives(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
