@@ -217,3 +217,13 @@ def test_panels_with_gaps(spark):
     assert sorted(map(tuple, report.sweep(cells, "y", "x", "v", [1, 2]).select("y", "x_1", "x_2").collect())) == [(0, 5, 6), (1, None, 7)]
     w = spark.createDataFrame([("a", 0, 99, 900), ("a", 50, 100, 20), ("a", 400, 500, 10), ("a", 401, 500, 800), ("b", 0, 1, 5)], "asset string, from long, to long, ms int")
     assert [tuple(r) for r in throttle_ms(w, 100, 400).collect()] == [("a", 20)]
+
+
+def test_return_over_drawdown(spark):
+    cols = "id int, closed_ms long, pnl long"
+    value = lambda rows: report.return_over_drawdown(spark.createDataFrame(rows, cols), ["id"]).first()[0]
+    assert value([(1, 1, 10), (2, 2, -4), (3, 3, 1), (4, 4, -5)]) == 0.25
+    assert value([(1, 1, -8), (2, 2, 7)]) == -0.13  # -0.125: halves go away from zero
+    assert value([(1, 1, 3), (2, 2, None)]) is None
+    df = spark.createDataFrame([(1.005,), (-2.5,), (float("nan"),), (float("inf"),)], "x double")
+    assert [r[0] for r in df.select(report.rounded(F.col("x"), 0)).collect()] == [1.0, -3.0, None, None]

@@ -57,6 +57,20 @@ def equity(trades: DataFrame, order: Sequence[str]) -> DataFrame:
     return running(closed, F.floor(F.col("_at") / DAY_MS), ["_at", *order], F.col("pnl"), "equity").drop("_at")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A report's figure: halves go away from zero; what is not finite is null."""
+    scale = float(10**digits)
+    return F.when(F.abs(x) < F.lit(float("inf")), F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale)
+
+
+def return_over_drawdown(trades: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row: net pnl over the largest fall of equity, to two digits; null if equity never falls."""
+    points = equity(trades, order)
+    net = points.agg(F.sum("pnl")).scalar()
+    fall = F.col("max_drawdown")
+    return drawdown(points, "closed_ms", "equity", order).select(F.when(fall > 0, rounded(ratio(net, fall), 2)).alias("return_over_max_drawdown"))
+
+
 def drawdown(points: DataFrame, ts: str, value: str, order: Sequence[str], block_ms: int = DAY_MS) -> DataFrame:
     """One row: the largest fall below the running peak, which starts at 0, and its share of that peak.
 

@@ -339,6 +339,12 @@ def q_drawdown(spark, d):
     return report.drawdown(report.equity(trades(spark, d), TORDER), "closed_ms", "equity", TORDER)
 
 
+@query("q_return_over_drawdown", EQ + """, p AS (SELECT *, greatest(0, max(equity) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING)) AS peak FROM eq), w AS (SELECT max(peak - equity) AS fall, sum(pnl) AS net FROM p)
+SELECT CASE WHEN fall > 0 THEN sign(net) * floor(abs(net::DOUBLE / fall) * 100 + 0.5) / 100 END AS return_over_max_drawdown FROM w""")
+def q_return_over_drawdown(spark, d):
+    return report.return_over_drawdown(trades(spark, d), TORDER)
+
+
 @query("q_losing_run", EQ + """, r AS (SELECT pnl, count(*) FILTER (WHERE pnl >= 0) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS g FROM eq), n AS (SELECT count(*) AS c FROM r WHERE pnl < 0 GROUP BY g) SELECT coalesce(max(c), 0)::BIGINT AS worst_losing_run FROM n""")
 def q_losing_run(spark, d):
     return report.losing_run(trades(spark, d), TORDER)
