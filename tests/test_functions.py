@@ -1,6 +1,7 @@
 """Expressions, decoding, files and planning on hand-made rows."""
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -227,3 +228,25 @@ def test_return_over_drawdown(spark):
     assert value([(1, 1, 3), (2, 2, None)]) is None
     df = spark.createDataFrame([(1.005,), (-2.5,), (float("nan"),), (float("inf"),)], "x double")
     assert [r[0] for r in df.select(report.rounded(F.col("x"), 0)).collect()] == [1.0, -3.0, None, None]
+
+
+def test_orders_in_sequence_keep_to_their_limits(spark):
+    levels = spark.createDataFrame([("b", "asks", 10, 5), ("b", "asks", 20, 5), ("b", "bids", 5, 100), (None, "asks", 10, 1)], "k string, ladder string, ticks long, size long")
+    asked = [("b", 1, 3, 10), ("b", 2, 9, 10), ("b", 3, 4, 20), ("b", 4, 1, 10), ("b", 5, 9, 20), ("b", 6, 1, None), ("c", 7, 1, 99)]
+    orders = spark.createDataFrame([(*x, "more") for x in asked], "k string, o long, qty long, limit_ticks long, ladder string")
+    got = book.take_in_sequence(orders, levels, ["k"], ["o"])
+    assert got.columns == [*orders.columns, "filled"]
+    assert [r.filled for r in got.orderBy("o").collect()] == [3, 2, 4, 0, 1, 0, 0]
+    assert book.take_in_sequence(orders.where("false"), levels, ["k"], ["o"]).count() == 0
+
+
+def test_places_of_many_values(spark):
+    rng = random.Random(5)
+    rows = [(k, float(rng.choice([rng.randrange(9), rng.randrange(10_000)]))) for k in (None, "a", "b") for _ in range(700)] + [("b", None)]
+    shares = {"first": 0.0, "median": 0.5, "worst": 0.99, "last": 1.0}
+    want = lambda v: tuple(sorted(v)[min(len(v) - 1, int(q * len(v)))] for q in shares.values())
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert tuple(report.at_share(df, "v", shares, ranges=8).first()) == want([v for _, v in rows if v is not None])
+    got = {r.k: tuple(r)[1:] for r in report.at_share(df, "v", shares, ["k"], ranges=8).collect()}
+    assert got == {k: want([v for x, v in rows if x == k and v is not None]) for k in (None, "a", "b")}
+    assert tuple(report.at_share(df.where("false"), "v", shares).first()) == (None,) * 4

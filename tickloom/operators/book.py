@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.prices import EPS
 
+from .temporal import asof
+
 
 def levels_after(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The levels that stand after all changes: (keys, ladder, ticks, size, ts_ms).
@@ -87,16 +90,36 @@ def fills(orders: DataFrame, taken: DataFrame, order_id: str = "order_id", fok:
 
 
 def take_in_sequence(orders: DataFrame, levels: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Orders of one book in sequence, each taking what those before it left: (order_id, filled).
+    """``orders`` with filled: orders of one book in sequence, each taking up to its limit what those before it left.
 
-    Holds for orders whose limits reach the whole depth: then the orders' quantities and the
-    levels' sizes, both added up, are cut at the same places, so two running sums give every fill.
+    ``orders`` have qty and limit_ticks; without either an order takes nothing. The best levels always
+    go first, so all that earlier orders leave behind is one number, the depth already taken. The depth
+    up to each limit is found by an as-of join; the orders of a book then pass in order through one
+    task as a stream, of which only that number is kept.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    depth = levels.where("ladder = 'asks'").groupBy(*keys).agg(F.sum("size").alias("_depth"))
-    sums = orders.withColumn("_upto", F.sum("qty").over(w)).join(depth, list(keys), "left")
-    left = F.greatest(F.lit(0), F.least(F.col("qty"), F.coalesce(F.col("_depth"), F.lit(0)) - (F.col("_upto") - F.col("qty"))))
-    return sums.withColumn("filled", left).drop("_upto", "_depth")
+    upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("ticks"))
+    depth = levels.where("ladder = 'asks'").withColumn("filled", upto)
+    met = asof(orders, depth, keys, "limit_ticks", "ticks", ["filled"]).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return met.mapInArrow(_takes(list(keys)), met.schema)
+
+
+def _takes(keys: list[str]):
+    """Fold of ordered batches: ``filled`` holds the depth up to the limit and becomes what the order takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, taken = None, 0
+        for batch in batches:
+            out = []
+            reach, wanted = batch.column("filled"), batch.column("qty").to_pylist()
+            for own, depth, qty in zip(batch.select(keys).to_pylist(), reach.to_pylist(), wanted, strict=True):
+                if own != book:
+                    book, taken = own, 0
+                got = max(0, min(qty or 0, (depth or 0) - taken))
+                taken += got
+                out.append(got)
+            yield batch.set_column(batch.schema.get_field_index("filled"), "filled", pa.array(out, reach.type))
+
+    return run
 
 
 def book_age(takes: DataFrame, bounds_ms: Sequence[int] = (1000, 5000, 30000)) -> DataFrame:

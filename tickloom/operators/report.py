@@ -151,16 +151,29 @@ def baselines(markets: DataFrame) -> DataFrame:
     return known.agg(F.sum(gain(F.lit("UP"), F.col("up_ticks"))).alias("always_up"), F.sum(gain(F.lit("DOWN"), F.col("down_ticks"))).alias("always_down"), F.sum(gain(favourite, F.greatest("up_ticks", "down_ticks"))).alias("always_favourite"))
 
 
-def at_share(df: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+def at_share(df: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = (), ranges: int = 64) -> DataFrame:
     """Values at place floor(share * n) of the sorted ones (0-based, the last if beyond), for each key.
 
-    Equal values are counted before they are ranked, so a key's window holds its distinct values.
+    Equal values are counted first. Then the distinct values are cut at about even ranks into
+    ``ranges`` ranges, whose counts tell in which range each place lies; only those are sorted, each
+    by itself, so no task sorts all values of a key.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumns({"_upto": F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    own = F.struct(*keys).alias("_key") if keys else F.struct(F.lit(0).alias("all")).alias("_key")
+    counts = df.where(F.col(value).isNotNull()).groupBy(own, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.groupBy("_key").agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    rows = counts.join(cuts, "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sizes = rows.groupBy("_key", "_range").agg(F.sum("_n").alias("_in"))
+    so_far = Window.partitionBy("_key").orderBy("_range")
+    sizes = sizes.withColumns({"_before": F.sum("_in").over(so_far) - F.col("_in"), "_all": F.sum("_in").over(Window.partitionBy("_key"))})
     place = lambda q: F.least(F.col("_all") - 1, F.floor(F.lit(q) * F.col("_all")))
-    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > place(q), F.col(value))).alias(name) for name, q in shares.items()])
+    inside = lambda q: (F.col("_before") <= place(q)) & (place(q) < F.col("_before") + F.col("_in"))
+    wanted = F.lit(False)
+    for q in shares.values():
+        wanted = wanted | inside(q)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_key", "_range").orderBy("_v"))
+    ranked = rows.join(sizes.where(wanted), ["_key", "_range"]).withColumn("_upto", upto)
+    picked = [F.min(F.when(inside(q) & (F.col("_upto") > place(q)), F.col("_v"))).alias(name) for name, q in shares.items()]
+    return ranked.groupBy("_key").agg(*picked).select(*[F.col(f"_key.{k}") for k in keys], *shares) if keys else ranked.agg(*picked)
 
 
 def slippage(fills: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY_MS = 86_400_000
+
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], tie: Sequence[str] = (), lag_ms: int = 0, at: Column | None = None, prefix: str = "") -> DataFrame:
     """``left`` with the latest row of ``right`` whose ``right_ts + lag_ms`` is at most the row's time.
@@ -26,14 +28,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
     return both.select("_left.*", *[F.col(f"_found.{c}").alias(prefix + c) for c in columns])
 
 
-def within(points: DataFrame, spans: DataFrame, ts: str, start: str, end: str, bin_ms: int, on: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def within(points: DataFrame, spans: DataFrame, ts: str, start: str, end: str, bin_ms: int | None = None, on: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Points joined with the closed spans that hold them; a null bound is open.
 
-    Spans are cut into bins of ``bin_ms``, so that the join has an equality and can be shuffled; a
-    span meets each of its points in one bin. Bins lie between the first and the last point, which
-    also bounds open spans.
+    Spans are cut into bins, so that the join has an equality and can be shuffled; a span meets each
+    of its points in one bin. Bins are ``bin_ms`` wide, or else as wide as the spans' median length, so
+    that a span meets few points outside it. They lie between the first and the last point, which also
+    bounds open spans.
     """
     begin, stop, at = F.col(start), F.col(end), F.col(ts)
+    if bin_ms is None:
+        bin_ms = spans.agg(F.coalesce(F.greatest(F.percentile_approx(stop - begin, 0.5), F.lit(1)), F.lit(DAY_MS)).cast("bigint")).scalar()
     first, last = points.agg(F.min(ts)).scalar(), points.agg(F.max(ts)).scalar()
     low, high = F.greatest(begin, first), F.least(stop, last)  # nulls don't count
     bins = F.sequence(F.floor(low / bin_ms), F.floor(high / bin_ms))
@@ -53,7 +58,7 @@ def merge_feeds(events: DataFrame, feeds: dict[str, tuple[DataFrame, int]], mark
     for name, (rows, lag) in sorted(feeds.items()):
         seen = rows.select((F.col("ts_ms") + lag).alias("visible_ms"), F.lit(1).alias("src_rank"), F.lit(name).alias("feed"), "ord")
         windows = market.select(key, "open_ms", "close_ms")
-        out = out.unionByName(within(seen, windows, "visible_ms", "open_ms", "close_ms", 86_400_000).select(*out.columns))
+        out = out.unionByName(within(seen, windows, "visible_ms", "open_ms", "close_ms").select(*out.columns))
     return out.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("visible_ms", "src_rank", "feed", "ord")))
 
 

@@ -272,8 +272,11 @@ def q_fok(spark, d):
     return out.select("order_id", "filled", "notional_ticks", "quoted_ticks", "worst_ticks", "levels_walked")
 
 
-@query("q_take_sequence", "WITH " + LV + ", " + DEPTH + ", " + OD + """, s AS (SELECT *, sum(qty) OVER (PARTITION BY book_id ORDER BY order_id) AS upto FROM od), a AS (SELECT book_id, sum(size) AS depth FROM dp WHERE ladder = 'asks' GROUP BY 1)
-SELECT order_id, book_id, greatest(0, least(qty, coalesce(depth, 0) - (upto - qty)))::BIGINT AS filled FROM s LEFT JOIN a USING (book_id)""")
+@query("q_take_sequence", "WITH RECURSIVE " + LV + ", " + DEPTH + ", " + OD + """, a AS (SELECT book_id, ticks, size, row_number() OVER (PARTITION BY book_id ORDER BY ticks) AS k FROM dp WHERE ladder = 'asks'),
+r AS (SELECT order_id, book_id, limit_ticks, qty AS rest, 0::BIGINT AS k FROM od
+UNION ALL SELECT order_id, r.book_id, limit_ticks, rest - CASE WHEN limit_ticks >= ticks THEN greatest(0, least(rest, size - coalesce(sum(CASE WHEN limit_ticks >= ticks THEN rest ELSE 0 END) OVER (PARTITION BY r.book_id ORDER BY order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT ELSE 0 END, a.k
+    FROM r JOIN a ON a.book_id = r.book_id AND a.k = r.k + 1)
+SELECT order_id, od.book_id, (qty - min(rest))::BIGINT AS filled FROM od JOIN r USING (order_id) GROUP BY order_id, od.book_id, qty""")
 def q_take_sequence(spark, d):
     return book.take_in_sequence(orders(spark, d), depth(spark, d), ["book_id"], ["order_id"]).select("order_id", "book_id", "filled")
 
@@ -494,6 +497,49 @@ def q_unusable(spark, d):
     return decode.unusable(m, e.select("market_id", "ts_ms", kind.alias("kind")))
 
 
+DAY0 = 1_704_067_200_000
+CELLS = f"""mk AS (SELECT 'm' || s_suppkey AS market_id, 'slug-' || s_suppkey AS slug, 'A' || s_suppkey % 3 AS asset, 'u' || s_suppkey AS token_up, 'd' || s_suppkey AS token_down, CASE WHEN s_suppkey % 2 = 0 THEN 'prices' END AS stream,
+    CASE WHEN s_suppkey % 5 <> 0 THEN {DAY0} + s_suppkey % 20 * 86400000 END AS open_ms, CASE WHEN s_suppkey % 9 <> 0 THEN {DAY0} + (s_suppkey % 20 + 1) * 86400000 END AS close_ms FROM supplier WHERE s_suppkey % 7 <> 0),
+c0 AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 3 <> 0 THEN 'm' || l_suppkey END AS cid, 'slug-' || l_suppkey AS slug, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_linenumber % 2 = 1 THEN 'UP' ELSE 'DOWN' END AS side,
+    {DAY0} + (l_orderkey * 60000 + l_partkey * 1000) % 2592000000 AS ts_ms, l_partkey % 1100 AS p, l_orderkey % 1100 AS p2, l_quantity::BIGINT - 3 AS size, l_linenumber AS n, l_returnflag AS flag FROM lineitem),
+c AS (SELECT c0.*, market_id FROM c0 JOIN mk USING (slug) WHERE (open_ms IS NULL OR ts_ms >= open_ms) AND (close_ms IS NULL OR ts_ms <= close_ms))"""
+
+
+@query("q_decode_day", "WITH " + EV + ", " + CELLS + """, u AS (
+SELECT market_id, 'trade' AS kind, ts_ms, 1 AS sub, seq, 0 AS item, side, NULL AS ladder, p AS px, size, NULL::BIGINT AS bid, NULL::BIGINT AS ask, CASE WHEN n % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS taker, NULL::BIGINT AS cents FROM c WHERE flag = 'A' AND side IS NOT NULL AND p <= 1000 AND size > 0
+UNION ALL SELECT market_id, 'book', ts_ms, 1, seq, i.item, CASE WHEN i.item = 0 THEN side ELSE 'UP' END, CASE WHEN n % 3 = 0 THEN 'asks' ELSE 'bids' END, CASE WHEN i.item = 0 THEN p ELSE p2 END, size, NULL, NULL, NULL, NULL FROM c, (VALUES (0), (1)) i(item) WHERE flag = 'N' AND n % 2 = 1 AND CASE WHEN i.item = 0 THEN side IS NOT NULL AND p <= 1000 ELSE p2 <= 1000 END
+UNION ALL SELECT market_id, 'book', ts_ms, 1, seq, 0, side, NULL, NULL, NULL, p, p2, NULL, NULL FROM c WHERE flag = 'N' AND n % 2 = 0 AND side IS NOT NULL AND p <= p2 AND p2 <= 1000
+UNION ALL SELECT market_id, 'book', ts_ms, 0, seq, 0, NULL, NULL, CASE WHEN p <= 1000 AND size > 0 THEN p END, CASE WHEN p <= 1000 AND size > 0 THEN size END, CASE WHEN p <= 1000 AND size > 0 THEN 1000 - p END, CASE WHEN p2 <= 1000 THEN 1000 - p2 END, NULL, NULL FROM c WHERE flag = 'R'
+UNION ALL SELECT mk.market_id, 'tick', ts_ms, 1, event_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, cents FROM ev JOIN mk ON 'A' || ev.market_id % 3 = asset AND stream = 'prices' AND (open_ms IS NULL OR ts_ms >= open_ms) AND (close_ms IS NULL OR ts_ms <= close_ms))
+SELECT market_id, kind, ts_ms, seq, side, ladder, px::BIGINT AS px, size, bid, ask, taker, cents, row_number() OVER (PARTITION BY market_id ORDER BY ts_ms, CASE kind WHEN 'book' THEN 1 WHEN 'trade' THEN 2 ELSE 3 END, sub, seq, item, side NULLS FIRST, ladder NULLS FIRST, px NULLS FIRST, size NULLS FIRST, bid NULLS FIRST, ask NULLS FIRST)::INT AS pos FROM u""")
+def q_decode_day(spark, d):
+    """Line items as text rows of four datasets and events as a price feed; suppliers are the markets, a seventh unknown."""
+    k = F.col("s_suppkey")
+    day = lambda n: F.lit(DAY0) + (k % 20 + n) * 86_400_000
+    named = lambda prefix, key: F.concat(F.lit(prefix), key.cast("string"))
+    markets = spark.read.parquet(f"{d}/supplier.parquet").where(k % 7 != 0).select(
+        named("m", k).alias("market_id"), named("slug-", k).alias("slug"), named("A", k % 3).alias("asset"), named("u", k).alias("token_up"), named("d", k).alias("token_down"), F.when(k % 2 == 0, "prices").alias("stream"),
+        F.lit(None).cast("bigint").alias("price_feed_id"), F.when(k % 5 != 0, day(0)).alias("open_ms"), F.when(k % 9 != 0, day(1)).alias("close_ms"))
+    key, part, n = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
+    price = lambda p: F.format_string("%d.%03d", F.floor(p / 1000), p % 1000)
+    p, p2, size = price(part % 1100), price(F.col("l_orderkey") % 1100), (F.col("l_quantity").cast("bigint") - 3).cast("string")
+    token = F.when(part % 11 == 0, "x").when(n % 2 == 1, named("u", key)).otherwise(named("d", key))
+    side = F.when(n % 3 == 0, "SELL").otherwise("BUY")
+    lines_of = lambda which, payload: spark.read.parquet(f"{d}/lineitem.parquet").where(which).select(
+        (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(part % 3 != 0, named("m", key)).alias("condition_id"), named("slug-", key).alias("slug"), token.alias("asset_id"),
+        (F.lit(DAY0) + (F.col("l_orderkey") * 60_000 + part * 1000) % 2_592_000_000).cast("string").alias("event_ts_ms"), payload.alias("payload"))
+    books = lines_of("l_returnflag = 'R'", F.format_string('{"asks": [["%s", "%s"]], "bids": "%s:1"}', p, size, p2))
+    changes = lines_of("l_returnflag = 'N' AND l_linenumber % 2 = 1", F.format_string('{"price_changes": [{"asset_id": "%s", "side": "%s", "price": "%s", "size": "%s"}, {"asset_id": "%s", "side": "%s", "price": "%s", "size": "%s"}]}', token, side, p, size, named("u", key), side, p2, size))
+    bounds = lines_of("l_returnflag = 'N' AND l_linenumber % 2 = 0", F.format_string('{"best_bid": "%s", "best_ask": "%s"}', p, p2))
+    prints = lines_of("l_returnflag = 'A'", F.format_string('{"price": "%s", "size": "%s", "side": "%s"}', p, size, side))
+    feed = events(spark, d).select(named("A", F.col("market_id") % 3).alias("asset"), F.col("ts_ms").cast("string").alias("feed_ts_ms"), F.col("cents").cast("string").alias("value"), F.col("event_id").alias("seq"))
+    out = decode.day_events(markets, {"prices": feed}, books, changes, bounds, prints)
+    milli = lambda c: F.floor(c * 1000 + 0.5)
+    best = lambda s, ladder: F.get(F.col(f"levels.{s}.{ladder}"), 0)
+    return out.select("market_id", "kind", "ts_ms", "seq", "side", "ladder", milli(F.coalesce("px", best("UP", "asks").px)).alias("px"), F.coalesce("size", best("UP", "asks")["size"]).cast("bigint").alias("size"),
+                      milli(F.coalesce("bid", best("DOWN", "bids").px)).alias("bid"), milli(F.coalesce("ask", best("DOWN", "asks").px)).alias("ask"), "taker", F.col("value").cast("bigint").alias("cents"), "pos")
+
+
 @query("q_resolution", "WITH " + EV + """, c AS (SELECT market_id, ts_ms, CASE event_type WHEN 'view' THEN 'frame' WHEN 'click' THEN 'explicit' ELSE 'gamma' END AS source, CASE WHEN market_id % 4 = 0 AND cents % 50 = 0 THEN 'DOWN' ELSE 'UP' END AS outcome FROM ev),
 r AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY CASE source WHEN 'frame' THEN 1 WHEN 'explicit' THEN 2 ELSE 3 END, ts_ms, outcome) AS rn FROM c), n AS (SELECT market_id, count(DISTINCT outcome) AS n FROM c GROUP BY 1)
 SELECT market_id, CASE WHEN n = 1 THEN outcome END AS outcome, CASE WHEN n = 1 THEN source END AS source, CASE WHEN n = 1 THEN ts_ms END AS ts_ms, n > 1 AS disagree FROM r JOIN n USING (market_id) WHERE rn = 1""")
@@ -557,8 +603,8 @@ def q_parse_levels(spark, d):
     objects = F.concat(F.lit('[{"price":"'), px, F.lit('","size":"'), size, F.lit('"},{"price":"'), bad, F.lit('","size":"'), size, F.lit('"}]'))
     plain = F.concat(px, F.lit(":"), size, F.lit("|"), bad, F.lit(":"), size, F.lit("|x:y"))
     levels = P.ladder(P.parse_levels(F.when(form == 0, pairs).when(form == 1, objects).otherwise(plain)))
-    out = r.withColumn("l", levels)
-    return out.select("o1", "o2", "o3", "ticks", "size", F.size("l").alias("n_levels"), F.aggregate("l", F.lit(0.0), lambda a, x: a + x["size"]).alias("total"))
+    found = P.let(levels, lambda l: F.struct(F.size(l).alias("n_levels"), F.aggregate(l, F.lit(0.0), lambda a, x: a + x["size"]).alias("total")))
+    return r.select("o1", "o2", "o3", "ticks", "size", found.alias("l")).select("o1", "o2", "o3", "ticks", "size", "l.*")
 
 
 @query("q_labels", """WITH p AS (SELECT p_partkey, p_size * 900 AS s FROM part) SELECT p_partkey, CASE WHEN s % 86400 = 0 THEN (s // 86400)::VARCHAR || 'd' WHEN s % 3600 = 0 THEN (s // 3600)::VARCHAR || 'h' WHEN s % 60 = 0 THEN (s // 60)::VARCHAR || 'm' ELSE s::VARCHAR || 's' END AS label FROM p""")

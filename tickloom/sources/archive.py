@@ -11,7 +11,7 @@ from .paths import classify, day_of
 
 RESERVED = ["kind", "name", "ts_ms"]
 # Names under which a series' time may come.
-TIME_NAMES = ["ts_ms", "timestamp_ms", "time_ms", "ts", "timestamp", "time", "datetime", "date", "open_time"]
+TIME_NAMES = ["ts_ms", "ts", "time", "timestamp", "date", "datetime", "open_time"]
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -40,9 +40,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def series_time_column(columns: list[str]) -> str:
-    """The column that holds a series' time: by name, else the first."""
-    lower = {c.lower(): c for c in reversed(columns)}
-    return next((lower[n] for n in TIME_NAMES if n in lower), columns[0])
+    """The column that holds a series' time: the first with such a name, else the first of all."""
+    return next((c for c in columns if c.strip().lower() in TIME_NAMES), columns[0])
 
 
 def series(rows: DataFrame, time: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zipfile
+import zlib
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -40,7 +41,7 @@ def write_zip(path: str | Path, entries: Iterable[tuple[str, bytes]]) -> dict[st
     with zipfile.ZipFile(path, "w") as out:
         for name, data in [*entries, ("sha256sums.txt", listed)]:
             info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-            info.compress_type = zipfile.ZIP_DEFLATED if len(data) > STORE_BELOW else zipfile.ZIP_STORED
+            info.compress_type = zipfile.ZIP_DEFLATED if len(data) > STORE_BELOW and len(zlib.compress(data, wbits=-15)) < len(data) else zipfile.ZIP_STORED
             info.external_attr = 0o644 << 16
             out.writestr(info, data)
     return sums
