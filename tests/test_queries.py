@@ -5,6 +5,7 @@ import os
 import pandas as pd
 import pytest
 
+import tickloom.rule_queries  # noqa: F401  (registers its queries)
 from tickloom.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

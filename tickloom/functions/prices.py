@@ -89,6 +89,13 @@ def side_of_token(token: Column, tokens: Column) -> Column:
     return F.when((F.size(tokens) == 2) & (F.size(F.array_distinct(tokens)) == 2), F.when(at == 1, "UP").when(at == 2, "DOWN"))
 
 
+def side_of_label(side: Column, labels: Column) -> Column:
+    """UP or DOWN by its name, or by a market's pair of labels, whatever case and spaces; null for anything else."""
+    plain = lambda x: F.lower(F.trim(x))
+    by_label = F.when(plain(side) == plain(F.get(labels, 0)), "UP").when(plain(side) == plain(F.get(labels, 1)), "DOWN")
+    return F.when(side.isin("UP", "DOWN"), side).otherwise(by_label)
+
+
 def settlement_stream(has_config: Column, lookback: Column) -> Column:
     """Which price stream settles a market: the plain prices, or their average over 30 or 60 s."""
     return F.when(has_config, F.when(lookback.isNull() | (lookback == 0), "prices").when(lookback == 30, "twap30s").when(lookback == 60, "twap60s"))

@@ -135,15 +135,16 @@ def book_age(takes: DataFrame, bounds_ms: Sequence[int] = (1000, 5000, 30000)) -
 
 
 def rebuild(changes: DataFrame, keys: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
-    """A client's book: the levels after all changes, without those that a later best price contradicts, whatever their age in ms.
+    """A client's book: the levels after all changes, without those that a best price of the same or a later row contradicts.
 
-    ``changes`` and ``bounds`` have ord, their place in the feed; prices keep their text in ``price``.
+    ``changes`` and ``bounds`` have ord, their row's place in the feed: the items of one row share it,
+    and its best prices are those of its last item. Prices keep their text in ``price``.
     """
     by_place = changes.withColumn("ts_ms", F.col("ord"))
     levels = levels_after(by_place, keys, ["ord"])
     text = changes.groupBy(*keys, "ladder", "ticks").agg(F.max_by("price", "ord").alias("price"))
     out = levels.join(text, [*keys, "ladder", "ticks"])
-    return out if bounds is None else prune(out, bounds.withColumn("ts_ms", F.col("ord")), keys)
+    return out if bounds is None else prune(out, bounds.withColumn("ts_ms", F.col("ord")), keys, inclusive=True)
 
 
 def opening_quotes(tops: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

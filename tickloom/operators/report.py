@@ -258,11 +258,21 @@ def account_series(samples: DataFrame, step_ms: int, key: str = "key") -> DataFr
     return out.select("ts", "value", "position_value", "open_positions")
 
 
-def maker_fills(fills: DataFrame, markouts: Sequence[str]) -> DataFrame:
-    """One row over maker fills: how many, their size, median queue ahead at joining, and each markout's mean by size."""
+def maker_fills(fills: DataFrame, markouts: Sequence[str], medians: Sequence[str] = ("ahead_at_join",)) -> DataFrame:
+    """One row over maker fills: how many, their size, medians (place n / 2 of the sorted values), and of each markout its mean by size, fills and size.
+
+    Only fills with a value count for a median or a markout; without any it is null.
+    """
     made = fills.where((F.col("liquidity") == "maker") & (F.col("filled") > 0))
-    means = [ratio(F.sum(F.col(m) * F.col("filled")), F.sum(F.when(F.col(m).isNotNull(), F.col("filled")))).alias(f"{m}_mean") for m in markouts]
-    return made.agg(F.count(F.lit(1)).alias("fills"), F.sum("filled").alias("size"), *means).crossJoin(at_share(made, "ahead_at_join", {"median_ahead_at_join": 0.5}))  # one row each
+    zero = F.lit(0).cast("bigint")
+    out = [F.count(F.lit(1)).alias("fills"), F.coalesce(F.sum("filled"), zero).alias("size")]
+    for m in markouts:
+        size = F.sum(F.when(F.col(m).isNotNull(), F.col("filled")))
+        out += [ratio(F.sum(F.col(m) * F.col("filled")), size).alias(f"{m}_mean"), F.count(m).alias(f"{m}_fills"), F.coalesce(size, zero).alias(f"{m}_size")]
+    panel = made.agg(*out)
+    for c in medians:
+        panel = panel.crossJoin(at_share(made, c, {f"median_{c}": 0.5}))  # one row each
+    return panel
 
 
 def orders_panel(orders: DataFrame) -> DataFrame:

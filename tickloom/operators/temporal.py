@@ -28,6 +28,19 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
     return both.select("_left.*", *[F.col(f"_found.{c}").alias(prefix + c) for c in columns])
 
 
+def asof_last(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, value: str, k: int, tie: Sequence[str] = (), lag_ms: int = 0) -> DataFrame:
+    """``left`` with ``last``: the last ``k`` values of ``right`` that are visible at the row's time, oldest first; empty if none is.
+
+    Each right row carries its own last ``k`` values, a window of ``k`` rows; then one as-of join finds the row.
+    """
+    recent = Window.partitionBy(*keys).orderBy(right_ts, *tie).rowsBetween(1 - k, 0)
+    # as a struct, so that null values keep their place
+    carried = right.withColumn("last", F.collect_list(F.struct(F.col(value).alias("v"))).over(recent))
+    found = asof(left, carried, keys, left_ts, right_ts, ["last"], tie, lag_ms)
+    kind = right.schema[value].dataType.simpleString()
+    return found.withColumn("last", F.coalesce(F.transform("last", lambda x: x.v), F.array().cast(f"array<{kind}>")))
+
+
 def within(points: DataFrame, spans: DataFrame, ts: str, start: str, end: str, bin_ms: int | None = None, on: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Points joined with the closed spans that hold them; a null bound is open.
 
