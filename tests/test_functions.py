@@ -250,3 +250,36 @@ def test_places_of_many_values(spark):
     got = {r.k: tuple(r)[1:] for r in report.at_share(df, "v", shares, ["k"], ranges=8).collect()}
     assert got == {k: want([v for x, v in rows if x == k and v is not None]) for k in (None, "a", "b")}
     assert tuple(report.at_share(df.where("false"), "v", shares).first()) == (None,) * 4
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"row {i}\n" if i % 7 else "\n" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("only\n")
+    (tmp_path / "c.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = archive.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    a = sorted((r.line, r.value) for r in found if r.file.endswith("a.txt"))
+    assert a == [(i, f"row {i}") for i in range(3000) if i % 7]
+    assert [(r.line, r.value) for r in found if r.file.endswith("b.txt")] == [(0, "only")] and len(found) == len(a) + 1
+
+
+def test_asof_in_blocks_is_asof(spark):
+    rng = random.Random(3)
+    some = lambda n, k: [(rng.choice(["x", "y", None]), rng.choice([None, *range(-50, 400)]), k + i) for i in range(n)]
+    left, right = spark.createDataFrame(some(200, 0), "k string, t long, i long"), spark.createDataFrame(some(40, 1000), "k string, u long, v long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(temporal.asof(left, right, ["k"], "t", "u", ["v"], ["v"]))
+    for block in (1, 37, 1000):
+        assert rows(temporal.asof(left, right, ["k"], "t", "u", ["v"], ["v"], block_ms=block)) == whole
+    assert temporal.asof(left, right.limit(0), ["k"], "t", "u", ["v"], block_ms=37).where("v IS NOT NULL").count() == 0
+
+
+def test_last_rows_keep_nulls_and_may_be_none(spark):
+    right = spark.createDataFrame([("x", 1, None), ("x", 2, 20), ("x", 3, 30), ("x", 9, 90)], "k string, u long, v long")
+    left = spark.createDataFrame([("x", 0), ("x", 2), ("x", 4), ("y", 4)], "k string, t long")
+    found = {(r.k, r.t): r.last for r in temporal.asof_last(left, right, ["k"], "t", "u", "v", 2).collect()}
+    assert found == {("x", 0): [], ("x", 2): [None, 20], ("x", 4): [20, 30], ("y", 4): []}

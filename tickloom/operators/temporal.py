@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], tie: Sequence[str] = (), lag_ms: int = 0, at: Column | None = None, prefix: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], tie: Sequence[str] = (), lag_ms: int = 0, at: Column | None = None, prefix: str = "", block_ms: int | None = None) -> DataFrame:
     """``left`` with the latest row of ``right`` whose ``right_ts + lag_ms`` is at most the row's time.
 
     ``at`` asks for an earlier time: then the right row's own time is at most ``at`` too. Both sides
     are put in one stream, sorted once by key and time, and the last value carried on; a key costs
-    one shuffle and no pairs are made.
+    one shuffle and no pairs are made. With ``block_ms`` a key is cut into blocks of time, each sorted
+    by itself: for keys that hold much of the rows, such as a feed that all markets share.
     """
     value = F.struct(*[F.col(c) for c in columns])
     # visible from ts + lag; asked for at most least(at, now - lag)
@@ -23,11 +24,29 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, r
     names = left.columns
     a = left.select(*keys, asked.alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_left"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("_right"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_tie{i}") for i, c in enumerate(tie)])
     b = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), value.alias("_right"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)])
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_tie{i}" for i in range(len(tie))]).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_found", F.last("_right", ignorenulls=True).over(order)).where("_side = 1")
+    ties = [f"_tie{i}" for i in range(len(tie))]
+    both, parts = a.unionByName(b), list(keys)
+    if block_ms is not None:
+        both, parts = _opened(both.withColumn("_block", F.floor(F.col("_t") / block_ms)), parts, ties), [*parts, "_block"]
+    order = Window.partitionBy(*parts).orderBy("_t", "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_found", F.last("_right", ignorenulls=True).over(order)).where("_side = 1")
     return both.select("_left.*", *[F.col(f"_found.{c}").alias(prefix + c) for c in columns])
 
 
+def _opened(both: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
+    """``both`` with one more row at the start of each block of a key: the last right value of the blocks before it.
+
+    Each block is first reduced to its last value, so what runs over a key's blocks has one row for each.
+    """
+    place = F.when(F.col("_side") == 0, F.struct("_t", *ties))  # rows without one don't count
+    ends = both.groupBy(*keys, "_block").agg(F.max_by("_right", place).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_right", F.last("_end", ignorenulls=True).over(before)).where("_right IS NOT NULL")
+    filled = {c: F.lit(None).cast(both.schema[c].dataType) for c in both.columns if c not in (*keys, "_block", "_right", "_side")}
+    # a null time sorts before all others, and -1 before both sides
+    return both.unionByName(carried.withColumn("_side", F.lit(-1)).withColumns(filled).select(*both.columns))
+
+
 def asof_last(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, value: str, k: int, tie: Sequence[str] = (), lag_ms: int = 0) -> DataFrame:
     """``left`` with ``last``: the last ``k`` values of ``right`` that are visible at the row's time, oldest first; empty if none is.
 

@@ -124,6 +124,11 @@ def q_asof_at(spark, d):
     return _asof(spark, d, lag_ms=60_000, at=F.col("ts_ms") - F.col("ts_ms") % 86_400_000)
 
 
+@query("q_asof_blocks", ASOF.format(at="ts_ms - 60000"))
+def q_asof_blocks(spark, d):
+    return _asof(spark, d, lag_ms=60_000, block_ms=3 * 86_400_000)
+
+
 @query("q_interval_fanout", "WITH " + EV + """ SELECT s.event_id AS span_id, count(*) AS n, sum(p.cents)::BIGINT AS cents FROM ev s JOIN ev p ON p.ts_ms BETWEEN s.ts_ms AND s.ts_ms + 1800000
 WHERE s.event_type = 'purchase' AND p.event_type = 'error' GROUP BY ALL""")
 def q_interval_fanout(spark, d):
@@ -294,7 +299,11 @@ def q_book_age(spark, d):
     return book.book_age(lines(spark, d).select(F.col("size").alias("taken"), (F.col("o3") % 40_000).alias("age_ms")))
 
 
-@query("q_ledger_fold")
+@query("q_ledger_fold", "WITH RECURSIVE " + LV + """, g AS (SELECT *, CASE WHEN o2 % 3 = 0 THEN -size ELSE size END AS q FROM lv), f AS (SELECT *, row_number() OVER (PARTITION BY book_id, ladder ORDER BY ts_ms, o1, o2, o3, q, ticks) AS k FROM g),
+r AS (SELECT book_id, ladder, 0::BIGINT AS k, 0::BIGINT AS held, 0::BIGINT AS cost, 0::BIGINT AS realised FROM f GROUP BY 1, 2
+UNION ALL SELECT r.book_id, r.ladder, f.k, (held + greatest(q, -held))::BIGINT, (cost + CASE WHEN q >= 0 THEN q * ticks WHEN held > 0 THEN -(cost * least(-q, held) // held) ELSE 0 END)::BIGINT,
+    (realised - 1 + CASE WHEN q >= 0 THEN 0 ELSE least(-q, held) * ticks - CASE WHEN held > 0 THEN cost * least(-q, held) // held ELSE 0 END END)::BIGINT FROM r JOIN f ON f.book_id = r.book_id AND f.ladder = r.ladder AND f.k = r.k + 1)
+SELECT book_id, ladder, arg_max(held, k) AS size, arg_max(cost, k) AS cost, arg_max(realised, k) AS realised, CASE WHEN arg_max(held, k) > 0 THEN arg_max(cost, k)::DOUBLE / arg_max(held, k) END AS avg_ticks FROM r GROUP BY 1, 2""")
 def q_ledger_fold(spark, d):
     f = lines(spark, d).select("book_id", "ladder", *ORDER[:4], F.when(F.col("o2") % 3 == 0, -F.col("size")).otherwise(F.col("size")).alias("qty"), "ticks", F.lit(1).alias("fee"))
     return ledger.positions(f, ["book_id", "ladder"], ["ts_ms", "o1", "o2", "o3"])

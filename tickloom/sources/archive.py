@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.parsing import epoch_ms, num
@@ -33,10 +33,19 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): text lines in an order that doesn't depend on splits: byte order of paths, then the line's number."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return lines.where(F.trim("value") != "")
+    """(file, line, value): text lines in an order that doesn't depend on splits: byte order of paths, then the line's number from 0.
+
+    Lines are numbered within each split of a file, and the lines of the splits before are added, so
+    a large file is read by many tasks. Blank lines count, but drop out.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    sizes = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # a split is read in order by one task, so its rows' ids grow
+    own = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id")) - 1
+    numbered = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", own)
+    out = numbered.join(sizes, ["file", "_split"]).select("file", (F.col("_before") + F.col("_own")).alias("line"), "value")
+    return out.where(F.trim("value") != "")
 
 
 def series_time_column(columns: list[str]) -> str:
