@@ -82,12 +82,10 @@ def stitch(length: int, starts: list[int], heads: list[list[int]], tails: list[l
 
 
 def chunk_rows(docs: DataFrame, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(doc_id, row, k, at, piece): overlapping chunks of each long text, spread over the cluster."""
-    n = F.char_length("text")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(chunk)))
-    rows = docs.select("doc_id", "_row", "text", at.alias("at"))
-    rows = rows.select("doc_id", "_row", "at", F.substring("text", F.col("at") + 1, F.lit(chunk + overlap)).alias("piece"))
-    return rows.repartition("_row", "at")
+    """(_row, at, piece): overlapping chunks of each long text, spread over the cluster. A chunk's row holds its own text alone."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(chunk))
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring("text", at + 1, F.lit(chunk + overlap)).alias("piece")))
+    return docs.select("_row", F.explode(pieces).alias("c")).select("_row", "c.at", "c.piece").repartition("_row", "at")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
@@ -133,22 +131,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
             decoded = [c.decode(np.frombuffer(x, "<u4")) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("low"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["_row", "low", "ids", "decoded"])
 
-    def cut(row) -> list[int]:
-        seam = sorted(row, key=lambda x: x["at"])
-        return stitch(-1, [x["at"] for x in seam], [list(x["head"]) for x in seam], [list(x["tail"]) for x in seam])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [stitch(-1, *([x[name] for x in row] for name in ("at", "head", "tail"))) for row in batch.column("seams").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.list_(pa.int32()))], names=["_row", "cuts"])
 
-    texts = long.dropDuplicates(["_row"])
+    texts = long.select("_row", "text").dropDuplicates(["_row"])
     seam = chunk_rows(texts, chunk, overlap).mapInArrow(seams, "_row string, at int, head array<int>, tail array<int>")
-    cuts = seam.groupBy("_row").agg(F.collect_list(F.struct("at", "head", "tail")).alias("seams")).select("_row", F.udf(cut, "array<int>")("seams").alias("cuts"))
-    low = F.explode(F.slice("cuts", 1, F.size("cuts") - 1))
-    pieces = texts.join(cuts, "_row").select("_row", "text", "cuts", low.alias("low"))
-    high = F.element_at("cuts", (F.array_position("cuts", F.col("low")) + 1).cast("int"))
-    size = F.when(high < 0, F.char_length("text")).otherwise(high) - F.col("low")
-    pieces = pieces.select("_row", "low", F.substring("text", F.col("low") + 1, size).alias("part")).repartition("_row", "low")
+    by_text = seam.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "head", "tail"))).alias("seams"))
+    cuts = by_text.mapInArrow(cut, "_row string, cuts array<int>")
+    # the last cut, -1, stands for the text's end
+    size = lambda low, i: F.when(F.get("cuts", i + 1) < 0, F.char_length("text")).otherwise(F.get("cuts", i + 1)) - low
+    lows = F.slice("cuts", 1, F.size("cuts") - 1)
+    parts = F.transform(lows, lambda low, i: F.struct(low.alias("low"), F.substring("text", low + 1, size(low, i)).alias("part")))
+    pieces = texts.join(cuts, "_row").select("_row", F.explode(parts).alias("p")).select("_row", "p.low", "p.part").repartition("_row", "low")
     put = pieces.mapInArrow(encoded, "_row string, low int, ids binary, decoded binary").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("low", "ids", "decoded"))).alias("p"))
-    put = put.select("_row", 
-        F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.ids)).alias("ids"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.decoded)).alias("decoded"))
-    done = short.mapInArrow(whole, "doc_id bigint, ids binary, decoded binary")
+    whole_of = lambda name: F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x[name])).alias(name)
+    put = put.select("_row", whole_of("ids"), whole_of("decoded"))
+    done = short.mapInArrow(whole, f"doc_id {short.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
     return done.unionByName(long.select("doc_id", "_row").join(put, "_row").select("doc_id", "ids", "decoded"))
 
 
