@@ -34,7 +34,7 @@ LENGTH, GRAM = 50, 22
 SPAN = LENGTH - GRAM  # a window's last gram starts so far after its first
 AROUND = LENGTH + SPAN  # bytes of all windows that hold a gram
 HOT = 1024  # a gram with more unsettled places than this has its windows dealt one by one
-BUCKET_BYTES = 512 << 20  # of text, at most, on average, where the session's partitions are fewer
+BUCKET_BYTES = 128 << 20  # of text, at most, on average, where the session's partitions are fewer
 SLICE = 4 << 20  # a longer text is sampled in slices
 ANCHORS = 1 << 21  # sampled positions that a task holds before it passes them on
 SETTLED, OPEN, OPEN_HOT, CONTEXT, WINDOW = 1, 2, 3, 4, 5
