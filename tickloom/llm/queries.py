@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, divergence, language_id, oracles, orc_tokens, order_minhash, quality_mil, quality_rules, sharding, suffix_dedup, url_filters, warc
+from . import byte_bpe, decontaminate, divergence, language_id, oracles, orc_tokens, order_minhash, quality_mil, quality_rules, ranked_search, sharding, suffix_dedup, url_filters, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_url_filters": url_filters.op11_url_filters,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLE_SQL = {
     "op3_rendezvous": oracles.rendezvous_sql(),
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op10_quality_rules": quality_rules.OP10_SQL,
     "op11_url_filters": url_filters.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_ranked_search": ranked_search.OP13_SQL,
 }

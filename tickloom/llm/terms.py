@@ -16,6 +16,15 @@ LETTERS = ALNUM.copy()
 LETTERS[48:58] = False
 
 
+def beginnings(inside: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where terms begin among bytes of which ``inside`` belong to terms; no term crosses a row's offset."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(inside))]
+    first[edges] = inside[edges]
+    return first
+
+
 def split(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The terms of several rows, and where each row's terms start among them.
 
@@ -23,11 +32,7 @@ def split(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[pa.A
     (all bytes of non-ASCII characters must).
     """
     inside = kept[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
-    first[edges] = inside[edges]
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(beginnings(inside, offsets))
     body = LOWER[data[inside]]
     place = np.cumsum(inside, dtype=np.int32)[at] - 1 if len(at) else np.zeros(0, np.int32)
     ends = np.append(place, np.int32(len(body))).astype(np.int32)
