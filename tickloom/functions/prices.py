@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,3 +156,20 @@ def seeded_uniform(seed: Column, draw: Column) -> Column:
     z = times(s.bitwiseXOR(shift(s, 16)), 0x21F0AAAD)
     z = times(z.bitwiseXOR(shift(z, 15)), 0x735A2D97)
     return low(z.bitwiseXOR(shift(z, 15))) / F.lit(4294967296.0)
+
+
+def quote_guard(up_ask: Column, down_ask: Column, set_ms: Sequence[Column], now: Column, ask_sum: tuple[float, float] | None = None, max_age_ms: int | None = None, reduce_only: Column | None = None, include_exits: bool = False) -> Column:
+    """``quote_guard`` where the quotes refuse a taker order, else null.
+
+    With ``ask_sum`` both asks must be there and add up to a sum in that range; with ``max_age_ms`` each of the times
+    ``set_ms`` of the best prices must be there and that recent. Orders that reduce pass, unless ``include_exits``.
+    """
+    bad = F.lit(False)
+    if ask_sum is not None:
+        bad = bad | ~F.coalesce((up_ask + down_ask).between(ask_sum[0] - EPS, ask_sum[1] + EPS), F.lit(False))
+    if max_age_ms is not None:
+        for t in set_ms:
+            bad = bad | ~F.coalesce(now - t <= max_age_ms, F.lit(False))
+    if reduce_only is not None and not include_exits:
+        bad = bad & ~reduce_only
+    return F.when(bad, "quote_guard")

@@ -7,28 +7,114 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tickloom.functions.prices import EPS
 
-from .temporal import asof
+from .temporal import asof, within
 
 
-def levels_after(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _epochs(changes: DataFrame, keys: Sequence[str], order: Sequence[str], same: Sequence[str]) -> DataFrame:
+    """``changes`` with _e, which counts the ladder's snapshots so far, and _new where one begins.
+
+    Rows of one snapshot follow each other and agree on ``same``.
+    """
+    by_ladder = Window.partitionBy(*keys, "ladder").orderBy(*order)
+    follows = F.lag("snapshot").over(by_ladder)
+    for c in same:
+        follows = follows & (F.lag(c).over(by_ladder) == F.col(c))
+    new = changes.withColumn("_new", F.col("snapshot") & ~F.coalesce(follows, F.lit(False)))
+    return new.withColumn("_e", F.sum(F.col("_new").cast("int")).over(by_ladder.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def levels_after(changes: DataFrame, keys: Sequence[str], order: Sequence[str], same: Sequence[str] = ("ts_ms",)) -> DataFrame:
     """The levels that stand after all changes: (keys, ladder, ticks, size, ts_ms).
 
     ``changes`` has ladder, ticks, size, ts_ms and snapshot. A snapshot replaces its ladder; a
     change sets a tick's size, and a size of 0 or less removes it. Each ladder's changes since
-    its last snapshot count, and of a tick's the last.
+    its last snapshot count, and of a tick's the last. Snapshots that may follow each other
+    within a millisecond need a column in ``same`` that tells them apart.
     """
-    by_ladder = Window.partitionBy(*keys, "ladder").orderBy(*order)
-    new = F.col("snapshot") & ~F.coalesce(F.lag("snapshot").over(by_ladder) & (F.lag("ts_ms").over(by_ladder) == F.col("ts_ms")), F.lit(False))
-    epochs = changes.withColumn("_e", F.sum(new.cast("int")).over(by_ladder.rowsBetween(Window.unboundedPreceding, 0)))
+    epochs = _epochs(changes, keys, order, same)
     last = epochs.groupBy(*keys, "ladder", "ticks").agg(F.max_by(F.struct("_e", "size", "ts_ms"), F.struct(*order)).alias("x"))
     # the ladder's last epoch as a second, small aggregate: no window over what is left
     top = epochs.groupBy(*keys, "ladder").agg(F.max("_e").alias("_top"))
     return last.join(top, [*keys, "ladder"]).where("x._e = _top AND x.size > 0").select(*keys, "ladder", "ticks", "x.size", "x.ts_ms")
 
 
+#: Prices have fewer ticks than two to this power.
+TICK_BITS = 14
+
+
+def level_spans(changes: DataFrame, keys: Sequence[str], order: Sequence[str], bounds: DataFrame | None = None, inclusive: bool = False, place: str = "ts_ms", same: Sequence[str] = ("ts_ms",)) -> DataFrame:
+    """Each level of each ladder for as long as it stands: (keys, ladder, ticks, size, ts_ms, from_at, to_at), half open, ``to_at`` null if it still does.
+
+    A change stands until the next change of its tick, the next snapshot of its ladder, or the first of the ``bounds``
+    (keys, ladder, ticks, ts_ms) that is tighter and later (or, with ``inclusive``, of the same time and further on).
+    Spans are in ``place``, a column of both tables that never falls along ``order``: the time, or the events'
+    number to tell states within a millisecond apart. What stands for no time has no span. An empty snapshot is a row
+    without ticks.
+
+    The next change is a window over a tick, the next snapshot an equi-join on the ladder's snapshot count. A bound
+    covers a range of ticks, which is at most TICK_BITS nodes of a binary tree over them; a level looks for the next
+    bound in the nodes above it by as-of joins. So no level meets a bound that doesn't end it, and a ladder's
+    levels are spread over many keys.
+    """
+    ladder = [*keys, "ladder"]
+    epochs = _epochs(changes, keys, order, same)
+    ends = epochs.where("_new").select(*ladder, (F.col("_e") - 1).alias("_e"), F.col(place).alias("_snapshot"))
+    after = F.lead(place).over(Window.partitionBy(*ladder, "ticks").orderBy(*order))
+    spans = epochs.withColumn("_next", after).where("size > 0").join(ends, [*ladder, "_e"], "left")
+    spans = spans.select(*ladder, "ticks", "size", "ts_ms", F.col(place).alias("from_at"), F.least("_next", "_snapshot").alias("to_at")).where("to_at IS NULL OR to_at > from_at")
+    if bounds is None:
+        return spans
+    up = lambda c: F.when(F.col("ladder") == "asks", F.col(c)).otherwise((1 << TICK_BITS) - 1 - F.col(c))  # noqa: E731  both ladders lose what is below a bound
+    limits = bounds.select(*ladder, up("ticks").cast("bigint").alias("_up"), "ts_ms", F.col(place).alias("_pruned"))
+    nodes = lambda odd: F.array_compact(F.array(*[F.when(F.shiftright("_up", i) % 2 == odd, F.struct(F.lit(i).alias("i"), (F.shiftright("_up", i) - odd).alias("n"))) for i in range(TICK_BITS + 1)]))
+    covers, above = nodes(1), nodes(0)  # a range from 0 takes the even node before each odd one on the way up; so only even nodes count
+    # the as-of join looks back, so times are turned round
+    later = limits.select(*ladder, F.explode(covers).alias("_node"), (-(F.col("_pruned") if inclusive else F.col("ts_ms"))).alias("_t"), (-F.col("_pruned")).alias("_tie"), "_pruned")
+    tops = limits.groupBy(*ladder).agg(F.max("_up").alias("_top"))
+    open_to = spans.withColumn("_up", up("ticks").cast("bigint")).join(tops, ladder).where("_up < _top").select(*ladder, "ticks", "from_at", F.explode(above).alias("_node"), (-(F.col("from_at") if inclusive else F.col("ts_ms")) - 1).alias("_t"))
+    met = asof(open_to, later, [*ladder, "_node"], "_t", "_t", ["_pruned"], ["_tie"])
+    pruned = met.groupBy(*ladder, "ticks", "from_at").agg(F.min("_pruned").alias("_pruned")).where("_pruned IS NOT NULL")
+    cut = spans.join(pruned, [*ladder, "ticks", "from_at"], "left").withColumn("to_at", F.least("to_at", "_pruned")).drop("_pruned")
+    return cut.select(*spans.columns).where("to_at IS NULL OR to_at > from_at")
+
+
+def book_at(asked: DataFrame, spans: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Each row of ``asked`` with each level of its book that stands at its ``at``; rows without any drop out."""
+    closed = spans.withColumn("_last", F.col("to_at") - 1)
+    return within(asked, closed, at, "from_at", "_last", keys=keys).drop("_last")
+
+
+def quotes(levels: DataFrame, keys: Sequence[str], bound: Column | None = None) -> DataFrame:
+    """(keys, best_ask, best_bid, ask_ts, bid_ts, ask_depth, bid_depth): best prices with the times they were set, and depth.
+
+    ``levels`` are those of ``book_at``, or a book's. With ``bound``, an expression of ticks, depth is that at least as good:
+    asks at or below it, bids at or above it.
+    """
+    asks = F.col("ladder") == "asks"
+    good = lambda side: side if bound is None else side & F.coalesce(F.when(asks, F.col("ticks") <= bound).otherwise(F.col("ticks") >= bound), F.lit(True))
+    ask, bid = (F.when(x, F.col("ticks")) for x in (asks, ~asks))
+    return levels.groupBy(*keys).agg(F.min(ask).alias("best_ask"), F.max(bid).alias("best_bid"), F.min_by("ts_ms", ask).alias("ask_ts"), F.max_by("ts_ms", bid).alias("bid_ts"),
+                                     F.coalesce(F.sum(F.when(good(asks), F.col("size"))), F.lit(0)).alias("ask_depth"), F.coalesce(F.sum(F.when(good(~asks), F.col("size"))), F.lit(0)).alias("bid_depth"))
+
+
+def fills_at(orders: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, order_id: str = "order_id") -> DataFrame:
+    """One row for each order, as ``fills`` gives it, from the book that stands at the order's time; each order by itself.
+
+    ``orders`` have qty, limit_ticks (null: none), reduce_only and fok. An opening order takes asks up to its limit,
+    one that reduces takes bids down to it. ``quoted_ticks`` is the best price even if nothing is within the limit.
+    """
+    met = book_at(orders, spans, keys, at).where(F.when(F.col("reduce_only"), F.col("ladder") == "bids").otherwise(F.col("ladder") == "asks"))
+    rank = F.when(F.col("reduce_only"), -F.col("ticks")).otherwise(F.col("ticks"))
+    ahead = Window.partitionBy(order_id).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(rank <= F.when(F.col("reduce_only"), -F.col("limit_ticks")).otherwise(F.col("limit_ticks")), F.lit(True))
+    taken = F.when(inside, F.greatest(F.lit(0), F.least(F.col("size"), F.col("qty") - F.coalesce(F.sum("size").over(ahead), F.lit(0))))).otherwise(0)
+    return fills(orders, met.withColumn("taken", taken), order_id, F.col("fok"))
+
+
 def prune(levels: DataFrame, bounds: DataFrame, keys: Sequence[str], inclusive: bool = False) -> DataFrame:
     """Levels that no later best price contradicts: asks below a best ask, or bids above a best bid, older than it, go.
 
@@ -66,26 +152,36 @@ def best_levels(levels: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 def walk(orders: DataFrame, levels: DataFrame, keys: Sequence[str], order_id: str = "order_id") -> DataFrame:
     """(order, ticks, size, taken): what each order takes of the asks, best first, up to its limit and quantity.
 
-    ``orders`` has qty and limit_ticks; each is matched by itself against the whole depth.
+    ``orders`` has qty and limit_ticks; each is matched by itself against the whole depth. How far an order reaches is
+    found by two as-of joins, one on the limit and one on the depth before a level; then it meets just these levels.
     """
-    ahead = Window.partitionBy(order_id).orderBy("ticks").rowsBetween(Window.unboundedPreceding, -1)
-    met = orders.join(levels.where("ladder = 'asks'").drop("ladder"), list(keys)).where("ticks <= limit_ticks")
-    before = F.coalesce(F.sum("size").over(ahead), F.lit(0))
-    return met.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), F.col("qty") - before))).where("taken > 0")
+    best_first = Window.partitionBy(*keys).orderBy("ticks")
+    ahead = best_first.rowsBetween(Window.unboundedPreceding, -1)
+    asks = levels.where("ladder = 'asks'").select(*keys, "ticks", "size").withColumns({"_rank": F.row_number().over(best_first), "_before": F.coalesce(F.sum("size").over(ahead), F.lit(0))})
+    wanted = orders.where("qty > 0 AND limit_ticks IS NOT NULL")
+    reach = asof(wanted, asks, keys, "limit_ticks", "ticks", ["_rank"], prefix="_limit")
+    reach = asof(reach, asks, keys, "qty", "_before", ["_rank"], ["_rank"], prefix="_depth")
+    reach = reach.where("_limit_rank IS NOT NULL AND _depth_rank IS NOT NULL")
+    met = reach.withColumn("_rank", F.explode(F.sequence(F.lit(1), F.least("_limit_rank", "_depth_rank")))).join(asks, [*keys, "_rank"])
+    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("qty") - F.col("_before")))
+    return met.withColumn("taken", taken).where("taken > 0").drop("_rank", "_before", "_limit_rank", "_depth_rank")
 
 
 def fills(orders: DataFrame, taken: DataFrame, order_id: str = "order_id", fok: Column | None = None) -> DataFrame:
     """One row for each order: filled, unfilled, notional in ticks, quoted, worst and average price, levels walked.
 
-    Where ``fok`` holds, an order that can't be filled whole fills nothing.
+    Where ``fok`` holds, an order that can't be filled whole fills nothing and has no quote, as it is refused.
     """
-    got = taken.groupBy(order_id).agg(F.sum("taken").alias("filled"), F.sum(F.col("taken") * F.col("ticks")).alias("notional_ticks"), F.min("ticks").alias("quoted_ticks"), F.max("ticks").alias("worst_ticks"), F.count(F.lit(1)).alias("levels_walked"))
+    some = F.col("taken") > 0
+    best_first = -F.col("ticks") if "ladder" not in taken.columns else F.when(F.col("ladder") == "bids", F.col("ticks")).otherwise(-F.col("ticks"))
+    got = taken.groupBy(order_id).agg(F.sum("taken").alias("filled"), F.sum(F.col("taken") * F.col("ticks")).alias("notional_ticks"), F.max_by("ticks", best_first).alias("quoted_ticks"),
+                                      F.min_by("ticks", F.when(some, best_first)).alias("worst_ticks"), F.count_if(some).alias("levels_walked"))
     out = orders.join(got, order_id, "left")
     whole = F.coalesce(F.col("filled") >= F.col("qty") - EPS, F.lit(False))
     keep = F.lit(True) if fok is None else ~fok | whole
     for c in ("filled", "notional_ticks", "levels_walked"):
         out = out.withColumn(c, F.when(keep, F.coalesce(F.col(c), F.lit(0))).otherwise(0))
-    out = out.withColumn("quoted_ticks", F.col("quoted_ticks")).withColumn("worst_ticks", F.when(keep, F.col("worst_ticks")))
+    out = out.withColumns({c: F.when(keep, F.col(c)) for c in ("quoted_ticks", "worst_ticks")})
     return out.withColumns({"unfilled": F.col("qty") - F.col("filled"), "avg_px": F.when(F.col("filled") > 0, F.col("notional_ticks") / F.col("filled") / 10_000)})
 
 
@@ -98,6 +194,8 @@ def take_in_sequence(orders: DataFrame, levels: DataFrame, keys: Sequence[str],
     task as a stream, of which only that number is kept.
     """
     upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("ticks"))
+    if not all(isinstance(t, IntegralType) for t in (orders.schema["qty"].dataType, levels.schema["size"].dataType)):
+        upto = upto.cast("double")  # either may have fractions
     depth = levels.where("ladder = 'asks'").withColumn("filled", upto)
     met = asof(orders, depth, keys, "limit_ticks", "ticks", ["filled"]).repartition(*keys).sortWithinPartitions(*keys, *order)
     return met.mapInArrow(_takes(list(keys)), met.schema)
@@ -148,13 +246,33 @@ def rebuild(changes: DataFrame, keys: Sequence[str], bounds: DataFrame | None =
 
 
 def opening_quotes(tops: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """(key, up_ticks, down_ticks) at each market's first moment with asks on both sides."""
+    """(key, up_ticks, down_ticks) at each market's first moment with asks on both sides.
+
+    ``tops`` has each change of a side's best ask, ``ask_ticks`` null where the side has none left: both prices come
+    from one state of the book, so an ask that has gone doesn't count.
+    """
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda s: F.last(F.when(F.col("side") == s, F.col("ask_ticks")), ignorenulls=True).over(w)
+    side = lambda s: F.last(F.when(F.col("side") == s, F.struct("ask_ticks")), ignorenulls=True).over(w)["ask_ticks"]
     seen = tops.withColumns({"up_ticks": side("UP"), "down_ticks": side("DOWN")}).where("up_ticks IS NOT NULL AND down_ticks IS NOT NULL")
     return seen.groupBy(key).agg(F.min_by(F.struct("up_ticks", "down_ticks"), F.struct(*order)).alias("q")).select(key, "q.*")
 
 
+def opening_quotes_of(spans: DataFrame, key: str) -> DataFrame:
+    """(key, at, up_ticks, down_ticks) of the first state of each market's book with asks on both sides.
+
+    ``spans`` are those of ``level_spans`` with ``side`` among the keys. Where asks begin and end, a running count of
+    those that stand tells the first such state; the prices are then those that stand there.
+    """
+    asks = spans.where("ladder = 'asks'")
+    edge = lambda at, n: asks.where(F.col(at).isNotNull()).select(key, F.col(at).alias("at"), *[F.when(F.col("side") == s, n).otherwise(0).alias(s) for s in ("UP", "DOWN")])
+    moves = edge("from_at", 1).unionByName(edge("to_at", -1)).groupBy(key, "at").agg(F.sum("UP").alias("UP"), F.sum("DOWN").alias("DOWN"))
+    upto = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    first = moves.select(key, "at", *[F.sum(s).over(upto).alias(s) for s in ("UP", "DOWN")]).where("UP > 0 AND DOWN > 0").groupBy(key).agg(F.min("at").alias("at"))
+    met = asks.join(first, key).where("from_at <= at AND (to_at IS NULL OR to_at > at)")
+    best = lambda s: F.min(F.when(F.col("side") == s, F.col("ticks")))
+    return met.groupBy(key, "at").agg(best("UP").alias("up_ticks"), best("DOWN").alias("down_ticks"))
+
+
 def opening_snapshot(changes: DataFrame, markets: DataFrame, order: Sequence[str]) -> DataFrame:
     """What stood in each market's book before its opening, as one snapshot at the opening."""
     before = changes.join(markets.select("market_id", "open_ms"), "market_id").where("ts_ms < open_ms")

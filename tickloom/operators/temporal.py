@@ -64,19 +64,22 @@ def within(points: DataFrame, spans: DataFrame, ts: str, start: str, end: str, b
     """Points joined with the closed spans that hold them; a null bound is open.
 
     Spans are cut into bins, so that the join has an equality and can be shuffled; a span meets each
-    of its points in one bin. Bins are ``bin_ms`` wide, or else as wide as the spans' median length, so
-    that a span meets few points outside it. They lie between the first and the last point, which also
-    bounds open spans.
+    of its points in one bin. Spans are told apart by length: those of a class lie in a few bins that are at most four
+    times as wide as they are (``bin_ms`` at least), however long they are, and points look into each class that
+    occurs. Bins lie between the first and the last point, which also bounds open spans.
     """
     begin, stop, at = F.col(start), F.col(end), F.col(ts)
-    if bin_ms is None:
-        bin_ms = spans.agg(F.coalesce(F.greatest(F.percentile_approx(stop - begin, 0.5), F.lit(1)), F.lit(DAY_MS)).cast("bigint")).scalar()
     first, last = points.agg(F.min(ts)).scalar(), points.agg(F.max(ts)).scalar()
-    low, high = F.greatest(begin, first), F.least(stop, last)  # nulls don't count
-    bins = F.sequence(F.floor(low / bin_ms), F.floor(high / bin_ms))
-    cut = spans.where(begin.isNull() | stop.isNull() | (begin <= stop)).withColumn("_bin", F.explode(F.when(low <= high, bins)))
-    out = points.withColumn("_bin", F.floor(at / bin_ms)).join(cut, ["_bin", *keys])
-    out = out.where((begin.isNull() | (at >= begin)) & (stop.isNull() | (at <= stop))).drop("_bin")
+    low, high = F.greatest(begin, F.lit(first)), F.least(stop, F.lit(last))  # nulls don't count
+    longest = F.greatest(high - low, F.lit(bin_ms or 1), F.lit(1))
+    cut = spans.where(begin.isNull() | stop.isNull() | (begin <= stop)).withColumn("_class", F.ceil(F.log(4.0, longest)).cast("int"))
+    cut = cut.where(low <= high)
+    classes = [r[0] for r in cut.select("_class").distinct().collect()]  # one for each power of four
+    width = F.expr("shiftleft(1L, _class * 2)")
+    cut = cut.withColumn("_bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    seen = points.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumn("_bin", F.floor(at / width))
+    out = seen.join(cut, ["_class", "_bin", *keys])
+    out = out.where((begin.isNull() | (at >= begin)) & (stop.isNull() | (at <= stop))).drop("_bin", "_class")
     return out if on is None else out.where(on)
 
 
@@ -161,11 +164,38 @@ def dedup_feed(ticks: DataFrame, key: str, feed_ts: str, order: Sequence[str]) -
     return ticks.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(feed_ts))).drop("_b")
 
 
-def twap_locked(ticks: DataFrame, key: str, ts: str, value: str, close: str, lookback_ms: int, second_ms: int = 1000) -> DataFrame:
-    """(key, n, twap, coverage): the mean of the ticks in [close - lookback, close), and the share of its seconds that have one."""
-    inside = (F.col(ts) >= F.col(close) - lookback_ms) & (F.col(ts) < F.col(close))
-    seconds = F.countDistinct(F.when(inside, F.floor(F.col(ts) / second_ms)))
-    return ticks.groupBy(key).agg(F.count_if(inside).alias("n"), F.avg(F.when(inside, F.col(value))).alias("twap"), (seconds / F.lit(lookback_ms / second_ms)).alias("coverage"))
+#: How old the last spot value may be and how many of the seconds must have one for a projection.
+SPOT_MAX_AGE_MS, SPOT_MIN_COVERAGE = 5000, 0.8
+
+
+def twap_at(asked: DataFrame, ticks: DataFrame, key: str, now: str, close: str, lookback: str, arrived: str = "arrived_ms", feed_ts: str = "ts_ms", value: str = "value", order: Sequence[str] = (), second_ms: int = 1000, max_age_ms: int = SPOT_MAX_AGE_MS) -> DataFrame:
+    """``asked`` with the mean of the closing window as far as it is locked at ``now``: twap, samples, elapsed_ms, coverage, last_ts_ms, projected.
+
+    A market's window is the ``lookback`` before its ``close``; ``ticks`` carry both. It counts one value of each feed
+    time, the first to arrive (repeats follow each other), of those that have arrived. ``coverage`` is their number over the seconds that have
+    passed, at most 1. ``projected`` mixes the mean with the last value for the time that is left; it is null with a
+    coverage below SPOT_MIN_COVERAGE or a last value older than ``max_age_ms``. Before the window and without a sample all are null.
+
+    Sums up to each arrival are a window over the market's ticks; each row of ``asked`` then finds its place by one
+    as-of join, so a market's ticks are read once however many times are asked for.
+    """
+    by_arrival = Window.partitionBy(key).orderBy(arrived, *order)
+    inside = (F.col(feed_ts) >= F.col(close) - F.col(lookback)) & (F.col(feed_ts) < F.col(close))
+    upto = by_arrival.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last(F.when(inside, F.col(feed_ts)), ignorenulls=True).over(by_arrival.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ticks.withColumn("_first", inside & (before.isNull() | (F.col(feed_ts) != before)))
+    sums = marked.select(key, F.col(arrived).alias("_arrived"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.sum(F.when(F.col("_first"), F.col(value))).over(upto).alias("_sum"),
+                         F.sum(F.col("_first").cast("bigint")).over(upto).alias("_n"), F.col(feed_ts).alias("_last_ts"), F.col(value).alias("_last"))
+    met = asof(asked, sums, [key], now, "_arrived", ["_sum", "_n", "_last_ts", "_last"], [f"_o{i}" for i in range(len(order))])
+    begin = F.col(close) - F.col(lookback)
+    there = (F.col(now) >= begin) & (F.col("_n") > 0)
+    elapsed = F.least(F.col(now) - begin, F.col(lookback))
+    mean, part = F.col("_sum") / F.col("_n"), elapsed / F.col(lookback)
+    coverage = F.least(F.lit(1.0), F.col("_n") / F.greatest(F.lit(1), F.floor(elapsed / second_ms)))
+    fresh = F.col(now) - F.col("_last_ts") <= max_age_ms
+    out = {"twap": mean, "samples": F.col("_n"), "elapsed_ms": elapsed, "coverage": coverage, "last_ts_ms": F.col("_last_ts"),
+           "projected": F.when((coverage >= SPOT_MIN_COVERAGE) & fresh, part * mean + (1 - part) * F.col("_last"))}
+    return met.withColumns({k: F.when(there, v) for k, v in out.items()}).drop("_sum", "_n", "_last_ts", "_last")
 
 
 def throttle(rows: DataFrame, key: str, ts: str, gap_ms: int, order: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ orders for taker orders. Prices are whole ticks and money whole micro-dollars on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import parsing as P
@@ -196,14 +196,38 @@ def q_ema(spark, d):
     return temporal.indicators(e, "value", "market_id", ["ts_ms", "event_id"], 10).select("event_id", F.floor(F.col("ema") * 100 + 0.5).alias("ema_100"))
 
 
-@query("q_twap_window", "WITH " + EV + """, c AS (SELECT *, max(ts_ms) OVER (PARTITION BY market_id) AS close_ms FROM ev),
-i AS (SELECT *, ts_ms >= close_ms - 259200000 AND ts_ms < close_ms AS inside FROM c)
-SELECT market_id, count(*) FILTER (WHERE inside) AS n, floor(sum(cents) FILTER (WHERE inside) * 1000.0 / nullif(count(*) FILTER (WHERE inside), 0) + 0.5)::BIGINT AS twap_milli, count(DISTINCT CASE WHEN inside THEN ts_ms // 3600000 END) / 72.0::DOUBLE AS coverage FROM i GROUP BY 1""")
+#: Of each market the values as they arrive, half a second to a day after their feed time; the window is the three days before its last feed time.
+TWAP = "WITH " + EV + """, ft AS (SELECT *, ts_ms // 21600000 * 21600000 AS feed_ms FROM ev),
+tk AS (SELECT market_id, event_id, cents, feed_ms, ts_ms AS arrived_ms, max(feed_ms) OVER (PARTITION BY market_id) AS close_ms FROM ft),
+{asked},
+m AS (SELECT a.*, k.cents, k.feed_ms, k.arrived_ms, k.event_id AS e, k.feed_ms >= a.close_ms - 259200000 AND k.feed_ms < a.close_ms AS inside FROM asked a JOIN tk k ON k.market_id = a.market_id AND k.arrived_ms <= a.now_ms),
+f AS (SELECT *, row_number() OVER (PARTITION BY ask_id, feed_ms ORDER BY arrived_ms, e) = 1 AND inside AS one FROM m),
+g AS (SELECT ask_id, market_id, now_ms, close_ms, count(*) FILTER (WHERE one) AS n, sum(cents) FILTER (WHERE one) AS s, arg_max(feed_ms, (arrived_ms, e)) AS last_ts_ms, arg_max(cents, (arrived_ms, e)) AS last FROM f GROUP BY ALL),
+h AS (SELECT *, least(now_ms - (close_ms - 259200000), 259200000) AS el FROM g WHERE now_ms >= close_ms - 259200000 AND n > 0),
+r AS (SELECT *, s::DOUBLE / n AS mean, least(1.0::DOUBLE, n::DOUBLE / greatest(1, el // 43200000)) AS coverage FROM h),
+tw AS (SELECT ask_id, n AS samples, el AS elapsed_ms, coverage, last_ts_ms, floor(mean * 1000 + 0.5)::BIGINT AS twap_milli,
+    CASE WHEN coverage >= 0.8 AND now_ms - last_ts_ms <= 86400000 THEN floor((el::DOUBLE / 259200000 * mean + (1 - el::DOUBLE / 259200000) * last) * 1000 + 0.5)::BIGINT END AS projected_milli FROM r)
+"""
+
+
+def _twap(spark, d, asked):
+    e = events(spark, d).withColumn("feed_ms", F.floor(F.col("ts_ms") / 21_600_000) * 21_600_000)
+    close = e.groupBy("market_id").agg(F.max("feed_ms").alias("close_ms")).withColumn("lookback_ms", F.lit(259_200_000))
+    ticks = e.join(close, "market_id").select("market_id", F.col("ts_ms").alias("arrived_ms"), F.col("feed_ms").alias("ts_ms"), "cents", "event_id", "close_ms", "lookback_ms")
+    out = temporal.twap_at(asked(e).join(close, "market_id"), ticks, "market_id", "now_ms", "close_ms", "lookback_ms", value="cents", order=["event_id"], second_ms=43_200_000, max_age_ms=86_400_000)
+    return out.select("ask_id", "samples", "elapsed_ms", "coverage", "last_ts_ms", F.floor(F.col("twap") * 1000 + 0.5).alias("twap_milli"), F.floor(F.col("projected") * 1000 + 0.5).alias("projected_milli"))
+
+
+@query("q_twap_window", TWAP.format(asked="asked AS (SELECT market_id AS ask_id, market_id, max(close_ms) AS now_ms, max(close_ms) AS close_ms FROM tk GROUP BY market_id)") + "SELECT market_id AS ask_id, samples, elapsed_ms, coverage, last_ts_ms, twap_milli, projected_milli FROM asked LEFT JOIN tw USING (ask_id)")
 def q_twap_window(spark, d):
-    e = events(spark, d)
-    close = e.groupBy("market_id").agg(F.max("ts_ms").alias("close_ms"))
-    out = temporal.twap_locked(e.join(close, "market_id"), "market_id", "ts_ms", "cents", "close_ms", 259_200_000, 3_600_000)
-    return out.select("market_id", "n", F.floor(F.col("twap") * 1000 + 0.5).alias("twap_milli"), "coverage")
+    """The mean that is locked at each market's close."""
+    return _twap(spark, d, lambda e: e.groupBy(F.col("market_id").alias("ask_id"), "market_id").agg(F.max("feed_ms").alias("now_ms")))
+
+
+@query("q_twap_at", TWAP.format(asked="asked AS (SELECT event_id AS ask_id, market_id, ts_ms AS now_ms, max(feed_ms) OVER (PARTITION BY market_id) AS close_ms FROM ft)") + "SELECT event_id AS ask_id, samples, elapsed_ms, coverage, last_ts_ms, twap_milli, projected_milli FROM ev LEFT JOIN tw ON ask_id = event_id")
+def q_twap_at(spark, d):
+    """What is locked at the time of every event."""
+    return _twap(spark, d, lambda e: e.select(F.col("event_id").alias("ask_id"), "market_id", F.col("ts_ms").alias("now_ms")))
 
 
 @query("q_dedup_feed", "WITH " + EV + """, x AS (SELECT event_id, market_id, ts_ms // 86400000 AS day, lag(ts_ms // 86400000) OVER (PARTITION BY market_id ORDER BY event_id) AS b FROM ev) SELECT event_id, market_id, day FROM x WHERE b IS NULL OR b <> day""")
@@ -244,6 +268,83 @@ def q_prune(spark, d):
     return book.prune(book_state(spark, d), bounds, ["book_id"])
 
 
+#: The levels of each order's book at its date: of each tick the last change until then, if no snapshot of its ladder and no tighter best price came after it.
+AT = STATE.rstrip() + """, od AS (SELECT o_orderkey AS order_id, o_custkey % 50 + 1 AS book_id, epoch_ms(o_orderdate) AS at_ms, floor(o_totalprice / 9000)::BIGINT AS qty,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 8 * 100 + 200 END AS limit_ticks, o_orderkey % 3 = 0 AS reduce_only, o_orderpriority LIKE '1%' AS fok FROM orders),
+ch AS (SELECT od.*, f.ladder, f.ticks, f.size - 2 AS size, f.ts_ms, ep, max(ep) OVER (PARTITION BY order_id, f.ladder) AS top, row_number() OVER (PARTITION BY order_id, f.ladder, f.ticks ORDER BY ts_ms DESC, o1 DESC, o2 DESC, o3 DESC, f.size DESC) AS rn FROM od JOIN f USING (book_id) WHERE f.ts_ms <= at_ms),
+a0 AS (SELECT * FROM ch WHERE rn = 1 AND ep = top AND size > 0),
+bd AS (SELECT book_id, ladder, ticks, ts_ms FROM lv WHERE flag = 'R'),
+bk AS (SELECT * FROM a0 WHERE NOT EXISTS (SELECT 1 FROM bd WHERE bd.book_id = a0.book_id AND bd.ladder = a0.ladder AND bd.ts_ms > a0.ts_ms AND bd.ts_ms <= a0.at_ms AND CASE WHEN a0.ladder = 'asks' THEN bd.ticks > a0.ticks ELSE bd.ticks < a0.ticks END))
+"""
+
+
+def _spans(spark, d):
+    bounds = lines(spark, d).where("flag = 'R'").select("book_id", "ladder", "ticks", "ts_ms")
+    return book.level_spans(lines(spark, d).withColumn("size", F.col("size") - 2), ["book_id"], ORDER, bounds)
+
+
+def _timed_orders(spark, d):
+    o, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    return o.select(k.alias("order_id"), (F.col("o_custkey") % 50 + 1).alias("book_id"), _ms("o_orderdate").alias("at_ms"), F.floor(F.col("o_totalprice") / 9000).cast("bigint").alias("qty"),
+                    F.when(k % 5 != 0, k % 8 * 100 + 200).alias("limit_ticks"), (k % 3 == 0).alias("reduce_only"), F.col("o_orderpriority").startswith("1").alias("fok"))
+
+
+@query("q_book_at", AT + """SELECT order_id, min(ticks) FILTER (WHERE ladder = 'asks') AS best_ask, max(ticks) FILTER (WHERE ladder = 'bids') AS best_bid, arg_min(ts_ms, ticks) FILTER (WHERE ladder = 'asks') AS ask_ts, arg_max(ts_ms, ticks) FILTER (WHERE ladder = 'bids') AS bid_ts,
+    coalesce(sum(size) FILTER (WHERE ladder = 'asks' AND (limit_ticks IS NULL OR ticks <= limit_ticks)), 0)::BIGINT AS ask_depth, coalesce(sum(size) FILTER (WHERE ladder = 'bids' AND (limit_ticks IS NULL OR ticks >= limit_ticks)), 0)::BIGINT AS bid_depth FROM bk GROUP BY 1""")
+def q_book_at(spark, d):
+    """Best prices, their age and the depth to a bound of each order's book at the order's time."""
+    met = book.book_at(_timed_orders(spark, d), _spans(spark, d), ["book_id"], "at_ms")
+    return book.quotes(met, ["order_id"], F.col("limit_ticks"))
+
+
+@query("q_fill_at_time", AT + """, mt AS (SELECT *, CASE WHEN reduce_only THEN -ticks ELSE ticks END AS cost, CASE WHEN reduce_only THEN -limit_ticks ELSE limit_ticks END AS cap FROM bk WHERE ladder = CASE WHEN reduce_only THEN 'bids' ELSE 'asks' END),
+tk AS (SELECT *, CASE WHEN cap IS NULL OR cost <= cap THEN greatest(0, least(size, qty - coalesce(sum(size) OVER (PARTITION BY order_id ORDER BY cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END::BIGINT AS taken FROM mt),
+fg AS (SELECT order_id, sum(taken)::BIGINT AS f, sum(taken * ticks)::BIGINT AS nt, arg_min(ticks, cost) AS q, arg_max(ticks, cost) FILTER (WHERE taken > 0) AS wo, count(*) FILTER (WHERE taken > 0) AS n FROM tk GROUP BY 1),
+k AS (SELECT od.order_id, f, nt, q, wo, n, NOT fok OR coalesce(f >= qty, false) AS keep FROM od LEFT JOIN fg ON fg.order_id = od.order_id)
+SELECT order_id, CASE WHEN keep THEN coalesce(f, 0) ELSE 0 END AS filled, CASE WHEN keep THEN coalesce(nt, 0) ELSE 0 END AS notional_ticks, CASE WHEN keep THEN q END AS quoted_ticks, CASE WHEN keep THEN wo END AS worst_ticks, CASE WHEN keep THEN coalesce(n, 0) ELSE 0 END AS levels_walked FROM k""")
+def q_fill_at_time(spark, d):
+    """Each order by itself against the book that stands at its time; some reduce, some are all or none, some have no limit."""
+    out = book.fills_at(_timed_orders(spark, d), _spans(spark, d), ["book_id"], "at_ms")
+    return out.select("order_id", "filled", "notional_ticks", "quoted_ticks", "worst_ticks", "levels_walked")
+
+
+SIDES = "WITH " + LV + """, s0 AS (SELECT *, size - 2 AS n, CASE WHEN o2 % 2 = 1 THEN 'UP' ELSE 'DOWN' END AS side, row_number() OVER (PARTITION BY book_id ORDER BY ts_ms, o1, o2, o3, size, ticks) AS seq FROM lv)
+"""
+
+
+def _sided(spark, d):
+    r = lines(spark, d).withColumn("seq", F.row_number().over(Window.partitionBy("book_id").orderBy(*ORDER)).cast("bigint"))
+    return r.withColumns({"side": F.when(F.col("o2") % 2 == 1, "UP").otherwise("DOWN"), "size": F.col("size") - 2})
+
+
+@query("q_opening_book", SIDES + """, c AS (SELECT k.book_id, k.seq AS "at", s.side, s.ticks, s.n, s.seq, s.snapshot, row_number() OVER (PARTITION BY k.book_id, k.seq, s.side, s.ticks ORDER BY s.seq DESC) AS rn, max(CASE WHEN s.snapshot THEN s.seq END) OVER (PARTITION BY k.book_id, k.seq, s.side) AS snap
+    FROM s0 k JOIN s0 s ON s.book_id = k.book_id AND s.seq <= k.seq AND s.ladder = 'asks' WHERE k.seq <= 60),
+b AS (SELECT book_id, "at", min(ticks) FILTER (WHERE side = 'UP') AS up_ticks, min(ticks) FILTER (WHERE side = 'DOWN') AS down_ticks FROM c WHERE rn = 1 AND n > 0 AND (snap IS NULL OR seq >= snap) GROUP BY 1, 2)
+SELECT book_id, min("at") AS "at", arg_min(up_ticks, "at") AS up_ticks, arg_min(down_ticks, "at") AS down_ticks FROM b WHERE up_ticks IS NOT NULL AND down_ticks IS NOT NULL GROUP BY 1""")
+def q_opening_book(spark, d):
+    """The first state of each book with asks on both sides, event by event."""
+    spans = book.level_spans(_sided(spark, d), ["book_id", "side"], ["seq"], place="seq", same=("seq",))
+    return book.opening_quotes_of(spans, "book_id")
+
+
+@query("q_quote_guard", SIDES + """, st AS (SELECT book_id, side, ladder, ticks, arg_max(n, seq) AS n, max(seq) AS seq, arg_max(ts_ms, seq) AS ts_ms FROM s0 GROUP BY ALL),
+sn AS (SELECT book_id, side, ladder, max(seq) AS snap FROM s0 WHERE snapshot GROUP BY ALL),
+l AS (SELECT st.* FROM st LEFT JOIN sn USING (book_id, side, ladder) WHERE n > 0 AND (snap IS NULL OR seq >= snap)),
+q AS (SELECT book_id, min(ticks) FILTER (WHERE side = 'UP' AND ladder = 'asks') AS ua, min(ticks) FILTER (WHERE side = 'DOWN' AND ladder = 'asks') AS da, (SELECT max(ts_ms) FROM lv) AS now,
+    [arg_min(ts_ms, ticks) FILTER (WHERE side = 'UP' AND ladder = 'asks'), arg_max(ts_ms, ticks) FILTER (WHERE side = 'UP' AND ladder = 'bids'), arg_min(ts_ms, ticks) FILTER (WHERE side = 'DOWN' AND ladder = 'asks'), arg_max(ts_ms, ticks) FILTER (WHERE side = 'DOWN' AND ladder = 'bids')] AS t FROM l GROUP BY 1)
+SELECT book_id, CASE WHEN ua IS NULL OR da IS NULL OR ua + da NOT BETWEEN 100 AND 500 THEN 'quote_guard' END AS by_sum, CASE WHEN len(list_filter(t, lambda x: x IS NOT NULL AND now - x <= 10368000000)) < 4 THEN 'quote_guard' END AS by_age FROM q""")
+def q_quote_guard(spark, d):
+    """Whether each book's last state would refuse an opening order, by the sum of its asks and by its age."""
+    r = _sided(spark, d)
+    now = r.agg(F.max("ts_ms")).scalar()
+    levels = book.levels_after(r, ["book_id", "side"], ["seq"], same=("seq",))
+    of = lambda side: book.quotes(levels.where(F.col("side") == side), ["book_id"]).select("book_id", *[F.col(c).alias(f"{side}_{c}") for c in ("best_ask", "ask_ts", "bid_ts")])
+    q = of("UP").join(of("DOWN"), "book_id", "full")
+    asks = [X.from_ticks(F.col(f"{s}_best_ask")) for s in ("UP", "DOWN")]
+    times = [F.col(f"{s}_{c}") for s in ("UP", "DOWN") for c in ("ask_ts", "bid_ts")]
+    return q.select("book_id", X.quote_guard(*asks, times, F.lit(now), ask_sum=(0.01, 0.05)).alias("by_sum"), X.quote_guard(*asks, times, F.lit(now), max_age_ms=10_368_000_000).alias("by_age"))
+
+
 @query("q_top_of_book", STATE + """, t AS (SELECT book_id, min(ticks) FILTER (WHERE ladder = 'asks') AS best_ask, max(ticks) FILTER (WHERE ladder = 'bids') AS best_bid, (sum(size) FILTER (WHERE ladder = 'asks'))::BIGINT AS ask_depth, (sum(size) FILTER (WHERE ladder = 'bids'))::BIGINT AS bid_depth, max(ts_ms) AS newest FROM st GROUP BY 1)
 SELECT *, coalesce(best_bid >= best_ask, false) AS crossed FROM t""")
 def q_top_of_book(spark, d):
@@ -271,7 +372,7 @@ def q_walk_book(spark, d):
 
 @query("q_fok", WALK + """, g AS (SELECT order_id, sum(taken) AS f, sum(taken * ticks) AS nt, min(ticks) AS q, max(ticks) AS wo, count(*) AS n FROM wk GROUP BY 1)
 SELECT od.order_id, CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN coalesce(f, 0) ELSE 0 END::BIGINT AS filled, CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN coalesce(nt, 0) ELSE 0 END::BIGINT AS notional_ticks,
-    q AS quoted_ticks, CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN wo END AS worst_ticks, CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN coalesce(n, 0) ELSE 0 END::BIGINT AS levels_walked FROM od LEFT JOIN g USING (order_id)""")
+    CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN q END AS quoted_ticks, CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN wo END AS worst_ticks, CASE WHEN NOT fok OR coalesce(f >= qty, false) THEN coalesce(n, 0) ELSE 0 END::BIGINT AS levels_walked FROM od LEFT JOIN g USING (order_id)""")
 def q_fok(spark, d):
     out = book.fills(orders(spark, d), walked(spark, d), fok=F.col("fok"))
     return out.select("order_id", "filled", "notional_ticks", "quoted_ticks", "worst_ticks", "levels_walked")

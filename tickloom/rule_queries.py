@@ -212,7 +212,7 @@ def q_client_book(spark, d):
     return book.rebuild(changes, ["book_id"], bounds).select("book_id", "ladder", "price", "size")
 
 
-@query("q_opening_quotes", "WITH " + LV + """, x AS (SELECT book_id, o1, last_value(CASE WHEN o2 % 2 = 1 THEN t END IGNORE NULLS) OVER w AS up_ticks, last_value(CASE WHEN o2 % 2 = 0 THEN t END IGNORE NULLS) OVER w AS down_ticks, row_number() OVER w AS rn
+@query("q_opening_quotes", "WITH " + LV + """, x AS (SELECT book_id, o1, nullif(last_value(CASE WHEN o2 % 2 = 1 THEN coalesce(t, -1) END IGNORE NULLS) OVER w, -1) AS up_ticks, nullif(last_value(CASE WHEN o2 % 2 = 0 THEN coalesce(t, -1) END IGNORE NULLS) OVER w, -1) AS down_ticks, row_number() OVER w AS rn
 FROM (SELECT *, CASE WHEN size > 5 THEN ticks END AS t FROM lv) WINDOW w AS (PARTITION BY book_id ORDER BY ts_ms, o1, o2, o3, size, ticks ROWS UNBOUNDED PRECEDING))
 SELECT book_id, arg_min(up_ticks, rn) AS up_ticks, arg_min(down_ticks, rn) AS down_ticks FROM x WHERE up_ticks IS NOT NULL AND down_ticks IS NOT NULL GROUP BY 1""")
 def q_opening_quotes(spark, d):
