@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.prices import EPS
 
-LEG = "struct<size:bigint,cost:bigint,realised:bigint>"
+LEG = "size bigint, cost bigint, realised bigint"
 
 
 def positions(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(keys, size, cost, realised, avg_ticks) after all fills of a leg, in whole ticks.
 
     ``fills`` has signed qty (below 0 reduces, never past flat), ticks and fee. A reduction takes
-    cost in proportion, rounded down to whole ticks. One array fold in the JVM for each leg.
+    cost in proportion, rounded down to whole ticks.
+
+    A leg is cut where it is flat. How much is held after each fill is a running sum, less the lowest it ever fell
+    below zero, so flat points are found by windows. The pieces between them pass through tasks as ordered streams
+    that keep three numbers; what they realised adds up, and a leg's last piece has its size and cost.
     """
-    steps = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("qty").cast("bigint").alias("q"), F.col("ticks").cast("bigint").alias("t"), F.col("fee").cast("bigint").alias("f"))))
-
-    def step(a, x):
-        cut = F.least(-x.q, a["size"])
-        basis = F.when(a["size"] > 0, F.floor(a.cost * cut / F.when(a["size"] > 0, a["size"]))).otherwise(F.lit(0)).cast("bigint")
-        opened = F.struct((a["size"] + x.q).alias("size"), (a.cost + x.q * x.t).alias("cost"), (a.realised - x.f).alias("realised"))
-        closed = F.struct((a["size"] - cut).alias("size"), (a.cost - basis).alias("cost"), (a.realised + cut * x.t - basis - x.f).alias("realised"))
-        return F.when(x.q >= 0, opened).otherwise(closed).cast(LEG)
-
-    zero = F.lit(0).cast("bigint")
-    leg = F.aggregate("s", F.struct(zero.alias("size"), zero.alias("cost"), zero.alias("realised")).cast(LEG), step)
-    out = fills.groupBy(*keys).agg(steps.alias("s")).select(*keys, leg.alias("leg")).select(*keys, "leg.*")
+    places = [f"_o{i}" for i in range(len(order))]
+    steps = fills.select(*keys, *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)], *[F.col(c).cast("bigint").alias(a) for c, a in (("qty", "_q"), ("ticks", "_t"), ("fee", "_f"))])
+    by_leg = Window.partitionBy(*keys).orderBy(*places)
+    upto, before = by_leg.rowsBetween(Window.unboundedPreceding, 0), by_leg.rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_sum", F.sum("_q").over(upto))
+    held = F.col("_sum") - F.least(F.min("_sum").over(upto), F.lit(0))
+    pieces = steps.withColumn("_flat", (held == 0).cast("bigint")).withColumn("_piece", F.coalesce(F.sum("_flat").over(before), F.lit(0)))
+    cut = pieces.select(*keys, "_piece", *places, "_q", "_t", "_f").repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", *places)
+    folded = cut.mapInArrow(_fold_pieces(list(keys)), ", ".join(f"`{k}` {cut.schema[k].dataType.simpleString()}" for k in keys) + ", _piece bigint, " + LEG)
+    last = F.max_by(F.struct("size", "cost"), "_piece")
+    out = folded.groupBy(*keys).agg(last.alias("_x"), F.sum("realised").alias("realised")).select(*keys, "_x.size", "_x.cost", "realised")
     return out.withColumn("avg_ticks", F.when(F.col("size") > 0, F.col("cost") / F.col("size")))
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+
+
+def _fold_pieces(keys: list[str]):
+    """(keys, piece, size, cost, realised) of each piece in batches that are ordered by keys, piece and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, size, cost, realised, schema = None, 0, 0, 0, None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(k) for k in [*keys, "_piece"]] + [pa.field(c, pa.int64()) for c in ("size", "cost", "realised")])
+            names = zip(*[batch.column(k).to_pylist() for k in [*keys, "_piece"]], strict=True)
+            out = []
+            for own, q, t, f in zip(names, *[batch.column(c).to_pylist() for c in ("_q", "_t", "_f")], strict=True):
+                if own != piece:
+                    if piece is not None:
+                        out.append((*piece, size, cost, realised))
+                    piece, size, cost, realised = own, 0, 0, 0
+                if q >= 0:
+                    size, cost, realised = size + q, cost + q * t, realised - f
+                else:
+                    cut = min(-q, size)
+                    basis = cost * cut // size if size else 0
+                    size, cost, realised = size - cut, cost - basis, realised + cut * t - basis - f
+            yield _batch(out, schema)
+        if piece is not None:
+            yield _batch([(*piece, size, cost, realised)], schema)
+
+    return run
+
+
 def settle(legs: DataFrame, markets: DataFrame, side: str = "side") -> DataFrame:
     """``legs`` of settled markets with value and pnl in ticks: contracts pay 1, 0 or a half, without a fee."""
     from tickloom.functions.prices import contract_value

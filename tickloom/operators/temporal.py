@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.tables import written
+
 DAY_MS = 86_400_000
 
 
@@ -198,18 +200,35 @@ def twap_at(asked: DataFrame, ticks: DataFrame, key: str, now: str, close: str,
     return met.withColumns({k: F.when(there, v) for k, v in out.items()}).drop("_sum", "_n", "_last_ts", "_last")
 
 
-def throttle(rows: DataFrame, key: str, ts: str, gap_ms: int, order: Sequence[str]) -> DataFrame:
-    """Rows at least ``gap_ms`` after the last kept row of their key, the first one included.
+def throttle(rows: DataFrame, key: str, ts: str, gap_ms: int | Column, order: Sequence[str]) -> DataFrame:
+    """Rows at least ``gap_ms`` after the last kept row of their key, the first one included; rows without a time drop out.
+
+    Not a fixed grid: what is kept depends on what was kept before. ``gap_ms`` is above 0, and one number for each key.
 
-    Not a fixed grid: what is kept depends on what was kept before, so each key is folded in order.
-    A gap of ``gap_ms`` or more always starts anew, so keys are first cut into stretches there, and
-    no fold is longer than a stretch.
+    Each time of a key points to the first one that lies a gap or more after it (one as-of join). A time that
+    comes a gap or more after the one before it is kept whatever came earlier. From these the pointers are followed,
+    with twice as many steps in each round, so rounds grow with the logarithm of the longest stretch without a
+    gap, and no task holds a stretch. Each round is a table in the shared folder.
     """
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    cut = rows.withColumn("_new", F.coalesce((F.col(ts) - F.lag(ts).over(w) >= gap_ms).cast("int"), F.lit(1)))
-    cut = cut.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stretch = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rows.columns).alias("row"))))
-    folded = cut.groupBy(key, "_stretch").agg(stretch.alias("s"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.slice("s", 1, 0).alias("kept"))
-    keep = F.aggregate("s", start, lambda a, x: F.when(a.last.isNull() | (x.t - a.last >= gap_ms), F.struct(x.t.cast("bigint").alias("last"), F.concat(a.kept, F.array(x)).alias("kept"))).otherwise(a), lambda a: a.kept)
-    return folded.select(F.explode(keep).alias("k")).select("k.row.*")
+    gap = F.lit(gap_ms).cast("bigint") if isinstance(gap_ms, int) else gap_ms.cast("bigint")
+    at = F.col(ts).cast("bigint")
+    times = written(rows.where(F.col(ts).isNotNull()).groupBy(F.col(key).alias("k"), at.alias("t")).agg(F.max(gap).alias("gap")), "throttle")
+    # the as-of join looks back, so times are turned round
+    asked = times.select("k", "t", (-(F.col("t") + F.col("gap"))).alias("_due"))
+    jumps = asof(asked, times.select("k", F.col("t").alias("to"), (-F.col("t")).alias("_at")), ["k"], "_due", "_at", ["to"]).where("to IS NOT NULL").select("k", "t", "to")
+    before = F.lag("t").over(Window.partitionBy("k").orderBy("t"))
+    kept = times.withColumn("_b", before).where("_b IS NULL OR t - _b >= gap").select("k", "t")
+    jumps, kept = written(jumps, "throttle"), written(kept, "throttle")
+    n = kept.count()
+    while True:
+        # null keys are keys too
+        nxt = kept.alias("a").join(jumps.alias("j"), F.col("a.k").eqNullSafe(F.col("j.k")) & (F.col("a.t") == F.col("j.t"))).select("a.k", F.col("to").alias("t"))
+        kept = written(kept.unionByName(nxt).distinct(), "throttle")
+        n, had = kept.count(), n
+        if n == had:
+            break
+        a, b = jumps.alias("a"), jumps.alias("b")
+        jumps = written(a.join(b, F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.to") == F.col("b.t"))).select("a.k", "a.t", "b.to"), "throttle")
+    first = F.row_number().over(Window.partitionBy(key, ts).orderBy(*order)) == 1
+    found = rows.withColumn("_first", first).where("_first").drop("_first").alias("r")
+    return found.join(kept.alias("k"), F.col(f"r.{key}").eqNullSafe(F.col("k.k")) & (F.col(f"r.{ts}").cast("bigint") == F.col("k.t")), "left_semi")

@@ -611,17 +611,20 @@ DAY0 = 1_704_067_200_000
 CELLS = f"""mk AS (SELECT 'm' || s_suppkey AS market_id, 'slug-' || s_suppkey AS slug, 'A' || s_suppkey % 3 AS asset, 'u' || s_suppkey AS token_up, 'd' || s_suppkey AS token_down, CASE WHEN s_suppkey % 2 = 0 THEN 'prices' END AS stream,
     CASE WHEN s_suppkey % 5 <> 0 THEN {DAY0} + s_suppkey % 20 * 86400000 END AS open_ms, CASE WHEN s_suppkey % 9 <> 0 THEN {DAY0} + (s_suppkey % 20 + 1) * 86400000 END AS close_ms FROM supplier WHERE s_suppkey % 7 <> 0),
 c0 AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 3 <> 0 THEN 'm' || l_suppkey END AS cid, 'slug-' || l_suppkey AS slug, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_linenumber % 2 = 1 THEN 'UP' ELSE 'DOWN' END AS side,
-    {DAY0} + (l_orderkey * 60000 + l_partkey * 1000) % 2592000000 AS ts_ms, l_partkey % 1100 AS p, l_orderkey % 1100 AS p2, l_quantity::BIGINT - 3 AS size, l_linenumber AS n, l_returnflag AS flag FROM lineitem),
-c AS (SELECT c0.*, market_id FROM c0 JOIN mk USING (slug) WHERE (open_ms IS NULL OR ts_ms >= open_ms) AND (close_ms IS NULL OR ts_ms <= close_ms))"""
+    {DAY0} + (l_orderkey * 60000 + l_partkey * 1000) % 2592000000 AS ts_ms, l_partkey % 1100 AS p, l_orderkey % 1100 AS p2, l_quantity::BIGINT - 3 AS size, l_linenumber AS n, l_returnflag AS flag, l_partkey AS part FROM lineitem),
+c AS (SELECT c0.*, market_id FROM c0 JOIN mk USING (slug) WHERE (open_ms IS NULL OR ts_ms >= open_ms) AND (close_ms IS NULL OR ts_ms <= close_ms)),
+cb AS (SELECT * REPLACE (CASE WHEN part % 11 = 0 THEN NULL WHEN part % 2 = 0 THEN 'DOWN' ELSE 'UP' END AS side) FROM c)"""
 
 
 @query("q_decode_day", "WITH " + EV + ", " + CELLS + """, u AS (
 SELECT market_id, 'trade' AS kind, ts_ms, 1 AS sub, seq, 0 AS item, side, NULL AS ladder, p AS px, size, NULL::BIGINT AS bid, NULL::BIGINT AS ask, CASE WHEN n % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS taker, NULL::BIGINT AS cents FROM c WHERE flag = 'A' AND side IS NOT NULL AND p <= 1000 AND size > 0
-UNION ALL SELECT market_id, 'book', ts_ms, 1, seq, i.item, CASE WHEN i.item = 0 THEN side ELSE 'UP' END, CASE WHEN n % 3 = 0 THEN 'asks' ELSE 'bids' END, CASE WHEN i.item = 0 THEN p ELSE p2 END, size, NULL, NULL, NULL, NULL FROM c, (VALUES (0), (1)) i(item) WHERE flag = 'N' AND n % 2 = 1 AND CASE WHEN i.item = 0 THEN side IS NOT NULL AND p <= 1000 ELSE p2 <= 1000 END
+UNION ALL SELECT market_id, 'book', ts_ms, 1, seq, i.item, CASE WHEN i.item = 0 THEN side ELSE 'UP' END, CASE WHEN n % 3 = 0 THEN 'asks' ELSE 'bids' END, CASE WHEN i.item = 0 THEN p ELSE p2 END, size, NULL, NULL, NULL, NULL FROM c, (VALUES (0), (1)) i(item) WHERE flag = 'N' AND n % 2 = 1 AND size >= 0 AND CASE WHEN i.item = 0 THEN side IS NOT NULL AND p <= 1000 ELSE p2 <= 1000 END
 UNION ALL SELECT market_id, 'book', ts_ms, 1, seq, 0, side, NULL, NULL, NULL, p, p2, NULL, NULL FROM c WHERE flag = 'N' AND n % 2 = 0 AND side IS NOT NULL AND p <= p2 AND p2 <= 1000
-UNION ALL SELECT market_id, 'book', ts_ms, 0, seq, 0, NULL, NULL, CASE WHEN p <= 1000 AND size > 0 THEN p END, CASE WHEN p <= 1000 AND size > 0 THEN size END, CASE WHEN p <= 1000 AND size > 0 THEN 1000 - p END, CASE WHEN p2 <= 1000 THEN 1000 - p2 END, NULL, NULL FROM c WHERE flag = 'R'
+UNION ALL SELECT market_id, 'book', ts_ms, 0, seq, 0, NULL, NULL, CASE WHEN p <= 1000 AND size > 0 THEN p END, CASE WHEN p <= 1000 AND size > 0 THEN size END, CASE WHEN p <= 1000 AND size > 0 THEN 1000 - p END, CASE WHEN p2 <= 1000 THEN 1000 - p2 END, NULL, NULL FROM c WHERE flag = 'R' AND n % 2 = 0
+UNION ALL SELECT market_id, 'book', ts_ms, 0, seq, 0, side, NULL, CASE WHEN side = 'UP' AND p <= 1000 AND size > 0 THEN p END, CASE WHEN side = 'UP' AND p <= 1000 AND size > 0 THEN size END, CASE WHEN side = 'DOWN' AND p2 <= 1000 THEN p2 END, CASE WHEN side = 'DOWN' AND p <= 1000 AND size > 0 THEN p END, NULL, NULL FROM cb WHERE flag = 'R' AND n % 2 = 1 AND side IS NOT NULL
+UNION ALL SELECT mk.market_id, 'spot', ts_ms, 1, event_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, cents FROM ev JOIN mk ON 'A' || ev.market_id % 3 = asset AND (open_ms IS NULL OR ts_ms >= open_ms) AND (close_ms IS NULL OR ts_ms <= close_ms) WHERE event_type = 'purchase'
 UNION ALL SELECT mk.market_id, 'tick', ts_ms, 1, event_id, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, cents FROM ev JOIN mk ON 'A' || ev.market_id % 3 = asset AND stream = 'prices' AND (open_ms IS NULL OR ts_ms >= open_ms) AND (close_ms IS NULL OR ts_ms <= close_ms))
-SELECT market_id, kind, ts_ms, seq, side, ladder, px::BIGINT AS px, size, bid, ask, taker, cents, row_number() OVER (PARTITION BY market_id ORDER BY ts_ms, CASE kind WHEN 'book' THEN 1 WHEN 'trade' THEN 2 ELSE 3 END, sub, seq, item, side NULLS FIRST, ladder NULLS FIRST, px NULLS FIRST, size NULLS FIRST, bid NULLS FIRST, ask NULLS FIRST)::INT AS pos FROM u""")
+SELECT market_id, kind, ts_ms, seq, side, ladder, px::BIGINT AS px, size, bid, ask, taker, cents, row_number() OVER (PARTITION BY market_id ORDER BY ts_ms, CASE kind WHEN 'spot' THEN 0 WHEN 'book' THEN 1 WHEN 'trade' THEN 2 ELSE 3 END, sub, seq, item, side NULLS FIRST, ladder NULLS FIRST, px NULLS FIRST, size NULLS FIRST, bid NULLS FIRST, ask NULLS FIRST)::INT AS pos FROM u""")
 def q_decode_day(spark, d):
     """Line items as text rows of four datasets and events as a price feed; suppliers are the markets, a seventh unknown."""
     k = F.col("s_suppkey")
@@ -635,15 +638,21 @@ def q_decode_day(spark, d):
     p, p2, size = price(part % 1100), price(F.col("l_orderkey") % 1100), (F.col("l_quantity").cast("bigint") - 3).cast("string")
     token = F.when(part % 11 == 0, "x").when(n % 2 == 1, named("u", key)).otherwise(named("d", key))
     side = F.when(n % 3 == 0, "SELL").otherwise("BUY")
-    lines_of = lambda which, payload: spark.read.parquet(f"{d}/lineitem.parquet").where(which).select(
+    lines_of = lambda which, payload, token=token: spark.read.parquet(f"{d}/lineitem.parquet").where(which).select(
         (F.col("l_orderkey") * 10 + n).alias("seq"), F.when(part % 3 != 0, named("m", key)).alias("condition_id"), named("slug-", key).alias("slug"), token.alias("asset_id"),
         (F.lit(DAY0) + (F.col("l_orderkey") * 60_000 + part * 1000) % 2_592_000_000).cast("string").alias("event_ts_ms"), payload.alias("payload"))
-    books = lines_of("l_returnflag = 'R'", F.format_string('{"asks": [["%s", "%s"]], "bids": "%s:1"}', p, size, p2))
+    snapshot = F.format_string('{"asks": [["%s", "%s"]], "bids": "%s:1"}', p, size, p2)
+    of_token = F.when(part % 11 == 0, "x").when(part % 2 == 0, named("d", key)).otherwise(named("u", key))
+    books = lines_of("l_returnflag = 'R' AND l_linenumber % 2 = 1", snapshot, of_token)
+    orderbooks = lines_of("l_returnflag = 'R' AND l_linenumber % 2 = 0", snapshot)
     changes = lines_of("l_returnflag = 'N' AND l_linenumber % 2 = 1", F.format_string('{"price_changes": [{"asset_id": "%s", "side": "%s", "price": "%s", "size": "%s"}, {"asset_id": "%s", "side": "%s", "price": "%s", "size": "%s"}]}', token, side, p, size, named("u", key), side, p2, size))
     bounds = lines_of("l_returnflag = 'N' AND l_linenumber % 2 = 0", F.format_string('{"best_bid": "%s", "best_ask": "%s"}', p, p2))
-    prints = lines_of("l_returnflag = 'A'", F.format_string('{"price": "%s", "size": "%s", "side": "%s"}', p, size, side))
-    feed = events(spark, d).select(named("A", F.col("market_id") % 3).alias("asset"), F.col("ts_ms").cast("string").alias("feed_ts_ms"), F.col("cents").cast("string").alias("value"), F.col("event_id").alias("seq"))
-    out = decode.day_events(markets, {"prices": feed}, books, changes, bounds, prints)
+    prints = lines_of("l_returnflag = 'A' AND l_partkey % 4 <> 0", F.format_string('{"price": "%s", "size": "%s", "side": "%s"}', p, size, side))
+    flat = spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'A' AND l_partkey % 4 = 0").select((F.col("l_orderkey") * 10 + n).alias("seq"), F.when(part % 3 != 0, named("m", key)).alias("condition_id"), named("slug-", key).alias("slug"), token.alias("asset_id"),
+        (F.lit(DAY0) + (F.col("l_orderkey") * 60_000 + part * 1000) % 2_592_000_000).cast("string").alias("event_ts_ms"), p.alias("price"), size.alias("size"), side.alias("side"))  # the values stand in the row itself
+    prints = prints.unionByName(flat, allowMissingColumns=True)
+    feed = events(spark, d).select(named("A", F.col("market_id") % 3).alias("asset"), F.col("ts_ms").cast("string").alias("feed_ts_ms"), F.col("cents").cast("string").alias("value"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("paid"))
+    out = decode.day_events(markets, {"prices": feed}, books, changes, bounds, prints, orderbooks, spot=feed.where("paid").drop("paid"))
     milli = lambda c: F.floor(c * 1000 + 0.5)
     best = lambda s, ladder: F.get(F.col(f"levels.{s}.{ladder}"), 0)
     return out.select("market_id", "kind", "ts_ms", "seq", "side", "ladder", milli(F.coalesce("px", best("UP", "asks").px)).alias("px"), F.coalesce("size", best("UP", "asks")["size"]).cast("bigint").alias("size"),
