@@ -191,8 +191,8 @@ def block_max_wand(lists: list[Postings], lengths: np.ndarray, order: np.ndarray
 
     The blocks' first and last documents cut the segment into windows in which the sum of the largest impacts
     is one number. Pointers move from window to window by these sums alone; the next pivot is the first window
-    whose sum reaches the threshold. Only there are blocks unpacked and documents scored. The windows with the
-    largest sums come first, until ``k`` documents are known, so that the threshold is high from the start.
+    whose sum reaches the threshold. Only there are blocks unpacked and documents scored. Without a threshold to
+    start with, the windows with the largest sums come first, until ``k`` documents are known.
     """
     best = Best(k, order, least)
     edges = np.concatenate([x for p in lists for x in (p.firsts, p.lasts + 1)])
@@ -213,7 +213,7 @@ def block_max_wand(lists: list[Postings], lengths: np.ndarray, order: np.ndarray
         best.add(hit + low, sums[hit])
         done[a:b] = True
 
-    for w in np.argsort(-bound, kind="stable").tolist():
+    for w in np.argsort(-bound, kind="stable").tolist() if least <= 1 else ():
         if len(best.numbers) >= k or bound[w] < best.least:
             break
         look(w, w + 1)
