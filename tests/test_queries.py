@@ -5,7 +5,8 @@ import os
 import pandas as pd
 import pytest
 
-import tickloom.rule_queries  # noqa: F401  (registers its queries)
+import tickloom.rule_queries
+import tickloom.window_queries  # noqa: F401  (both register their queries)
 from tickloom.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.parsing import epoch_ms, num
 
-from .paths import classify, day_of
+from .paths import classify, day_of, for_run
 
 RESERVED = ["kind", "name", "ts_ms"]
 # Names under which a series' time may come.
@@ -32,20 +32,94 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return classify(found.withColumn("rel", relative), "rel").withColumn("day", day_of(F.col("rel")))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): text lines in an order that doesn't depend on splits: byte order of paths, then the line's number from 0.
-
-    Lines are numbered within each split of a file, and the lines of the splits before are added, so
-    a large file is read by many tasks. Blank lines count, but drop out.
-    """
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), "value")
-    sizes = lines.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of files with file and line: numbered within each split of a file, and the splits before it are added."""
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), *rows.columns)
+    sizes = rows.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     # a split is read in order by one task, so its rows' ids grow
     own = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id")) - 1
-    numbered = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", own)
-    out = numbered.join(sizes, ["file", "_split"]).select("file", (F.col("_before") + F.col("_own")).alias("line"), "value")
-    return out.where(F.trim("value") != "")
+    numbered = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", own)
+    return numbered.join(sizes, ["file", "_split"]).withColumn("line", F.col("_before") + F.col("_own")).drop("_split", "_id", "_own", "_before")
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value): text lines in an order that doesn't depend on splits: byte order of paths, then the line's number from 0.
+
+    A large file is read by many tasks. Blank lines count, but drop out.
+    """
+    return _numbered(spark.read.text(path, recursiveFileLookup=True)).select("file", "line", "value").where(F.trim("value") != "")
+
+
+# The cells of feed rows that events are read from, and the fields of venue records.
+FEED_CELLS = ["condition_id", "market_id", "slug", "category_slug", "asset_id", "asset", "price_feed_id", "event_ts_ms", "update_ts_ms", "feed_ts_ms", "ts_ms", "timestamp_ms", "publish_time", "value", "price", "answer", "size", "side",
+              "best_bid", "best_ask", "asks", "bids", "price_changes", "payload"]
+MARKET_ROWS = {
+    "polymarket": "condition_id string, slug string, asset string, interval_sec bigint, strike_value string, resolved boolean, outcome_prices array<string>, start_sec bigint, end_sec bigint, token_ids array<string>, "
+                  "raw struct<cryptoMarketConfig:struct<twapLookbackSeconds:int>,feesEnabled:boolean,feeSchedule:struct<rate:double,exponent:int>>",
+    "predict": "market_id string, category_slug string, asset string, interval_label string, start_price string, end_price string, start_sec bigint, end_sec bigint, price_feed_id bigint"}
+DATASET_OF = {"polymarket": {"books": "book", "changes": "price_change", "bounds": "best_bid_ask", "trades": "last_trade_price"}, "predict": {"orderbooks": "orderbook"}}
+IDS = {"polymarket": ("condition_id", "slug"), "predict": ("market_id", "category_slug")}
+
+
+def day_files(spark: SparkSession, root: str, day: str, venue: str, datasets: list[str], assets: list[str] = (), intervals: list[str] = ()) -> DataFrame:
+    """The files of a day that a run reads, from their paths alone; see ``for_run``."""
+    return for_run(files(spark, root).where(F.col("day") == day), venue, list(assets), list(datasets), list(intervals))
+
+
+def feed_rows(spark: SparkSession, found: DataFrame) -> DataFrame | None:
+    """Rows of JSON lines and CSV ``found`` (path, rel, asset), every cell a string, with seq: byte order of paths, then lines. None without files.
+
+    Only these files are opened. The paths of one dataset and day go through the driver, as for any listing. The CSV files of a
+    dataset share their header. ``asset`` comes from the path where the row has none.
+    """
+    listed = found.select("path", "asset").orderBy("path").collect()
+    csv = [r.path for r in listed if r.path.endswith((".csv", ".csv.gz"))]
+    lines = [r.path for r in listed if r.path not in set(csv)]
+    out = None
+    if lines:
+        raw = numbered_lines(spark, lines)
+        out = raw.select("file", "line", *[F.get_json_object("value", f"$.{c}").alias(c) for c in FEED_CELLS])
+    if csv:
+        rows = _numbered(spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(csv))
+        rows = rows.select("file", "line", *[c for c in rows.columns if c in FEED_CELLS])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        return None
+    place = spark.createDataFrame([(r.path, i, r.asset) for i, r in enumerate(listed)], "file string, _file bigint, _asset string")
+    rows = out.join(place, "file")
+    seq = F.shiftleft("_file", 40) + F.col("line")
+    asset = F.coalesce("asset", "_asset") if "asset" in rows.columns else F.col("_asset")
+    return rows.withColumns({"asset": asset, "seq": seq}).drop("_file", "_asset", "file", "line")
+
+
+def load_day(spark: SparkSession, root: str, day: str, venue: str = "polymarket", datasets: list[str] = ("settlement", "book", "trades", "best_bid_ask"), assets: list[str] = (), intervals: list[str] = (), throttles: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(markets, events) of one day of an archive below ``root``.
+
+    Markets are the last records of each id in the day's listing, of the assets and intervals that are asked for.
+    Events are those of ``day_events``; settlement feeds are those that some market settles on. With ``spot`` among
+    ``datasets`` the venue's prices are events of their own. Files are chosen by their paths: others aren't opened.
+    """
+    from tickloom.operators import decode
+    from tickloom.plans.data import SETTLEMENT_STREAMS, physical_datasets
+
+    wanted = [d for d in physical_datasets(list(datasets)) if d != "spot"]
+    index = day_files(spark, root, day, venue, [*wanted, "markets", *SETTLEMENT_STREAMS], assets, intervals)
+    of = lambda name: index.where(F.col("dataset") == name)
+    id_column, slug_column = IDS[venue]
+    listing = [r.path for r in of("markets").select("path").orderBy("path").collect()]
+    rows = numbered_lines(spark, listing) if listing else spark.createDataFrame([], "file string, line bigint, value string")
+    rows = rows.select("file", "line", F.from_json("value", MARKET_ROWS[venue]).alias("r")).select("file", "line", "r.*")
+    records = decode.latest_by_id(rows, id_column, ["file", "line"])
+    markets = (decode.polymarket_records if venue == "polymarket" else decode.predict_records)(records)
+    for column, want in (("asset", [a.upper() for a in assets]), ("interval", list(intervals))):
+        if want:
+            markets = markets.where(F.col(column).isNull() | F.upper(column).isin([w.upper() for w in want]))
+    streams = [r.stream for r in markets.where("stream IS NOT NULL").select("stream").distinct().collect()] if "settlement" in datasets else []
+    prices = {s: feed for s in streams if (feed := feed_rows(spark, of(s))) is not None}
+    feeds = {name: feed_rows(spark, of(tree)) for name, tree in DATASET_OF[venue].items() if tree in wanted}
+    spot = feed_rows(spark, of("prices")) if "spot" in datasets and venue == "polymarket" else None
+    return markets, decode.day_events(markets, prices, **feeds, spot=spot, throttles=throttles, id_column=id_column, slug_column=slug_column)
 
 
 def series_time_column(columns: list[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import zipfile
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -50,3 +50,12 @@ def write_zip(path: str | Path, entries: Iterable[tuple[str, bytes]]) -> dict[st
 def write_events(events: DataFrame, path: str) -> None:
     """Decoded events by day and market: one shuffle by market, each market in replay order."""
     events.repartition("day", "market_id").sortWithinPartitions("day", "market_id", "ts_ms", "rank", "seq").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def write_colocated(df: DataFrame, table: str, key: str, order: Sequence[str], buckets: int) -> None:
+    """A table dealt by ``key`` into ``buckets`` and sorted by it and ``order``: tables of as many buckets meet by the key without a shuffle.
+
+    One file for each bucket. Folds, windows and joins of such tables by ``key`` read them as they lie.
+    """
+    rows = df.repartition(buckets, key).sortWithinPartitions(key, *order)
+    rows.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *order).saveAsTable(table)
