@@ -16,7 +16,7 @@ from .common import Scratch, row_chunks, shared_path, text_buffers
 from .terms import ALNUM, beginnings, counted
 
 #: Bytes of text in one segment of the index. A segment has its own document numbers and posting lists.
-SEGMENT = 8 << 20
+SEGMENT = 16 << 20
 #: Postings in a block.
 BLOCK = 128
 #: Items that meet a segment's postings in one group.
