@@ -278,3 +278,33 @@ def test_stream_of_spans(spark, tmp_path):
     got = {(r.p, r.s) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = within(points, spans, "t", "a", "b", keys=["asset"])
     assert got == {(r.p, r.s) for r in want.collect()} and got
+
+
+def test_feed_names_lines_and_time_columns(spark):
+    from tickloom.sources import archive, paths
+
+    names = [" Binance:BTCUSDT:spot:1s ", "binance:hypeusdt:spot:1s", "binance:btcusdt:perp:1s", "binance:btcusdt:spot:1s:x", "binance:btcusdt", None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(paths.reference_feed(F.col("n"))).collect()]
+    assert got[0] == ("binance:btcusdt:spot:1s", "btcusdt", "spot", "1s") and got[1:] == [None] * 5
+    lines = spark.createDataFrame([('{"kind":"trade","x":1}',), (' {"kind":"book"}\r',), ("  ",), ('{"x":1,"kind":"trade"}',)], "value string")
+    assert [r[0] for r in archive.event_lines(lines, drop_trades=True).collect()] == ['{"kind":"book"}', '{"x":1,"kind":"trade"}'] and archive.event_lines(lines).count() == 3
+    of = lambda *v: spark.createDataFrame([(x, "1") for x in v], "id string, px string")
+    with pytest.raises(ValueError, match="no column holds times"):
+        archive.series(of("17", "18"))
+    assert [r.ts_ms for r in archive.series(of("1735776000", "x")).collect()] == [1_735_776_000_000]
+
+
+def test_panels_of_no_rows_and_ties(spark):
+    from tickloom.operators import decode, report
+
+    cells = spark.createDataFrame([(1, 3, 2.0), (1, None, 5.0), (2, 10, None)], "y int, x int, v double")
+    assert report.sweep(cells, "y", "x", "v").columns == ["y", "x_3", "x_10"]
+    assert tuple(report.sweep_extent(cells.limit(0), "y", "x", "v").first()) == (0, [], [], None, None)
+    log = spark.createDataFrame([(i, "é" * 10) for i in range(9)], "i int, line string")
+    assert sorted(r.i for r in report.log_budget(log, ["i"], chars=4, limit=28).collect()) == [0, 1, 2, 3]  # 9 bytes each; the last one may pass the limit
+    keys = spark.createDataFrame([("d1", "BTC", "5m"), ("d1", "ETH", None), ("d2", "BTC", "5m")], "day string, asset string, interval string")
+    got = {r.day: (r.cover, r.without) for r in decode.coverage(keys, keys.where("asset = 'BTC' AND day = 'd1'"), ["day", "asset", "interval"]).collect()}
+    assert got == {"d1": ("partial", ["ETH"]), "d2": ("none", None)}
+    trades = spark.createDataFrame([("m", 5, 2), ("n", -7, 2), ("x", 7, 2)], "market_id string, pnl long, size int")
+    meta = spark.createDataFrame([("m", "BTC", "5m"), ("n", "ETH", None)], "market_id string, asset string, interval string")
+    assert [tuple(r) for r in report.split_by_market(trades, meta).orderBy("place").collect()] == [("ETH", -7, 1, 1), ("unknown", 7, 1, 2), ("BTC 5m", 5, 1, 3)]

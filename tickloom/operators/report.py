@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.prices import contract_value
+from tickloom.sources.tables import written
 
+from .ordering import position
 from .running import running
 
 DAY_MS = 86_400_000
@@ -143,12 +145,19 @@ def calibration(trades: DataFrame, buckets: int = 10) -> DataFrame:
     return out.select("bucket", "trades", ratio(F.col("entry"), per).alias("implied"), ratio(F.col("value"), per).alias("realized"), ratio((F.col("value") - F.col("entry")) * 100, per).alias("edge_cents"))
 
 
-def baselines(markets: DataFrame) -> DataFrame:
-    """One row in ticks: what buying UP, DOWN or the dearer side (UP on ties) of every settled market with opening quotes gains."""
+def baselines(markets: DataFrame, trades: DataFrame | None = None) -> DataFrame:
+    """One row in ticks: what buying UP, DOWN or the dearer side (UP on ties) of every settled market with opening quotes gains.
+
+    With ``trades`` each buys as many contracts as the trades have on average, else one.
+    """
     known = markets.where("outcome IS NOT NULL AND up_ticks IS NOT NULL AND down_ticks IS NOT NULL")
     gain = lambda side, ticks: (contract_value(side, F.col("outcome")) * 10_000).cast("bigint") - ticks
     favourite = F.when(F.col("up_ticks") >= F.col("down_ticks"), "UP").otherwise("DOWN")
-    return known.agg(F.sum(gain(F.lit("UP"), F.col("up_ticks"))).alias("always_up"), F.sum(gain(F.lit("DOWN"), F.col("down_ticks"))).alias("always_down"), F.sum(gain(favourite, F.greatest("up_ticks", "down_ticks"))).alias("always_favourite"))
+    out = known.agg(F.sum(gain(F.lit("UP"), F.col("up_ticks"))).alias("always_up"), F.sum(gain(F.lit("DOWN"), F.col("down_ticks"))).alias("always_down"), F.sum(gain(favourite, F.greatest("up_ticks", "down_ticks"))).alias("always_favourite"))
+    if trades is None:
+        return out
+    size = trades.agg(F.coalesce(F.avg("size"), F.lit(0.0)).alias("_size"))
+    return out.crossJoin(size).select(*[(F.col(c) * F.col("_size")).alias(c) for c in out.columns])  # one row each
 
 
 def at_share(df: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = (), ranges: int = 64) -> DataFrame:
@@ -159,7 +168,7 @@ def at_share(df: DataFrame, value: str, shares: dict[str, float], keys: Sequence
     by itself, so no task sorts all values of a key.
     """
     own = F.struct(*keys).alias("_key") if keys else F.struct(F.lit(0).alias("all")).alias("_key")
-    counts = df.where(F.col(value).isNotNull()).groupBy(own, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(own, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "at-share")  # read three times
     cuts = counts.groupBy("_key").agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
     rows = counts.join(cuts, "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     sizes = rows.groupBy("_key", "_range").agg(F.sum("_n").alias("_in"))
@@ -208,13 +217,52 @@ def market_rows(markets: DataFrame, trades: DataFrame, key: str = "market_id") -
     return out.withColumns({"entered": F.col("trades").isNotNull(), "trades": F.coalesce("trades", zero), "contracts": F.coalesce("contracts", zero), "pnl": F.coalesce("pnl", zero)})
 
 
-def by_settlement(rows: DataFrame, stream: str = "stream") -> DataFrame:
-    return rows.groupBy(stream).agg(F.count(F.lit(1)).alias("markets"), F.count_if("entered").alias("entered"), F.sum("trades").alias("trades"), F.sum("pnl").alias("pnl"))
+def split_by_market(trades: DataFrame, markets: DataFrame, key: str = "market_id") -> DataFrame:
+    """(name, pnl, trades, place): trades by asset and interval of their market, the largest gains and losses first.
+
+    ``name`` is both with a space between; a market without an asset, or that isn't known, is ``unknown``.
+    """
+    meta = markets.select(key, F.col("asset").cast("string").alias("_a"), F.col("interval").cast("string").alias("_i"))
+    name = F.trim(F.concat(F.coalesce("_a", F.lit("unknown")), F.lit(" "), F.coalesce("_i", F.lit(""))))
+    out = trades.where("pnl IS NOT NULL").join(meta, key, "left").groupBy(name.alias("name")).agg(F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("trades"))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.abs("pnl").desc(), "name")))  # a row for each asset and interval
+
+
+def by_settlement(rows: DataFrame, trades: DataFrame | None = None, stream: str = "stream", key: str = "market_id") -> DataFrame:
+    """Markets by settlement stream, ``unknown`` without one: markets, entered, trades, pnl, and with ``trades`` the edge of those that settled.
+
+    ``rows`` are those of ``market_rows``. Edges are per contract (weighted by size, 0 if no size) and per trade, null without a settled trade.
+    """
+    named = rows.withColumn(stream, F.coalesce(F.col(stream).cast("string"), F.lit("unknown")))
+    out = named.groupBy(stream).agg(F.count(F.lit(1)).alias("markets"), F.count_if("entered").alias("entered"), F.sum("trades").alias("trades"), F.sum("pnl").alias("pnl"))
+    if trades is None:
+        return out
+    gain = (contract_value(F.col("side"), F.col("t.outcome")) * 10_000).cast("bigint") - F.col("entry_ticks")
+    settled = trades.where("pnl IS NOT NULL AND how = 'settled' AND outcome IS NOT NULL AND entry_ticks IS NOT NULL").alias("t").join(named.select(key, stream).alias("r"), key)
+    edge = settled.groupBy(stream).agg(F.coalesce(ratio(F.sum(gain * F.col("size")), F.sum("size") * 10_000), F.lit(0.0)).alias("edge_per_contract"), ratio(F.sum(gain), F.count(F.lit(1)) * 10_000).alias("edge_per_trade"))
+    return out.join(edge, stream, "left")
+
+
+#: More values of a parameter than a grid is shown for.
+SWEEP_LABELS = 1000
+
+
+def sweep(cells: DataFrame, y: str, x: str, metric: str, xs: Sequence | None = None) -> DataFrame:
+    """The metric on a grid of two parameters, one column x_<value> for each of ``xs``, or for each that occurs, in order; holes are null.
+
+    Of several cells of one place the first in the order of the metric counts. More than SWEEP_LABELS values are refused.
+    """
+    if xs is None:
+        xs = [r[0] for r in cells.where(F.col(x).isNotNull()).select(x).distinct().orderBy(x).limit(SWEEP_LABELS + 1).collect()]
+        if len(xs) > SWEEP_LABELS:
+            raise ValueError(f"{x} has more than {SWEEP_LABELS} values")
+    return cells.groupBy(y).pivot(x, list(xs)).agg(F.min(metric)).select(y, *[F.col(f"`{v}`").alias(f"x_{v}") for v in xs])
 
 
-def sweep(cells: DataFrame, y: str, x: str, metric: str, xs: Sequence) -> DataFrame:
-    """The metric on a grid of two parameters, one column x_<value> for each of ``xs``; holes are null."""
-    return cells.groupBy(y).pivot(x, list(xs)).agg(F.first(metric)).select(y, *[F.col(f"`{v}`").alias(f"x_{v}") for v in xs])
+def sweep_extent(cells: DataFrame, y: str, x: str, metric: str) -> DataFrame:
+    """One row beside the grid: how many cells, the labels of both parameters in order, and the metric's extremes."""
+    labels = lambda c: F.array_sort(F.collect_set(c))
+    return cells.agg(F.count(F.lit(1)).alias("cells"), labels(x).alias("x_labels"), labels(y).alias("y_labels"), F.min(metric).alias("min"), F.max(metric).alias("max"))
 
 
 def downsample(points: DataFrame, index: str, value: str, n: int, most: int) -> DataFrame:
@@ -276,8 +324,35 @@ def maker_fills(fills: DataFrame, markouts: Sequence[str], medians: Sequence[str
 
 
 def orders_panel(orders: DataFrame) -> DataFrame:
-    """(reason, orders): orders by why they were refused; null for those taken."""
-    return orders.groupBy("reason").agg(F.count(F.lit(1)).alias("orders"))
+    """(reason, orders, share): orders by why they were refused, null for those taken, and their share of all."""
+    out = orders.groupBy("reason").agg(F.count(F.lit(1)).alias("orders"))
+    return out.withColumn("share", F.col("orders") / F.sum("orders").over(Window.partitionBy()))  # a row for each reason
+
+
+# The counters of resting orders that add up over markets.
+MAKER_COUNTS = ["submitted", "rested", "orders_with_maker_fill", "fully_filled", "cancelled", "expired"]
+MAKER_SIZES = ["rested_size", "maker_filled_size", "taker_on_arrival_size"]
+
+
+def maker_rates(stats: DataFrame, *keys: str) -> DataFrame:
+    """Resting orders over the markets of each of ``keys``: counters, and how much of what rested was filled, by size and by order.
+
+    Negative and missing counters count as 0. Groups that submitted none are left out; rates without a base are null.
+    """
+    count = lambda c, t: F.coalesce(F.sum(F.greatest(F.col(c), F.lit(0))), F.lit(0)).cast(t).alias(c)
+    out = stats.groupBy(*keys).agg(*[count(c, "bigint") for c in MAKER_COUNTS], *[count(c, "double") for c in MAKER_SIZES]).where("submitted > 0")
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return out.withColumns({"fill_rate_size": rate("maker_filled_size", "rested_size"), "fill_rate_orders": rate("orders_with_maker_fill", "rested")})
+
+
+def log_budget(lines: DataFrame, order: Sequence[str], text: str = "line", chars: int = 512, limit: int = 2 << 20) -> DataFrame:
+    """``lines`` in ``order``, each cut to ``chars`` characters, as long as those before it took fewer than ``limit`` bytes of UTF-8, line ends included.
+
+    Running sums are made within ranges of the order and the ranges' totals are added, so no task holds the log.
+    """
+    cut = position(lines.withColumn(text, F.substring(text, 1, chars)), order, "_place")
+    spent = running(cut, F.floor(F.col("_place") / 100_000), ["_place"], F.octet_length(text).cast("bigint") + 1, "_spent")
+    return spent.where(F.col("_spent") - F.octet_length(text) - 1 < limit).drop("_place", "_spent")
 
 
 def fee_models(markets: DataFrame) -> DataFrame:

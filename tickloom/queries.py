@@ -495,10 +495,12 @@ def markets(spark, d):
 MK = "mk AS (SELECT o_orderkey AS market_id, CASE o_orderstatus WHEN 'F' THEN 'UP' WHEN 'O' THEN 'DOWN' END AS outcome, floor(o_totalprice)::BIGINT % 10000 AS up_ticks, CASE WHEN o_custkey % 7 <> 0 THEN 10000 - floor(o_totalprice)::BIGINT % 10000 + 50 END AS down_ticks, substr(o_orderpriority, 1, 1) AS stream FROM orders)"
 
 
-@query("q_baselines", "WITH " + MK + """, k AS (SELECT *, CASE WHEN outcome = 'UP' THEN 10000 ELSE 0 END AS uv, CASE WHEN outcome = 'DOWN' THEN 10000 ELSE 0 END AS dv FROM mk WHERE outcome IS NOT NULL AND down_ticks IS NOT NULL)
-SELECT sum(uv - up_ticks)::BIGINT AS always_up, sum(dv - down_ticks)::BIGINT AS always_down, sum(CASE WHEN up_ticks >= down_ticks THEN uv - up_ticks ELSE dv - down_ticks END)::BIGINT AS always_favourite FROM k""")
+@query("q_baselines", "WITH " + TR + ", " + MK + """, k AS (SELECT *, CASE WHEN outcome = 'UP' THEN 10000 ELSE 0 END AS uv, CASE WHEN outcome = 'DOWN' THEN 10000 ELSE 0 END AS dv FROM mk WHERE outcome IS NOT NULL AND down_ticks IS NOT NULL),
+z AS (SELECT sum(size)::DOUBLE / count(*) AS size FROM tr)
+SELECT sum(uv - up_ticks)::BIGINT * any_value(size) AS always_up, sum(dv - down_ticks)::BIGINT * any_value(size) AS always_down, sum(CASE WHEN up_ticks >= down_ticks THEN uv - up_ticks ELSE dv - down_ticks END)::BIGINT * any_value(size) AS always_favourite FROM k, z""")
 def q_baselines(spark, d):
-    return report.baselines(markets(spark, d))
+    """As many contracts as the trades have on average."""
+    return report.baselines(markets(spark, d), trades(spark, d))
 
 
 @query("q_slippage", "WITH " + FL + """, o AS (SELECT *, CASE WHEN filled > 0 THEN avg_ticks - quoted_ticks END AS slip FROM fl WHERE action = 'open' AND liquidity IS DISTINCT FROM 'maker'), r AS (SELECT slip, row_number() OVER (ORDER BY slip) - 1 AS i, count(*) OVER () AS n FROM o WHERE slip IS NOT NULL)
@@ -530,16 +532,65 @@ def q_market_rows(spark, d):
     return rows_of_markets(spark, d)
 
 
-@query("q_by_settlement", ROWS + " SELECT stream, count(*) AS markets, count(*) FILTER (WHERE entered) AS entered, sum(trades)::BIGINT AS trades, sum(pnl)::BIGINT AS pnl FROM mr GROUP BY 1")
+@query("q_by_settlement", ROWS + """, nr AS (SELECT *, CASE WHEN stream = '3' THEN 'unknown' ELSE stream END AS rule FROM mr),
+e AS (SELECT rule, (CASE WHEN t.outcome = 'TIE' THEN 5000 WHEN t.side = t.outcome THEN 10000 ELSE 0 END - t.entry_ticks)::BIGINT AS g, t.size FROM tr t JOIN nr USING (market_id) WHERE t.how = 'settled'),
+f AS (SELECT rule, sum(g * size)::DOUBLE / (sum(size) * 10000) AS edge_per_contract, sum(g)::DOUBLE / (count(*) * 10000) AS edge_per_trade FROM e GROUP BY 1)
+SELECT rule AS stream, count(*) AS markets, count(*) FILTER (WHERE entered) AS entered, sum(trades)::BIGINT AS trades, sum(pnl)::BIGINT AS pnl, any_value(edge_per_contract) AS edge_per_contract, any_value(edge_per_trade) AS edge_per_trade FROM nr LEFT JOIN f USING (rule) GROUP BY 1""")
 def q_by_settlement(spark, d):
-    return report.by_settlement(rows_of_markets(spark, d))
+    """Streams of markets, one of them unknown, with the edge of their settled trades."""
+    rows = rows_of_markets(spark, d).withColumn("stream", F.nullif("stream", F.lit("3")))
+    return report.by_settlement(rows, trades(spark, d))
 
 
-@query("q_sweep_pivot", "WITH " + TR + """, c AS (SELECT asset % 6 AS y, o2 AS x, sum(pnl)::BIGINT AS v FROM tr GROUP BY 1, 2)
-SELECT y, max(v) FILTER (WHERE x = 1) AS x_1, max(v) FILTER (WHERE x = 2) AS x_2, max(v) FILTER (WHERE x = 3) AS x_3, max(v) FILTER (WHERE x = 4) AS x_4 FROM c GROUP BY 1""")
+@query("q_split_by_market", "WITH " + TR + """, m AS (SELECT o_orderkey AS market_id, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END AS asset, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS interval FROM orders WHERE o_totalprice > 50000),
+g AS (SELECT trim(coalesce(m.asset, 'unknown') || ' ' || coalesce(m.interval, '')) AS name, sum(pnl)::BIGINT AS pnl, count(*) AS trades FROM tr LEFT JOIN m USING (market_id) GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY abs(pnl) DESC, name)::INT AS place FROM g""")
+def q_split_by_market(spark, d):
+    """Trades by asset and interval of their market; the markets of cheap orders aren't known."""
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    meta = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 50000").select(F.col("o_orderkey").alias("market_id"), F.when(~p.startswith("1"), p).alias("asset"), F.when(s != "P", s).alias("interval"))
+    return report.split_by_market(trades(spark, d), meta)
+
+
+def _cells(spark, d):
+    return trades(spark, d).groupBy((F.col("asset") % 6).alias("y"), F.col("o2").alias("x")).agg(F.sum("pnl").alias("v"))
+
+
+CELL = "WITH " + TR + ", c AS (SELECT asset % 6 AS y, o2 AS x, sum(pnl)::BIGINT AS v FROM tr GROUP BY 1, 2)"
+
+
+@query("q_sweep_pivot", CELL + " SELECT y, " + ", ".join(f"max(v) FILTER (WHERE x = {i}) AS x_{i}" for i in range(1, 8)) + " FROM c GROUP BY 1")
 def q_sweep_pivot(spark, d):
-    cells = trades(spark, d).groupBy((F.col("asset") % 6).alias("y"), F.col("o2").alias("x")).agg(F.sum("pnl").alias("v"))
-    return report.sweep(cells, "y", "x", "v", [1, 2, 3, 4])
+    """A column for each line number that occurs."""
+    return report.sweep(_cells(spark, d), "y", "x", "v")
+
+
+@query("q_sweep_extent", CELL + " SELECT count(*) AS cells, list_sort(list(DISTINCT x)) AS x_labels, list_sort(list(DISTINCT y)) AS y_labels, min(v) AS min, max(v) AS max FROM c")
+def q_sweep_extent(spark, d):
+    return report.sweep_extent(_cells(spark, d), "y", "x", "v")
+
+
+@query("q_maker_rates", """WITH s AS (SELECT l_suppkey AS mode, l_linenumber AS submitted, CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber - 1 END AS rested, CASE WHEN l_linestatus = 'F' THEN NULL ELSE 1 END AS w, (l_quantity - 10)::DOUBLE AS size, l_returnflag FROM lineitem)
+SELECT mode, l_returnflag AS flag, sum(submitted)::BIGINT AS submitted, sum(rested)::BIGINT AS rested, coalesce(sum(w), 0)::BIGINT AS orders_with_maker_fill, 0::BIGINT AS fully_filled, sum(submitted)::BIGINT AS cancelled, 0::BIGINT AS expired,
+    sum(greatest(size, 0)) AS rested_size, sum(CASE WHEN size > 20 THEN size ELSE 0 END) AS maker_filled_size, 0::DOUBLE AS taker_on_arrival_size,
+    CASE WHEN sum(greatest(size, 0)) > 0 THEN sum(CASE WHEN size > 20 THEN size ELSE 0 END) / sum(greatest(size, 0)) END AS fill_rate_size, CASE WHEN sum(rested) > 0 THEN coalesce(sum(w), 0)::DOUBLE / sum(rested) END AS fill_rate_orders FROM s GROUP BY 1, 2""")
+def q_maker_rates(spark, d):
+    """Counters of resting orders by supplier and flag; some are missing or negative."""
+    r = spark.read.parquet(f"{d}/lineitem.parquet")
+    size = (F.col("l_quantity") - 10).cast("double")
+    stats = r.select(F.col("l_suppkey").alias("mode"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("submitted"), F.when(F.col("l_returnflag") == "A", -5).otherwise(F.col("l_linenumber") - 1).alias("rested"),
+                     F.when(F.col("l_linestatus") != "F", 1).alias("orders_with_maker_fill"), F.lit(-1).alias("fully_filled"), F.col("l_linenumber").alias("cancelled"), F.lit(None).cast("int").alias("expired"),
+                     size.alias("rested_size"), F.when(size > 20, size).alias("maker_filled_size"), F.lit(0.0).alias("taker_on_arrival_size"))
+    return report.maker_rates(stats, "mode", "flag")
+
+
+@query("q_log_budget", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, substr('é' || l_linestatus || ' ' || repeat(l_returnflag, l_quantity::INT), 1, 40) AS line FROM lineitem), s AS (SELECT *, strlen(line) + 1 AS b, sum(strlen(line) + 1) OVER (ORDER BY o, n, p) AS upto FROM l)
+SELECT o, n, p, line FROM s WHERE upto - b < 100000""")
+def q_log_budget(spark, d):
+    """What a log of all line items keeps within 100,000 bytes."""
+    r = spark.read.parquet(f"{d}/lineitem.parquet")
+    line = F.concat(F.lit("é"), F.col("l_linestatus"), F.lit(" "), F.expr("repeat(l_returnflag, cast(l_quantity as int))"))
+    return report.log_budget(r.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), line.alias("line")), ["o", "n", "p"], chars=40, limit=100_000)
 
 
 @query("q_downsample", "WITH " + TR + """, g AS (SELECT closed_ms // 86400000 AS day, sum(pnl)::BIGINT AS v FROM tr GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, day, v, count(*) OVER () AS n FROM g),
@@ -569,7 +620,9 @@ def q_account_series(spark, d):
 # ---- decoding and discovery -----------------------------------------------------------------
 
 @query("q_coverage", "WITH " + EV + """, k AS (SELECT DISTINCT ts_ms // 86400000 AS day, market_id FROM ev WHERE event_type = 'purchase'), f AS (SELECT DISTINCT ts_ms // 86400000 AS day, market_id FROM ev WHERE event_type = 'error'),
-g AS (SELECT k.day, count(*) AS keys, count(f.market_id) AS found FROM k LEFT JOIN f USING (day, market_id) GROUP BY 1) SELECT *, CASE WHEN found = keys THEN 'full' WHEN found = 0 THEN 'none' ELSE 'partial' END AS cover FROM g""")
+g AS (SELECT k.day, count(*) AS keys, count(f.market_id) AS found FROM k LEFT JOIN f USING (day, market_id) GROUP BY 1),
+w AS (SELECT k.day, list(market_id::VARCHAR ORDER BY market_id::VARCHAR) AS without FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.day = k.day AND f.market_id = k.market_id) GROUP BY 1)
+SELECT g.*, CASE WHEN found = keys THEN 'full' WHEN found = 0 THEN 'none' ELSE 'partial' END AS cover, CASE WHEN found < keys AND found > 0 THEN without END AS without FROM g LEFT JOIN w USING (day)""")
 def q_coverage(spark, d):
     e = events(spark, d).withColumn("day", F.floor(F.col("ts_ms") / 86_400_000))
     return decode.coverage(e.where("event_type = 'purchase'").select("day", "market_id"), e.where("event_type = 'error'"), ["day", "market_id"])

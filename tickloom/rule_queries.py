@@ -259,7 +259,7 @@ def q_maker_fills(spark, d):
     return report.maker_fills(f, ["mk_1s"], ["ahead_at_join", "in_queue_ms"])
 
 
-@query("q_orders_panel", """SELECT CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END AS reason, count(*) AS orders FROM orders GROUP BY 1""")
+@query("q_orders_panel", """SELECT CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END AS reason, count(*) AS orders, count(*)::DOUBLE / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY 1""")
 def q_orders_panel(spark, d):
     p = F.col("o_orderpriority")
     return report.orders_panel(spark.read.parquet(f"{d}/orders.parquet").select(F.when(~p.startswith("1"), p).alias("reason")))

@@ -130,11 +130,23 @@ def series_time_column(columns: list[str]) -> str:
 def series(rows: DataFrame, time: str | None = None) -> DataFrame:
     """A user series: ts_ms from its time column (s, ms or us by the digits), numbers where every cell reads as one stays per cell.
 
-    Rows without a time drop out; columns named as reserved ones are refused.
+    Rows without a time drop out; columns named as reserved ones are refused. Without a column of a time's name the first one
+    must look like a time: whole numbers in its first row must lie between the years 2000 and 2100.
     """
-    time = time or series_time_column(rows.columns)
+    named = time or next((c for c in rows.columns if c.strip().lower() in TIME_NAMES), None)
+    time = named or rows.columns[0]
+    if named is None:
+        sample = rows.select(F.trim(F.col(f"`{time}`").cast("string")).alias("x"), epoch_ms(F.col(f"`{time}`")).alias("ms")).head()
+        if sample and sample.x and sample.x.isdigit() and not 946_684_800_000 < sample.ms < 4_102_444_800_000:
+            raise ValueError(f"no column holds times: {time} doesn't look like one")
     clash = [c for c in rows.columns if c in RESERVED and c != time]
     if clash:
         raise ValueError(f"reserved column names: {clash}")
     cell: list[Column] = [F.struct(num(F.col(f"`{c}`")).alias("number"), F.col(f"`{c}`").alias("text")).alias(c) for c in rows.columns if c != time]
     return rows.select(epoch_ms(F.col(f"`{time}`")).alias("ts_ms"), *cell).where("ts_ms IS NOT NULL")
+
+
+def event_lines(lines: DataFrame, drop_trades: bool = False, column: str = "value") -> DataFrame:
+    """Cached event lines, trimmed, without blank ones; with ``drop_trades`` those of trades drop out by how they begin, unparsed."""
+    out = lines.withColumn(column, F.regexp_replace(column, r"^\s+|\s+$", "")).where(F.col(column) != "")
+    return out.where(~F.col(column).startswith('{"kind":"trade"')) if drop_trades else out

@@ -88,3 +88,16 @@ def summarise(meta: DataFrame) -> DataFrame:
     nullable = F.filter(F.array(F.when(F.bool_or(F.col("asset").isNull()), "asset"), F.when(F.bool_or(F.col("interval").isNull()), "interval")), lambda x: x.isNotNull())
     return meta.agg(F.array_sort(F.collect_set("venue")).alias("venues"), F.array_sort(F.collect_set("dataset")).alias("datasets"),
                     F.array_sort(F.collect_set("asset")).alias("assets"), by_length.alias("intervals"), nullable.alias("nullable"))
+
+
+# The feeds of reference prices and their symbols.
+REFERENCE_SYMBOLS = ["btcusdt", "ethusdt", "solusdt", "xrpusdt", "bnbusdt", "dogeusdt"]
+REFERENCE_INTERVALS = ["1s", "1m"]
+
+
+def reference_feed(name: Column) -> Column:
+    """(canonical, symbol, market, interval) of a feed's name such as ``binance:btcusdt:spot:1s``, in any case; null if there is no such feed."""
+    plain = F.lower(F.trim(name))
+    shape = rf"^binance:({'|'.join(REFERENCE_SYMBOLS)}):(spot):({'|'.join(REFERENCE_INTERVALS)})$"
+    part = lambda i: F.regexp_extract(plain, shape, i)
+    return F.when(plain.rlike(shape), F.struct(plain.alias("canonical"), part(1).alias("symbol"), part(2).alias("market"), part(3).alias("interval")))
