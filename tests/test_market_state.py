@@ -292,6 +292,8 @@ def test_feed_names_lines_and_time_columns(spark):
     with pytest.raises(ValueError, match="no column holds times"):
         archive.series(of("17", "18"))
     assert [r.ts_ms for r in archive.series(of("1735776000", "x")).collect()] == [1_735_776_000_000]
+    with pytest.raises(ValueError, match="no column holds times"):
+        archive.series(of("9" * 40))
 
 
 def test_panels_of_no_rows_and_ties(spark):

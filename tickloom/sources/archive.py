@@ -137,7 +137,7 @@ def series(rows: DataFrame, time: str | None = None) -> DataFrame:
     time = named or rows.columns[0]
     if named is None:
         sample = rows.select(F.trim(F.col(f"`{time}`").cast("string")).alias("x"), epoch_ms(F.col(f"`{time}`")).alias("ms")).head()
-        if sample and sample.x and sample.x.isdigit() and not 946_684_800_000 < sample.ms < 4_102_444_800_000:
+        if sample and sample.x and sample.x.isdigit() and not 946_684_800_000 < (sample.ms or 0) < 4_102_444_800_000:
             raise ValueError(f"no column holds times: {time} doesn't look like one")
     clash = [c for c in rows.columns if c in RESERVED and c != time]
     if clash:
