@@ -173,3 +173,32 @@ def quote_guard(up_ask: Column, down_ask: Column, set_ms: Sequence[Column], now:
     if reduce_only is not None and not include_exits:
         bad = bad & ~reduce_only
     return F.when(bad, "quote_guard")
+
+
+def floor_cents(x: Column) -> Column:
+    return F.floor(x * 100 + 1e-9) / 100
+
+
+def effective_order(side: Column, size: Column, notional: Column, limit: Column, reduce_only: Column, held: Column, least: Column | None = None, tick: Column | None = None) -> Column:
+    """(size, limit, reason) of an order as it would be sent: size is null and reason set if it isn't taken.
+
+    Just one of ``size`` and ``notional`` is given; a notional buys whole contracts at the limit, or with market rules
+    (``least`` size and ``tick``) hundredths of one. An order that only reduces is cut to what is ``held``. With rules the
+    size that would be sent must lie on the grid of hundredths and reach ``least``, and the limit lie on the tick. Orders
+    against these rules are refused with their reason; ``invalid`` stands for all that isn't an order.
+    """
+    rules = least is not None and tick is not None
+    cut = floor_cents if rules else F.floor
+    real = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    bought = F.when(yes(real(notional) & (notional > 0) & (limit > 0) & (notional / limit < 1e300)), cut(notional / limit).cast("double"))
+    want = F.when(notional.isNotNull(), bought).otherwise(F.when(yes(real(size)), size.cast("double")))
+    least_open = F.lit(EPS)
+    sent = F.when(reduce_only, (floor_cents if rules else lambda c: c)(F.least(want, F.coalesce(held, F.lit(0.0))))).otherwise(want)
+    fine = yes(side.isin("UP", "DOWN")) & (size.isNull() != notional.isNull()) & (limit.isNull() | yes(real(limit) & limit.between(0, 1))) & yes(want > 0) & yes(F.when(reduce_only, sent > least_open).otherwise(sent > 0))
+    reason = F.when(~fine, "invalid")
+    if rules:
+        ticks, unit = to_ticks(limit), to_ticks(tick)
+        reason = (reason.when(F.abs(sent * 100 - F.rint(sent * 100)) > 1e-6, "size_step").when(sent < least - EPS, "below_min_size")
+                  .when(limit.isNotNull() & ((ticks % unit != 0) | (F.abs(from_ticks(ticks) - limit) > EPS)), "off_tick"))
+    return F.struct(F.when(reason.isNull(), sent).alias("size"), F.when(reason.isNull(), limit).alias("limit"), reason.alias("reason"))

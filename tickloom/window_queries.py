@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import prices as X
 from tickloom.operators import ordering, temporal
 from tickloom.plans import windows
 from tickloom.queries import EV, _ms, events, query
@@ -76,3 +77,25 @@ def q_trade_records(spark, d):
     line = F.when(kind == 0, F.concat(F.lit("["), line, F.lit("]"))).when(kind == 1, F.concat(line, F.lit(" {"))).when(kind == 7, F.lit(" \t ")).otherwise(F.concat(F.lit(" "), line))
     rows = r.select((F.col("l_orderkey") * 10 + n).alias("id"), line.alias("value"))
     return records.judged_records(rows, records.TRADE).select("id", "refused", "market_id", "size", "entry_px", "fees", "how", "outcome")
+
+
+# ---- orders ---------------------------------------------------------------------------------
+
+@query("q_effective_order", """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN 'LEFT' WHEN l_linenumber % 2 = 1 THEN 'UP' ELSE 'DOWN' END AS side, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity::DOUBLE - 3 + (l_partkey % 4) / 8.0::DOUBLE END AS size,
+    CASE WHEN l_partkey % 3 = 0 OR l_partkey % 31 = 0 THEN l_extendedprice::DOUBLE / 1000 END AS notional, CASE WHEN l_partkey % 7 <> 0 THEN (l_orderkey % 105) / 100.0::DOUBLE + (l_partkey % 2) * 0.001::DOUBLE END AS lim, l_returnflag = 'R' AS red, (l_suppkey % 9)::DOUBLE AS held FROM lineitem),
+w AS (SELECT *, CASE WHEN notional IS NOT NULL THEN CASE WHEN lim > 0 THEN floor(notional / lim * 100 + 1e-9) / 100 END ELSE size END AS want FROM l),
+s AS (SELECT *, CASE WHEN red THEN floor(least(want, held) * 100 + 1e-9) / 100 ELSE want END AS sent FROM w),
+r AS (SELECT *, CASE WHEN side = 'LEFT' OR (size IS NULL) = (notional IS NULL) OR lim > 1 OR want IS NULL OR want <= 0 OR sent <= 0 THEN 'invalid' WHEN abs(sent * 100 - round_even(sent * 100, 0)) > 1e-6 THEN 'size_step' WHEN sent < 5 - 1e-9 THEN 'below_min_size'
+    WHEN lim IS NOT NULL AND abs(lim * 100 - round_even(lim * 100, 0)) > 1e-7 THEN 'off_tick' END AS reason FROM s)
+SELECT id, CASE WHEN reason IS NULL THEN floor(sent * 100 + 0.5)::BIGINT END AS cents, CASE WHEN reason IS NULL THEN lim END AS lim, reason FROM r""")
+def q_effective_order(spark, d):
+    """Orders of each fault: an unknown side, both or neither amount, limits out of range, sizes cut to what is held, off the grid or too small."""
+    r = spark.read.parquet(f"{d}/lineitem.parquet")
+    p, n = F.col("l_partkey"), F.col("l_linenumber")
+    size = F.when(p % 3 != 0, F.col("l_quantity").cast("double") - 3 + (p % 4) / 8.0)
+    notional = F.when((p % 3 == 0) | (p % 31 == 0), F.col("l_extendedprice").cast("double") / 1000)
+    lim = F.when(p % 7 != 0, F.col("l_orderkey") % 105 / 100.0 + (p % 2) * 0.001)
+    side = F.when(n == 7, "LEFT").when(n % 2 == 1, "UP").otherwise("DOWN")
+    order = X.effective_order(side, size, notional, lim, F.col("l_returnflag") == "R", (F.col("l_suppkey") % 9).cast("double"), F.lit(5.0), F.lit(0.01))
+    out = r.select((F.col("l_orderkey") * 10 + n).alias("id"), order.alias("o"))
+    return out.select("id", F.floor(F.col("o.size") * 100 + 0.5).alias("cents"), F.col("o.limit").alias("lim"), "o.reason")
