@@ -147,12 +147,6 @@ def test_files(spark, tmp_path):
 
 
 def test_plans(spark):
-    ok = {"entry": "Main", "hooks": ["on_book"], "datasets": ["book"]}
-    assert plans.check_manifest(ok)["datasets"] == ["book", "best_bid_ask"]
-    for change, code in (({"entry": "1x"}, "E_ENTRY"), ({"hooks": []}, "E_HOOKS"), ({"datasets": []}, "E_DATASETS"), ({"from": "2026"}, "E_DAYS"), ({"from": "2026-02-01", "to": "2026-01-01"}, "E_DAYS"), ({"fee_bps": -1}, "E_FEE"), ({"fill_delay_ms": 0.5}, "E_DELAY")):
-        with pytest.raises(plans.ManifestError) as e:
-            plans.check_manifest({**ok, **change})
-        assert e.value.code == code
     assert plans.fingerprint({"a": 1, "b": [2]}) == plans.fingerprint({"b": [2], "a": 1}) != plans.fingerprint({"a": 2})
     assert plans.physical_datasets(["settlement", "trades"]) == ["last_trade_price", "prices", "twap30s", "twap60s"]
     days = plans.day_range(spark, "2026-02-27", "2026-03-02")

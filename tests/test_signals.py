@@ -1,114 +1,9 @@
-"""The ordered replay: no look-ahead, delays, depth, settlement; signals as sets; late additions of the library."""
+"""Signals as sets; later additions of the library."""
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tickloom.functions import prices as X
-from tickloom.operators import book, decode, replay, report, signals
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # strategies of a script travel with the job
-
-EVENTS = "market_id string, pos long, ts_ms long, kind string, side string, ladder string, ticks int, size double, snapshot boolean, value double"
-MARKETS = "market_id string, open_ms long, close_ms long, outcome string"
-
-
-def level(pos, ts, ticks, size, side="UP", snapshot=False, market="m"):
-    return (market, pos, ts, "book", side, "asks", ticks, float(size), snapshot, None)
-
-
-def tick(pos, ts, value=1.0, market="m"):
-    return (market, pos, ts, "tick", None, None, None, None, False, value)
-
-
-class Buy:
-    """Buys once, on the first tick at or after a time."""
-
-    def on_market_open(self, ctx, market):
-        assert "outcome" not in market
-        self.done = False
-
-    def on_tick(self, ctx, e):
-        if not self.done and ctx.now >= ctx.p["at"]:
-            self.done = True
-            return {"side": "UP", "size": ctx.p["size"], "limit_ticks": ctx.p.get("limit", 10_000), "tif": ctx.p.get("tif", "ioc")}
-
-
-def run(spark, rows, params, delay=0, markets=(("m", 0, 100, "UP"),)):
-    out = replay.replay(spark.createDataFrame(rows, EVENTS), spark.createDataFrame(list(markets), MARKETS), Buy, params, delay)
-    return [(r.market_id, r.kind, r.ts_ms, r.filled, r.avg_ticks, r.pnl) for r in out.orderBy("market_id", "seq", "kind").collect()]
-
-
-def test_delay_and_book(spark):
-    rows = [level(1, 1, 5000, 10), tick(2, 10), level(3, 20, 5000, 0), level(4, 20, 6000, 4), tick(5, 30)]
-    # no delay: on the book as it is before the next event changes it
-    assert run(spark, rows, {"at": 10, "size": 3}) == [("m", "fill", 10, 3.0, 5000.0, None), ("m", "trade", 100, 3.0, 5000.0, 15000.0)]
-    # a delay of 10: after the first event of that ms, which takes the level away
-    assert run(spark, rows, {"at": 10, "size": 3}, 10)[0][2:5] == (20, 0.0, None)
-    assert run(spark, rows, {"at": 10, "size": 3}, 11)[0][2:5] == (21, 3.0, 6000.0)
-    # never past the close
-    assert run(spark, rows, {"at": 30, "size": 3}, 71) == []
-    assert run(spark, rows, {"at": 30, "size": 3}, 70)[0][2] == 100
-
-
-def test_limits_fok_depth_and_settlement(spark):
-    rows = [level(1, 1, 5000, 2), level(2, 1, 5100, 2), level(3, 1, 9000, 50), tick(4, 10)]
-    assert run(spark, rows, {"at": 0, "size": 9, "limit": 6000})[0][3:5] == (4.0, 5050.0)
-    assert run(spark, rows, {"at": 0, "size": 9, "limit": 6000, "tif": "fok"}) == [("m", "fill", 10, 0.0, None, None)]
-    assert run(spark, rows, {"at": 0, "size": 4}, markets=[("m", 0, 100, "DOWN")])[-1][5] == -20200.0
-    assert run(spark, rows, {"at": 0, "size": 4}, markets=[("m", 0, 100, "TIE")])[-1][5] == -200.0
-    assert [r[1] for r in run(spark, rows, {"at": 0, "size": 4}, markets=[("m", 0, 100, None)])] == ["fill"]
-    assert run(spark, rows, {"at": 0, "size": -1})[0][1] == "order"
-    late = [*rows, tick(9, 101)]
-    assert run(spark, late, {"at": 101, "size": 1}) == []
-
-
-def test_fold_equals_the_set_based_walk(spark):
-    import random
-
-    rng = random.Random(5)
-    rows, orders, levels = [], [], []
-    for i in range(30):
-        m, limit, qty = f"m{i}", rng.randrange(1000, 9000), rng.randrange(1, 60)
-        for j, t in enumerate(rng.sample(range(500, 9500, 100), 12)):
-            s = rng.randrange(1, 15)
-            rows.append(level(j, 1, t, s, market=m))
-            levels.append((m, "asks", t, s))
-        rows.append(tick(99, 10, float(qty), market=m))
-        orders.append((m, m, qty, 5000))
-    out = replay.replay(spark.createDataFrame(rows, EVENTS), spark.createDataFrame([(o[0], 0, 100, "UP") for o in orders], MARKETS), Sized, {})
-    got = {r.market_id: (r.filled, r.levels_walked) for r in out.where("kind = 'fill'").collect()}
-    o = spark.createDataFrame(orders, "order_id string, market_id string, qty int, limit_ticks int")
-    taken = book.walk(o, spark.createDataFrame(levels, "market_id string, ladder string, ticks int, size int"), ["market_id"])
-    want = {r.order_id: (float(r.filled), r.levels_walked) for r in book.fills(o, taken).collect()}
-    assert got == want
-    assert replay.summary(out).first().orders == 30
-
-
-class Timed:
-    def on_market_open(self, ctx, market):
-        ctx.schedule(15, "a")
-        ctx.unschedule(ctx.schedule(16, "b"))
-        try:
-            ctx.schedule(101)
-        except ValueError:
-            ctx.schedule(40, "c")
-
-    def on_timer(self, ctx, tag):
-        return {"side": "UP", "size": 1.0 if tag == "a" else 2.0}
-
-
-def test_timers(spark):
-    rows = [level(1, 1, 5000, 10), tick(2, 10), level(3, 20, 5000, 0), level(4, 21, 6000, 4), tick(5, 90)]
-    out = replay.replay(spark.createDataFrame(rows, EVENTS), spark.createDataFrame([("m", 0, 100, "UP")], MARKETS), Timed)
-    got = [(r.ts_ms, r.filled, r.avg_ticks) for r in out.where("kind = 'fill'").orderBy("seq").collect()]
-    assert got == [(15, 1.0, 5000.0), (40, 2.0, 6000.0)]
-
-
-class Sized:
-    def on_tick(self, ctx, e):
-        return {"side": "UP", "size": e.value, "limit_ticks": 5000}
+from tickloom.operators import book, decode, report, signals
 
 
 def test_signals(spark):

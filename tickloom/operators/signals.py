@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import asof
+from .temporal import asof, within
 
 
 def _seconds_left(close: str = "close_ms", now: str = "ts_ms"):
@@ -26,9 +26,9 @@ def lead_lag(ticks: DataFrame, reference: DataFrame, quotes: DataFrame, markets:
     near = ticks.join(markets.select("market_id", "asset", "open_ms", "close_ms"), "market_id")
     ref = reference.select("asset", F.col("ts_ms").alias("ref_ms"), F.col("close").alias("ref_close"))
     bounds = markets.select("market_id", "asset", "open_ms", "close_ms")
-    seen = bounds.join(ref, "asset").where((F.col("ref_ms") + lag_ms >= F.col("open_ms")) & (F.col("ref_ms") + lag_ms <= F.col("close_ms")))
+    seen = within(ref.withColumn("seen_ms", F.col("ref_ms") + lag_ms), bounds, "seen_ms", "open_ms", "close_ms", keys=["asset"])
     base = seen.groupBy("market_id").agg(F.min_by("ref_close", "ref_ms").alias("ref_open"), (F.min("ref_ms") + lag_ms).alias("from_ms"))
-    now = asof(near, ref, ["asset"], "ts_ms", "ref_ms", ["ref_close", "ref_ms"], ["ref_close"], lag_ms=lag_ms).join(base, "market_id").where("ts_ms >= from_ms")
+    now = asof(near, ref, ["asset"], "ts_ms", "ref_ms", ["ref_close", "ref_ms"], ["ref_close"], lag_ms=lag_ms, block_ms=3_600_000).join(base, "market_id").where("ts_ms >= from_ms")
     move = (F.col("ref_close") / F.col("ref_open") - 1) * 10_000
     left = _seconds_left()
     hot = now.where((left <= window_s) & (left > stop_s) & (F.abs(move) >= min_move_bps)).withColumn("side", F.when(move > 0, "UP").otherwise("DOWN"))

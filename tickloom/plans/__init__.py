@@ -1 +1 @@
-"""What a run reads and how it is identified: manifests, data planning, fingerprints."""
+"""What a run reads and how it is identified: data planning, windows, fingerprints."""

@@ -1,52 +1,16 @@
-"""Day lists, coverage windows and cadences as DataFrames, and the manifest's checks."""
+"""Day lists, coverage windows and cadences as DataFrames."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Hooks a strategy may have, and the datasets each needs.
-HOOK_DATASETS = {"on_market_open": None, "on_tick": "settlement", "on_book": "book", "on_trade": "trades", "on_settle": None, "on_timer": None}
+# The streams that prices settle on.
 SETTLEMENT_STREAMS = ["prices", "twap30s", "twap60s"]
-DAY = r"\d{4}-\d{2}-\d{2}"
-
-
-class ManifestError(ValueError):
-    """A manifest that can't run; ``code`` names the rule."""
-
-    def __init__(self, code: str, detail: str):
-        super().__init__(f"{code}: {detail}")
-        self.code = code
-
-
-def check_manifest(m: dict) -> dict:
-    """The manifest with defaults filled in; ManifestError for the first rule it breaks."""
-    if not isinstance(m.get("entry"), str) or not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", m["entry"]):
-        raise ManifestError("E_ENTRY", "entry must be an identifier")
-    hooks = m.get("hooks") or []
-    if not hooks or any(h not in HOOK_DATASETS for h in hooks):
-        raise ManifestError("E_HOOKS", "hooks must name known hooks")
-    datasets = list(dict.fromkeys(m.get("datasets") or []))
-    if "book" in datasets and "best_bid_ask" not in datasets:
-        datasets.append("best_bid_ask")
-    if missing := [HOOK_DATASETS[h] for h in hooks if HOOK_DATASETS[h] and HOOK_DATASETS[h] not in datasets]:
-        raise ManifestError("E_DATASETS", f"hooks need {missing}")
-    for key in ("from", "to"):
-        if m.get(key) is not None and not re.fullmatch(DAY, m[key]):
-            raise ManifestError("E_DAYS", f"{key} is no day")
-    if m.get("from") and m.get("to") and m["from"] > m["to"]:
-        raise ManifestError("E_DAYS", "from is after to")
-    fee = m.get("fee_bps")
-    if fee is not None and not (isinstance(fee, (int, float)) and 0 <= fee <= 10_000):
-        raise ManifestError("E_FEE", "fee_bps must lie in 0..10000")
-    if not isinstance(m.get("fill_delay_ms", 0), int) or m.get("fill_delay_ms", 0) < 0:
-        raise ManifestError("E_DELAY", "fill_delay_ms must be a whole number")
-    return {"mode": "market", "seed": 0, "params": {}, "fill_delay_ms": 0, **m, "datasets": datasets}
 
 
 def physical_datasets(datasets: Sequence[str]) -> list[str]:
