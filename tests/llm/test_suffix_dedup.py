@@ -91,7 +91,9 @@ def test_rows_that_share_a_doc_id(spark, monkeypatch):
     a, b, c = text(90), text(90), text(70)
     rows = [(7, a + c), (7, b + c), (7, a + c), (3, c), (-9, b[10:80]), (9, text(30) + a), (9, b + text(30)), (9, text(40)), (1 << 60, a), (2, "")]
     rows += [(100 + i // 2, text(30) + c[5:65] + text(20)) for i in range(40)]
-    for hot in (1024, 4):
+    far = [((1 << 63) - 1, a), (-(1 << 63), c), (5 * 10**18, b), (5 * 10**18, text(30) + c)]  # no room for a number beside such ids
+    for hot, more in ((1024, []), (4, far)):
+        rows = rows + more
         monkeypatch.setattr(s, "HOT", hot)
         got = sorted((r.doc_id, r.n_bytes, r.text_crc32, bytes(r.kept)) for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
         first = {}

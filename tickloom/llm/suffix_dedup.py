@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordering import position
+
 from .common import BASE, BYTE_CODES, U64, mix, parts, row_chunks, text_buffers
 
 LENGTH, GRAM = 50, 22
@@ -451,22 +453,26 @@ def _cut_bucket(texts: pa.Table, runs: pa.Table, schema: pa.Schema, as_text: boo
     return pa.Table.from_pydict(out, schema)
 
 
-def _with_ids(named: DataFrame) -> tuple[DataFrame, int, int]:
-    """Rows by an id that each text of a doc_id has for itself, how many ids a doc_id has, and the bytes of all texts.
+def _with_ids(named: DataFrame) -> tuple[DataFrame, int, int, DataFrame | None]:
+    """Rows by an id that each text of a doc_id has for itself, how many ids a doc_id has, the bytes of all texts, and the doc_ids by place.
 
     The id is doc_id unless several texts share one; then it is the doc_id times the most texts that
-    one has, plus the text's number.
+    one has, plus the text's number. Where that could pass 63 bits, the doc_id's place among all doc_ids stands for it, and
+    the last item has (place, doc_id); else it is None.
     """
     texts = named.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     of_text = texts.groupBy("doc_id", "h").agg(F.sum("n").alias("n"))
-    most, total = of_text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).agg(F.max("k"), F.sum("n")).first()
+    most, total, low, high = of_text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).agg(F.max("k"), F.sum("n"), F.min("doc_id"), F.max("doc_id")).first()
     m = most or 1
     if m == 1:
-        return named, 1, total or 0
+        return named, 1, total or 0, None
     numbered = of_text.select("doc_id", "h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).alias("j"))
     keyed = named.withColumn("h", F.xxhash64("text")).join(numbered, ["doc_id", "h"])
-    ids = F.when(F.abs("doc_id") < F.lit((1 << 62) // m), F.col("doc_id") * F.lit(m) + F.col("j"))
-    return keyed.select(F.coalesce(ids, F.raise_error("doc_id too large to number the texts that share one").cast("bigint")).alias("doc_id"), "text"), m, total
+    places, own = None, F.col("doc_id")
+    if max(-low, high) >= (1 << 62) // m:
+        places = position(of_text.select("doc_id").distinct(), ["doc_id"])
+        keyed, own = keyed.join(places, "doc_id"), F.col("place")
+    return keyed.select((own * F.lit(m) + F.col("j")).alias("doc_id"), "text"), m, total, places
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False, once: bool = False) -> DataFrame:
@@ -482,7 +488,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    named, m, size = _with_ids(rows.where(F.col("doc_id").isNotNull()))
+    named, m, size, places = _with_ids(rows.where(F.col("doc_id").isNotNull()))
     n = parts(spark, -(-size // BUCKET_BYTES))
     keys = _bucket_keys(spark, n)
     grams = named.mapInArrow(_sample(keys, m), ROWS).repartition(n, "bucket").mapInArrow(_rank_grams(keys, m), ROWS)
@@ -490,6 +496,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     windows = texts.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_open_contexts(keys, m), ROWS)
     runs = windows.repartition(n, "bucket").mapInArrow(_rank_open(keys, m), ROWS)
     cut = texts.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_cut(as_text, once, m), OUT + ("string" if as_text else "binary"))
+    if places is not None:
+        cut = cut.withColumnRenamed("doc_id", "place").join(places, "place").drop("place").select("doc_id", "n_bytes", "text_crc32", "spans", "kept")
     rest = rows.where(F.col("doc_id").isNull())
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return cut.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.crc32("text").alias("text_crc32"), none.alias("spans"), F.col("text").cast("string" if as_text else "binary").alias("kept")))
