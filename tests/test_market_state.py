@@ -310,3 +310,23 @@ def test_panels_of_no_rows_and_ties(spark):
     trades = spark.createDataFrame([("m", 5, 2), ("n", -7, 2), ("x", 7, 2)], "market_id string, pnl long, size int")
     meta = spark.createDataFrame([("m", "BTC", "5m"), ("n", "ETH", None)], "market_id string, asset string, interval string")
     assert [tuple(r) for r in report.split_by_market(trades, meta).orderBy("place").collect()] == [("ETH", -7, 1, 1), ("unknown", 7, 1, 2), ("BTC 5m", 5, 1, 3)]
+
+
+def test_report_bundle(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    from tickloom.sources.sinks import write_report
+
+    panel = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "bucket int, name string")
+    trades = spark.range(100).toDF("id")
+    sums = write_report(tmp_path / "r.zip", {"pnl": 1.5}, {"calibration": panel}, "first line\n", {"full": ["d1"]}, {"trades": trades}, str(tmp_path / "tables"))
+    with zipfile.ZipFile(tmp_path / "r.zip") as z:
+        assert sorted(z.namelist()) == ["calibration.csv", "coverage.json", "logs.txt", "report.json", "sha256sums.txt"]
+        assert json.loads(z.read("report.json")) == {"pnl": 1.5, "tables": {"trades": str(tmp_path / "tables") + "/trades"}} and z.read("logs.txt") == b"first line\n"
+        assert z.read("calibration.csv").decode("utf-8-sig") == 'bucket,name\n1,"a ""b"", c"\n2,\n'
+        assert all(hashlib.sha256(z.read(n)).hexdigest() == h for n, h in sums.items())
+    assert spark.read.option("header", True).csv(str(tmp_path / "tables" / "trades")).count() == 100
+    first = (tmp_path / "r.zip").read_bytes()
+    write_report(tmp_path / "r.zip", {"pnl": 1.5}, {"calibration": panel}, "first line\n", {"full": ["d1"]}, {"trades": trades}, str(tmp_path / "tables"))
+    assert (tmp_path / "r.zip").read_bytes() == first

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zipfile
 import zlib
 from collections.abc import Iterable, Sequence
@@ -47,6 +48,20 @@ def write_zip(path: str | Path, entries: Iterable[tuple[str, bytes]]) -> dict[st
     return sums
 
 
+def write_report(path: str | Path, report: dict, panels: dict[str, DataFrame], logs: str = "", coverage: dict | None = None, tables: dict[str, DataFrame] | None = None, folder: str | None = None) -> dict[str, str]:
+    """A report bundle: report.json, a CSV for each small panel (calibration, markets, equity, ...), coverage.json and logs.txt in one ZIP.
+
+    ``tables`` of any size (trades, fills) are written as folders of CSV parts below ``folder``, a path of Spark's; report.json
+    names them under ``tables``. The ZIP is the same whenever its entries are; the sums of its entries are returned.
+    """
+    where = {name: f"{folder}/{name}" for name in sorted(tables or {})}
+    for name, target in where.items():
+        write_csv(tables[name], target)
+    as_json = lambda x: (json.dumps(x, indent=2, ensure_ascii=False) + "\n").encode()
+    entries = [("report.json", as_json({**report, "tables": where} if where else report)), ("coverage.json", as_json(coverage or {})), ("logs.txt", logs.encode())]
+    return write_zip(path, [*entries, *((f"{name}.csv", panel_csv(df)) for name, df in panels.items())])
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Decoded events by day and market: one shuffle by market, each market in replay order."""
     events.repartition("day", "market_id").sortWithinPartitions("day", "market_id", "ts_ms", "rank", "seq").write.mode("overwrite").partitionBy("day").parquet(path)
