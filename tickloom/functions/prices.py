@@ -71,6 +71,13 @@ def resolved_outcome(resolved: Column, prices: Column) -> Column:
     return F.when(resolved, F.when((F.get(prices, 0) == "1") & (F.get(prices, 1) == "0"), "UP").when((F.get(prices, 0) == "0") & (F.get(prices, 1) == "1"), "DOWN"))
 
 
+def pair_outcome(prices: Column) -> Column:
+    """The outcome of a listing's two final prices: UP for 1 and 0, DOWN for 0 and 1, TIE for a half each; else null."""
+    at = lambda i: F.trim(F.get(prices, i)).try_cast("double")
+    known = (F.size(prices) == 2) & F.forall(prices, lambda x: F.trim(x).rlike(r"^(0|1|0\.5)$"))
+    return F.when(known, F.when((at(0) == 1) & (at(1) == 0), "UP").when((at(0) == 0) & (at(1) == 1), "DOWN").when((at(0) == 0.5) & (at(1) == 0.5), "TIE"))
+
+
 def fee_model(enabled: Column, rate: Column, exponent: Column) -> Column:
     """struct(model, rate): none, rate (exponent 1 alone), or unknown."""
     model = F.when(enabled == F.lit(False), "none").when(enabled & (exponent == 1) & rate.isNotNull(), "rate").otherwise("unknown")

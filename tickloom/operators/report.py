@@ -372,6 +372,13 @@ def marked_extras(trades: DataFrame) -> DataFrame:
                       F.countDistinct(F.when(marked, F.col("market_id"))).alias("marked_markets"), F.count_if(marked & (F.col("exit_ticks") == 0)).alias("zero_legs"), F.max(F.when(marked, F.col("mark_age_ms"))).alias("max_mark_age_ms"))
 
 
+def on_resolved(trades: DataFrame, markets: DataFrame, key: str = "market_id") -> DataFrame:
+    """One row: how many markets have an outcome, and the trades and pnl in those alone, to compare with baselines."""
+    resolved = markets.where("outcome IS NOT NULL").select(key).distinct()
+    own = trades.join(resolved, key, "left_semi").agg(F.count(F.lit(1)).alias("trades"), F.coalesce(F.sum("pnl"), F.lit(0)).alias("net_pnl"))
+    return resolved.agg(F.count(F.lit(1)).alias("markets")).crossJoin(own)  # one row each
+
+
 def over_budget(costs: DataFrame, key: str, order: str, cost: str, limit: float, size: int = 2000) -> DataFrame:
     """(key, at): where the mean of the last ``size`` costs, once there are so many, first exceeds ``limit``."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - size, 0)

@@ -532,6 +532,11 @@ def q_market_rows(spark, d):
     return rows_of_markets(spark, d)
 
 
+@query("q_on_resolved", "WITH " + TR + ", " + MK + " SELECT (SELECT count(*) FROM mk WHERE outcome IS NOT NULL) AS markets, count(*) AS trades, coalesce(sum(pnl), 0)::BIGINT AS net_pnl FROM tr WHERE market_id IN (SELECT market_id FROM mk WHERE outcome IS NOT NULL)")
+def q_on_resolved(spark, d):
+    return report.on_resolved(trades(spark, d), markets(spark, d))
+
+
 @query("q_by_settlement", ROWS + """, nr AS (SELECT *, CASE WHEN stream = '3' THEN 'unknown' ELSE stream END AS rule FROM mr),
 e AS (SELECT rule, (CASE WHEN t.outcome = 'TIE' THEN 5000 WHEN t.side = t.outcome THEN 10000 ELSE 0 END - t.entry_ticks)::BIGINT AS g, t.size FROM tr t JOIN nr USING (market_id) WHERE t.how = 'settled'),
 f AS (SELECT rule, sum(g * size)::DOUBLE / (sum(size) * 10000) AS edge_per_contract, sum(g)::DOUBLE / (count(*) * 10000) AS edge_per_trade FROM e GROUP BY 1)

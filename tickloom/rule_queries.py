@@ -140,18 +140,23 @@ def q_market_records(spark, d):
     return both.select("market_id", "interval", "strike", "outcome", "open_ms", "close_ms", "stream", "token_up", "token_down", "price_feed_id", F.col("fee.model").alias("fee"))
 
 
-@query("q_generic_records", """SELECT 'c' || c_custkey AS id, CASE c_custkey % 10 WHEN 1 THEN 'no market id' WHEN 2 THEN 'token_ids' WHEN 3 THEN 'token_ids' WHEN 4 THEN 'labels' WHEN 5 THEN 'labels differ' WHEN 6 THEN 'label side' WHEN 7 THEN 'trading end' WHEN 8 THEN 'fee' WHEN 9 THEN 'rules' END AS reason FROM customer""")
+@query("q_generic_records", """SELECT 'c' || c_custkey AS id, CASE c_custkey % 15 WHEN 1 THEN 'no market id' WHEN 2 THEN 'token_ids' WHEN 3 THEN 'token_ids' WHEN 4 THEN 'labels' WHEN 5 THEN 'labels differ' WHEN 6 THEN 'label side' WHEN 7 THEN 'trading end' WHEN 8 THEN 'fee' WHEN 9 THEN 'rules'
+    WHEN 10 THEN 'resolution' WHEN 11 THEN 'gamma resolution' WHEN 12 THEN 'not an object' END AS reason, CASE c_custkey % 15 WHEN 13 THEN 'explicit DOWN 1735776000000 gamma UP 1735776000000' WHEN 14 THEN 'gamma TIE 1735776000000' ELSE '' END AS evidence FROM customer""")
 def q_generic_records(spark, d):
-    """User records as JSON lines; nine of ten break one rule each."""
+    """User records as JSON lines; most break one rule each, some say how their market ended."""
     k = F.col("c_custkey").cast("string")
-    case = F.col("c_custkey") % 10
+    case = F.col("c_custkey") % 15
     market = F.when(case == 1, F.lit("")).otherwise(F.concat(F.lit('"market_id":"c'), k, F.lit('",')))
     tokens = F.when(case == 2, F.lit('["a","a"]')).when(case == 3, F.lit("[1,2]")).otherwise(F.concat(F.lit('["u'), k, F.lit('","d'), k, F.lit('"]')))
     labels = F.when(case == 4, F.lit('["Yes"," "]')).when(case == 5, F.lit('["Yes"," yes"]')).when(case == 6, F.lit('["No","Up"]')).otherwise(F.lit('["Yes","No"]'))
-    more = F.when(case == 7, F.lit(',"trading_end_ts_ms":"soon"')).when(case == 8, F.lit(',"fee":{"model":"rate","rate":1.5}')).when(case == 9, F.lit(',"tick_size":0.00015,"min_size":1')).otherwise(F.lit(""))
-    text = F.concat(F.lit("{"), market, F.lit('"token_ids":'), tokens, F.lit(',"labels":'), labels, F.lit(',"gamma":{"slug":"c'), k, F.lit('"}'), more, F.lit("}"))
+    more = (F.when(case == 7, F.lit(',"trading_end_ts_ms":"soon"')).when(case == 8, F.lit(',"fee":{"model":"rate","rate":1.5}')).when(case == 9, F.lit(',"tick_size":0.00015,"min_size":1'))
+            .when(case == 10, F.lit(',"resolution":{"outcome":"UP"}')).when(case == 13, F.lit(',"resolution":{"outcome":"DOWN","resolved_ts_ms":1735776000000}')).otherwise(F.lit("")))
+    prices = F.when(case == 11, F.lit('[\\"0.9\\",\\"0.1\\"]')).when(case == 13, F.lit('[\\"1\\",\\"0\\"]')).otherwise(F.lit('[\\"0.5\\",\\"0.5\\"]'))
+    ended = F.when(case.isin(11, 13, 14), F.concat(F.lit(',"umaResolutionStatus":"resolved","umaEndDate":"2025-01-02T00:00:00Z","outcomePrices":"'), prices, F.lit('"'))).otherwise(F.lit(""))
+    text = F.concat(F.lit("{"), market, F.lit('"token_ids":'), tokens, F.lit(',"labels":'), labels, F.lit(',"gamma":{"slug":"c'), k, F.lit('"'), ended, F.lit("}"), more, F.lit("}"))
+    text = F.when(case == 12, F.lit("[1]")).otherwise(text)
     found = decode.generic_records(spark.read.parquet(f"{d}/customer.parquet").select(text.alias("value"), F.concat(F.lit("c"), k).alias("id")), keep=["id"])
-    return found.select("id", "reason")
+    return found.select("id", "reason", F.array_join(F.transform("evidence", lambda x: F.concat_ws(" ", x.source, x.outcome, x.ts_ms.cast("string"))), " ").alias("evidence"))
 
 
 @query("q_duplicated", """SELECT 'c_mktsegment' AS "column", c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 2 HAVING count(*) > 1
