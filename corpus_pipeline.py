@@ -13,7 +13,11 @@ from tickloom.llm.common import setting, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; ``und`` and doubtful ones go. All columns stay as they are."""
+    """Documents in a language that the network knows; ``und`` and doubtful ones go. All columns stay as they are.
+
+    Null and empty texts and texts without a letter are ``und``. Rows are judged each by its text, so repeated rows stay or go
+    together; of equally likely languages the first counts. Null lang, source and doc_id don't matter; an empty table gives an empty one.
+    """
     model = language_id.fit(docs.where(~language_id.held_out()))
     return language_id.identify(docs, model).where(language_id.accepted()).select(*docs.columns)
 
@@ -43,13 +47,19 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item; null and empty texts hold none, and equal texts stay or go together.
+
+    Test items without id or text are never found. Empty tables on either side are allowed.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.with_leaks(docs, items).where(F.size("leaks") == 0).select(*docs.columns)
+    return decontaminate.without_leaks(docs, items)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document; ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every document; ids as little-endian unsigned 32-bit integers.
+
+    A null text is empty and has no ids; repeated rows and rows without doc_id give a row each; an empty table gives none.
+    """
     encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return byte_bpe.digests(encoded, "ids")
 

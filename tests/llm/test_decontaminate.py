@@ -57,14 +57,16 @@ def test_leaks(spark, monkeypatch):
             s = plain(a, b) if set(a) & set(b) else 0
             if s >= max(0.5 * len(a), min(8, len(a))):
                 want[i, k] = s / len(a)
-    for block_words in (2_000_000, 200):
-        out = d.with_leaks(df, bench, block_words).collect()
+    for bits in (1 << 26, 64):  # a bitmap that tells nothing apart loses nothing
+        monkeypatch.setattr(d, "BITS", bits)
+        out = d.with_leaks(df, bench).collect()
         assert len(out) == len(rows)
         got = {(r.doc_id, x.item_id): x.score for r in out for x in r.leaks}
         missed = {k for k in want if k not in got}
         assert len(missed) <= 0.02 * len(want) and all(want[k] < 0.75 for k in missed), missed  # an edit in every three words leaves no seed
         assert all(abs(got[k] - want[k]) < 1e-9 for k in got if want.get(k, 0) >= 0.5) and set(got) <= set(want)
-    assert d.with_leaks(df.limit(0), bench).count() == 0
+    assert sorted(str(r.doc_id) for r in d.without_leaks(df, bench).collect()) == sorted(str(r.doc_id) for r in out if not r.leaks)
+    assert d.with_leaks(df.limit(0), bench).count() == 0 and d.without_leaks(df, bench.limit(0)).count() == len(rows)
     assert all(r.leaks == [] for r in d.with_leaks(df, bench.limit(0)).collect())
 
 
