@@ -318,7 +318,7 @@ def _sided(spark, d):
 
 
 @query("q_opening_book", SIDES + """, c AS (SELECT k.book_id, k.seq AS "at", s.side, s.ticks, s.n, s.seq, s.snapshot, row_number() OVER (PARTITION BY k.book_id, k.seq, s.side, s.ticks ORDER BY s.seq DESC) AS rn, max(CASE WHEN s.snapshot THEN s.seq END) OVER (PARTITION BY k.book_id, k.seq, s.side) AS snap
-    FROM s0 k JOIN s0 s ON s.book_id = k.book_id AND s.seq <= k.seq AND s.ladder = 'asks' WHERE k.seq <= 60),
+    FROM s0 k JOIN s0 s ON s.book_id = k.book_id AND s.seq <= k.seq AND s.ladder = 'asks'),
 b AS (SELECT book_id, "at", min(ticks) FILTER (WHERE side = 'UP') AS up_ticks, min(ticks) FILTER (WHERE side = 'DOWN') AS down_ticks FROM c WHERE rn = 1 AND n > 0 AND (snap IS NULL OR seq >= snap) GROUP BY 1, 2)
 SELECT book_id, min("at") AS "at", arg_min(up_ticks, "at") AS up_ticks, arg_min(down_ticks, "at") AS down_ticks FROM b WHERE up_ticks IS NOT NULL AND down_ticks IS NOT NULL GROUP BY 1""")
 def q_opening_book(spark, d):
