@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 from .common import BASE, U64, Scratch, mix, row_chunks, shingles, text_buffers, word_hashes
 from .graph import components
 
-#: Two of 100 words with ten scattered substitutions (0.818) agree on a sketch of 2 ordered k-mers with a chance of 0.99.
-WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 32, 2, 0.8
+#: Two of 100 words with 20 scattered substitutions (0.8) agree on one of 80 sketches of 2 ordered k-mers with a chance of 0.92.
+WORDS, SKETCHES, ORDERED, SIMILARITY = 5, 80, 2, 0.8
+#: Texts of at most SHORT words meet by what is left when words are deleted, those of at most BRIEF also by sketches of shorter k-mers.
+SHORT, BRIEF, BRIEF_WORDS, BRIEF_SKETCHES = 15, 40, 3, 48
 #: Rounds in which each bucket's texts are aligned with one of them.
 ROUNDS = 2
-#: 64-bit words of the bitmap that bounds from below in how many words two texts differ.
-BITMAP = 16
-BITS = [f"b{i}" for i in range(BITMAP)]
+#: Bits of the bitmap that bounds from below in how many words two texts differ: a power of two, twice as many as words, within these.
+LEAST_BITS, MOST_BITS = 256, 16_384
 MISSING = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -68,18 +70,55 @@ def _sketch(words: np.ndarray, starts: np.ndarray, k: int, sketches: int, ordere
     return out
 
 
-def sketches(docs: DataFrame, k: int = WORDS, count: int = SKETCHES, ordered: int = ORDERED) -> DataFrame:
-    """(doc_id, same, n, sketch) of every row: a digest of its words, how many, and its sketches; no words, no digest."""
+def _left_over(words: np.ndarray, least: float) -> np.ndarray:
+    """A row of names for each row of ``words``: of the words that are left when each few of them are deleted.
+
+    So many are deleted as may be unaligned. Two texts that align to ``least`` have their aligned words in common, which
+    are what is left of both; and texts that have a name in common align to it.
+    """
+    n = words.shape[1]
+    out = []
+    for gone in range(int(n * (1 - least) + 1e-9) + 1):
+        kept = np.array(list(itertools.combinations(range(n), n - gone)), np.int64)
+        value = np.full((len(words), len(kept)), U64(n - gone))
+        for i in range(n - gone):
+            value = value * BASE + words[:, kept[:, i]]
+        out.append(mix(value + BASE))
+    return np.concatenate(out, axis=1)
+
+
+def _cells(words: np.ndarray, starts: np.ndarray, k: int, count: int, ordered: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """What each row meets others by, and how many of them: sketches, and for short rows more."""
+    n = np.diff(starts)
+    parts = [(np.repeat(np.arange(len(n)), count), _sketch(words, starts, k, count, ordered).ravel())]
+    brief = np.flatnonzero((n > 0) & (n <= BRIEF))
+    if len(brief):
+        own = np.concatenate([words[starts[i] : starts[i + 1]] for i in brief])
+        few = _sketch(own, np.concatenate([[0], np.cumsum(n[brief])]), BRIEF_WORDS, BRIEF_SKETCHES, ordered)
+        parts.append((np.repeat(brief, BRIEF_SKETCHES), mix(few + BASE).ravel()))
+    for size in range(1, SHORT + 1):
+        rows = np.flatnonzero(n == size)
+        for low in range(0, len(rows), 256):
+            some = rows[low : low + 256]
+            names = _left_over(words[starts[some][:, None] + np.arange(size)[None, :]], least)
+            parts.append((np.repeat(some, names.shape[1]), names.ravel()))
+    row, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(row, kind="stable")
+    return value[order], np.bincount(row, minlength=len(n))
+
+
+def sketches(docs: DataFrame, k: int = WORDS, count: int = SKETCHES, ordered: int = ORDERED, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, same, n, sketch) of every row: a digest of its words, how many, and what it meets others by; no words, no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(pc.utf8_lower(batch.column(1)))
             for low, high in row_chunks(offsets):
                 words, starts = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                sketch = _sketch(words, starts, k, count, ordered)
+                cells, sizes = _cells(words, starts, k, count, ordered, least)
                 n = np.diff(starts)
                 digest = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * count + 1, count, dtype=np.int32)), pa.array(sketch.view(np.int64).ravel()))
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(cells.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(digest, pa.string()), pa.array(n.astype(np.int32)), values], names=["doc_id", "same", "n", "sketch"])
 
     return docs.mapInArrow(run, "doc_id bigint, same string, n int, sketch array<bigint>")
@@ -100,7 +139,7 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned words over all words of both texts, in the best alignment within the band that ``least`` leaves; 0 if below ``least``.
+    """Aligned words over the longer text's words, in the best alignment within the band that ``least`` leaves; 0 if below ``least``.
 
     For that many words to align, no aligned pair can lie further off the diagonal than the longer
     text has words over. Rows of the band are the bits of one integer.
@@ -115,7 +154,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     tail = int(differ[0]) if len(differ) else short - head
     common = head + tail
     a, b = a[head : na - tail], b[head : nb - tail]
-    enough = least * (na + nb) / (1 + least)
+    enough = least * n
     if len(a) and len(b):
         if enough > common:  # no alignment has more pairs than the texts have words in common
             x, nx = np.unique(a, return_counts=True)
@@ -136,8 +175,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
                 u = row & hit
                 row = ((row + u) | (row - u)) & full
         common += len(a) - row.bit_count()
-    value = common / (na + nb - common)
-    return value if value >= least else 0.0
+    return common / n if common >= enough - 1e-9 else 0.0
 
 
 def verify(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -163,8 +201,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, class_id) of every row: the smallest doc_id among the texts it is linked to.
 
     Words are runs of letters and digits in lower case; texts of equal words are one class. Two
-    texts are linked if they agree on a sketch and the words that align are at least ``least`` of all
-    words of both, each aligned pair counted once. Rows without words (null and empty texts too) and
+    texts are linked if they agree on a sketch and the words that align are at least ``least`` of the
+    longer text's. Texts of at most SHORT words that align so always meet. Rows without words (null and empty texts too) and
     rows without doc_id are a class by themselves. Rows that share a doc_id are one document: the
     classes of their texts are one.
 
@@ -176,12 +214,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     scratch = Scratch(docs.sparkSession, "order-minhash")
-    all_rows = scratch.write(sketches(rows, k, count, ordered))
+    all_rows = scratch.write(sketches(rows, k, count, ordered, least))
     with_words = all_rows.where("doc_id IS NOT NULL AND same IS NOT NULL")
     texts = with_words.groupBy("same").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("t")).select("same", "t.*")
     cells = texts.select("doc_id", "n", F.explode("sketch").alias("s"))
     several = cells.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = F.sum("size").over(Window.partitionBy("doc_id"))  # a window of at most ``count`` rows
+    met = F.sum("size").over(Window.partitionBy("doc_id"))  # a window of one text's rows, some hundreds at most
     members = scratch.write(cells.join(several, "s").withColumn("met", met).drop("size"))
     words = scratch.write(_words(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi")))
 
@@ -232,46 +270,54 @@ def _still_apart(cells: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _bitmaps(words: DataFrame) -> DataFrame:
-    """(doc_id, n, b0, b1, ...): how many words a text has and a bitmap of them.
+    """(doc_id, n, map, half): how many words a text has, a bitmap of them, and the one of half as many bits.
 
     Each word, with how often it came before, flips one bit. So the bits in which two bitmaps differ
-    are no more than the words, occurrences counted, that only one of the texts has.
+    are no more than the words, occurrences counted, that only one of the texts has. A bitmap's upper half
+    laid over its lower one is the bitmap of half as many bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = np.zeros((batch.num_rows, BITMAP), U64)
-            counts = np.zeros(batch.num_rows, np.int32)
-            for i, text in enumerate(batch.column("words")):
+            counts, maps, halves = [], [], []
+            for text in batch.column("words"):
                 w = np.sort(np.frombuffer(text.as_py(), "<u4")).astype(U64)
                 place = np.arange(len(w))
-                first = np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0)
+                first = np.where(np.concatenate([[True], w[1:] != w[:-1]]), place, 0)[: len(w)]
                 value = mix(w * BASE + (place - np.maximum.accumulate(first)).astype(U64))
-                odd = np.bincount((value % U64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
-                maps[i], counts[i] = np.packbits(odd.astype(bool)).view("<u8"), len(w)
-            bits = (pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(BITMAP))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), *bits], names=["doc_id", "n", *BITS])
+                bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(w) - 1).bit_length())) if len(w) else LEAST_BITS
+                odd = np.packbits((np.bincount((value % U64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).view("<i8")
+                counts.append(len(w))
+                maps.append(odd)
+                halves.append(odd[: len(odd) // 2] ^ odd[len(odd) // 2 :])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(maps, kind), pa.array(halves, kind)], names=["doc_id", "n", "map", "half"])
 
-    return words.select("doc_id", "words").mapInArrow(run, "doc_id bigint, n int, " + ", ".join(f"{b} bigint" for b in BITS))
+    return words.select("doc_id", "words").mapInArrow(run, "doc_id bigint, n int, map array<bigint>, half array<bigint>")
 
 
 def may_align(cells: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(a, b): the texts of one bucket of ``cells`` (s, doc_id, met, root) with different roots that may align to ``least``.
 
-    Words that align are common to both, and at least least / (1 + least) of na + nb. So lengths
-    bound the pairs, and bitmaps differ in at most (1 - least) / (1 + least) of na + nb bits; neither
-    loses one. In each bucket only texts outside the class of the one that meets most look for others, so
-    a large class costs no pairs within itself.
+    Words that align are common to both, and at least ``least`` of the longer text's. So lengths
+    bound the pairs, and bitmaps differ in at most all words but twice as many bits; neither
+    loses one. Texts whose lengths fit have bitmaps of equal size, or one of twice the other's. In each bucket only
+    texts outside the class of the one that meets most look for others, so a large class costs no pairs within itself.
+    Texts that share several buckets are a pair in the first of them alone.
     """
-    share = (1 - least) / (1 + least)
-    marked = cells.select("s", "doc_id", "root").join(_bitmaps(words.join(cells.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
+    own = cells.groupBy("doc_id").agg(F.collect_list("s").alias("own"))
+    marked = cells.select("s", "doc_id", "root").join(_bitmaps(words.join(own.select("doc_id"), "doc_id", "left_semi")), "doc_id").join(own, "doc_id")
+    marked = marked.withColumn("own", F.filter("own", lambda x: x < F.col("s")))
     base = cells.groupBy("s").agg(F.max_by("root", F.struct("met", "doc_id")).alias("base"))
     all_texts = marked.join(base, "s")
     one, two = all_texts.where("root <> base").alias("one"), all_texts.alias("two")
     once = (F.col("two.root") == F.col("two.base")) | (F.col("one.doc_id") < F.col("two.doc_id"))
-    differ = sum((F.bit_count(F.col(f"one.{b}").bitwiseXOR(F.col(f"two.{b}"))) for b in BITS), F.lit(0))
-    near = differ <= (F.col("one.n") + F.col("two.n")) * F.lit(share) + F.lit(1e-6)
-    pairs = one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.root") != F.col("two.root")) & once & _fits("one.n", "two.n", least) & near)
+    size = lambda c: F.size(f"{c}.map")
+    x = F.when(size("one") > size("two"), F.col("one.half")).otherwise(F.col("one.map"))
+    y = F.when(size("two") > size("one"), F.col("two.half")).otherwise(F.col("two.map"))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    near = differ <= F.col("one.n") + F.col("two.n") - F.lit(2 * least) * F.greatest("one.n", "two.n") + F.lit(1e-6)
+    pairs = one.join(two, (F.col("one.s") == F.col("two.s")) & (F.col("one.root") != F.col("two.root")) & once & _fits("one.n", "two.n", least) & near & ~F.arrays_overlap("one.own", "two.own"))
     return pairs.select(F.least("one.doc_id", "two.doc_id").alias("a"), F.greatest("one.doc_id", "two.doc_id").alias("b")).distinct()
 
 
