@@ -67,6 +67,29 @@ def test_orc_ids_equal_the_library(spark):
     assert document_index(spark, empty).count() == 0
 
 
+def test_orc_index_reads_the_ids_once_in_small_batches(spark, monkeypatch):
+    import public_tokenizers as P
+
+    import tickloom.llm.orc_tokens as o
+    from tickloom.llm.common import shared_path
+
+    path, seen = shared_path(spark, "orc-batches"), []
+    monkeypatch.setattr(o, "BATCH_ROWS", 3)
+    before, put = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), getattr(o, "written", None)
+
+    def digests(df, name):
+        seen.append((spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), name))
+        return put(df, name)
+
+    monkeypatch.setattr(o, "written", digests, raising=False)
+    o.write_orc(docs(spark, ODD), path, P.path("word_bpe_49k.json"))
+    index = o.document_index(spark, path)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and " orc " not in plan  # the ids were read at the call, and only their digests are left
+    assert seen == [("3", "orc-index")] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert index.count() == len(ODD)
+
+
 def test_orc_special_tokens_count_in_their_case():
     import public_tokenizers as P
     import pyarrow as pa

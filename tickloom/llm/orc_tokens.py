@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts, row_chunks, setting, shared_path, text_buffers
+from .common import parts, row_chunks, setting, shared_path, text_buffers, written
 
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SLICE_BYTES = 4 << 20
-#: Texts that go to a Python worker at once, so that a few long ones don't fill it.
+#: Rows that go to a Python worker at once, so that a few long ones fill neither it nor the JVM's buffers.
 BATCH_ROWS = 2000
 SYMBOLS = ".,;:!?*#$%&+-=()[]{}/"
 #: The parts of a tokenizer file with which a text's words can be encoded one by one.
@@ -202,7 +202,8 @@ def document_index(spark: SparkSession, path: str, kind: str = "bigint") -> Data
     """Per document of the files below ``path``: start, n_tokens and the crc32 of its ids.
 
     The files follow one another in doc_id order, so ``start`` is a prefix sum in two levels: over
-    the files, of which only the totals meet, and within each file, in the order of write_orc.
+    the files, of which only the totals meet, and within each file, in the order of write_orc. The
+    files are read at the call, BATCH_ROWS rows at a time.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,8 @@ def document_index(spark: SparkSession, path: str, kind: str = "bigint") -> Data
 
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("_file")
     rows = read_orc(spark, path, kind).select("doc_id", "ids", part).mapInArrow(digest, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, _file int")
-    rows = rows.repartition(parts(spark), "_file")  # one exchange, which both branches below read
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
+        rows = written(rows, "orc-index")  # the ids are read once, and the digests by both branches below
     totals = rows.groupBy("_file").agg(F.sum("n_tokens").alias("n"))
     totals = totals.select("_file", (F.sum("n").over(Window.orderBy("_file")) - F.col("n")).alias("_before"))
     order = Window.partitionBy("_file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
