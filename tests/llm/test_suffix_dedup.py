@@ -127,3 +127,62 @@ def test_contexts_do_not_depend_on_slices(monkeypatch):
         assert set(cut) == uncut
         whole[shift] = uncut
     assert len(set(map(frozenset, whole.values()))) > 1
+
+
+def test_memory_of_round_two():
+    """Places beyond one piece are named a piece at a time, hot ones as well, and those of a document settle as before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import tickloom.llm.suffix_dedup as s
+
+    rng = np.random.default_rng(9)
+    keys, n = np.arange(4), 30_000
+    text = rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 31 * n // 2)
+    at = np.arange(n // 2, dtype="<u4") * 30 + 100
+    at = at[at + 100 < len(text)]
+    texts = pa.table({"blob": pa.array([_packed([(1, text), (2, text)])], pa.binary())})
+    doc, place = np.repeat(np.array([1, 2], "<i8"), len(at)), np.tile(at, 2)
+    peaks, rows = {}, {}
+    for kind in (s.OPEN, s.OPEN_HOT):
+        flags = pa.table({"kind": pa.array([kind], pa.int8()), "blob": pa.array([s._pack(doc, place)], pa.binary())})
+        tracemalloc.start()
+        rows[kind] = s._open_contexts(keys, 1)((pa.scalar(0),), texts, flags)
+        peaks[kind] = tracemalloc.get_traced_memory()[1] / len(doc)
+        tracemalloc.stop()
+    windows = [s._unpack(b, "<u8", "<u8", "<i8", "<u4") for k, b in zip(rows[s.OPEN_HOT]["kind"].to_pylist(), rows[s.OPEN_HOT]["blob"].to_pylist(), strict=True) if k == s.WINDOW]
+    assert {int(d) for w in windows for d in w[2]} == {1}  # all of the second document settle in the bucket
+    covered = np.zeros(len(text), bool)
+    for b in (b for k, b in zip(rows[s.OPEN_HOT]["kind"].to_pylist(), rows[s.OPEN_HOT]["blob"].to_pylist(), strict=True) if k == s.SETTLED):
+        docs, starts, _ = s._unpack(b, "<i8", "<u4", "<u4")
+        assert set(docs.tolist()) == {2}
+        covered[starts] = True
+    assert covered[np.unique(at[:, None].astype(int) - s.SPAN + np.arange(s.SPAN + 1))].all()
+    tracemalloc.start()
+    done = list(s._rank_open(keys, 1)(iter(rows[s.OPEN].to_batches())))
+    peaks["rank"] = tracemalloc.get_traced_memory()[1] / len(doc)
+    tracemalloc.stop()
+    assert {int(d) for b in done for x in b.column(2).to_pylist() for d in s._unpack(x, "<i8", "<u4", "<u4")[0]} == {2}
+    assert peaks[s.OPEN] < 1200 and peaks["rank"] < 2000 and peaks[s.OPEN_HOT] < 4000, peaks  # bytes a place
+
+
+def _packed(rows):
+    import zstandard
+
+    raw = np.array([d for d, _ in rows], "<i8").tobytes() + np.array([len(t) for _, t in rows], "<u4").tobytes() + b"".join(t.tobytes() for _, t in rows)
+    return len(rows).to_bytes(8, "little") + zstandard.compress(raw, 1)
+
+
+def test_memory_of_sampling():
+    """A long text is sampled in slices whose hashes stay small."""
+    import tracemalloc
+
+    import tickloom.llm.suffix_dedup as s
+
+    data = np.random.default_rng(10).integers(97, 105, 3 << 20).astype(np.uint8)
+    tracemalloc.start()
+    places = sum(len(p[0]) for p in s._text_places(data, np.array([0, len(data)]), np.array([1])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places > len(data) // 20 and peak < 60 << 20, peak

@@ -36,9 +36,10 @@ LENGTH, GRAM = 50, 22
 SPAN = LENGTH - GRAM  # a window's last gram starts so far after its first
 AROUND = LENGTH + SPAN  # bytes of all windows that hold a gram
 HOT = 1024  # a gram with more unsettled places than this has its windows dealt one by one
-BUCKET_BYTES = 128 << 20  # of text, at most, on average, where the session's partitions are fewer
-SLICE = 4 << 20  # a longer text is sampled in slices
-ANCHORS = 1 << 21  # sampled positions that a task holds before it passes them on
+BUCKET_BYTES = 32 << 20  # of text, at most, on average, where the session's partitions are fewer
+SLICE = 1 << 18  # bytes of text sampled at once; a longer text is sampled in slices
+ANCHORS = 1 << 19  # sampled positions that a task holds before it passes them on
+PIECE = 1 << 13  # places whose windows are named at once
 SETTLED, OPEN, OPEN_HOT, CONTEXT, WINDOW = 1, 2, 3, 4, 5
 ROWS = "kind tinyint, bucket int, blob binary"
 ROW_SCHEMA = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("blob", pa.binary())])
@@ -154,7 +155,7 @@ def _text_places(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> Ite
     The context names the bytes of all windows around the gram. At the edge of a text it is made
     from what is there. A slice of a long text has SPAN more bytes on both sides, for contexts alone.
     """
-    for low, high in row_chunks(offsets):
+    for low, high in row_chunks(offsets, SLICE):
         size = offsets[high] - offsets[low]
         if high - low == 1 and size > SLICE:
             cuts = [(max(x - SPAN, 0), min(x + SLICE + LENGTH + SPAN, size), x) for x in range(0, size, SLICE)]
@@ -295,6 +296,15 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], ends[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(ends) - 1]])]
 
 
+def _grams_of(around: np.ndarray) -> np.ndarray:
+    """The gram of each row of AROUND bytes."""
+    out = [np.zeros(0, U64)]
+    for low in range(0, len(around), PIECE):
+        own = np.ascontiguousarray(around[low : low + PIECE, SPAN : SPAN + GRAM])
+        out.append(gram_names(own.reshape(-1))[::GRAM])
+    return np.concatenate(out)
+
+
 def _window_names(around: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Names of the SPAN + 1 windows of each row of AROUND bytes, with the gram and the place in the window."""
     flat = gram_names(np.ascontiguousarray(around).reshape(-1), LENGTH)
@@ -318,6 +328,33 @@ def _rank_windows(names: np.ndarray, grams: np.ndarray, docs: np.ndarray, m: int
     return later
 
 
+def _hot_windows(around: np.ndarray, gram: np.ndarray, doc: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray, m: int) -> tuple[tuple, tuple]:
+    """The windows around hot places of a bucket, by names: (doc, start) of those that an earlier document of it has, and the rest once each as (names, first gram, doc, start).
+
+    Places of one gram stand together, so most of their windows settle in the piece that names them.
+    """
+    order = np.argsort(gram, kind="stable")
+    settled, left = [], []
+    for low in range(0, len(order), PIECE):
+        some = order[low : low + PIECE]
+        whole = _whole(before[some], after[some])
+        names = _window_names(around[some], gram[some])[whole]
+        docs = np.repeat(doc[some], whole.sum(1))
+        starts = (at[some].astype(np.int64)[:, None] - SPAN + np.arange(SPAN + 1)[None, :])[whole].astype("<u4")
+        # A window is dealt and compared by its two names whatever gram led to it, so its gram is the one it starts with.
+        first = gram_names(around[some].reshape(-1))[np.arange(len(some))[:, None] * AROUND + np.arange(SPAN + 1)[None, :]][whole]
+        later = _rank_windows(names, first, docs, m)
+        settled.append((docs[later], starts[later]))
+        left.append(tuple(x[~later] for x in (names, first, docs, starts)))
+    names, first, docs, starts = (np.concatenate(x) for x in zip(*left, strict=True))
+    later = _rank_windows(names, first, docs, m)
+    settled.append((docs[later], starts[later]))
+    rest = np.flatnonzero(~later)
+    rest = rest[np.lexsort((starts[rest], docs[rest], first[rest], names[rest]))]
+    rest = rest[_groups(names[rest], first[rest], docs[rest], starts[rest])]
+    return tuple(np.concatenate(x) for x in zip(*settled, strict=True)), (names[rest], first[rest], docs[rest], starts[rest])
+
+
 def _open_contexts(keys: np.ndarray, m: int):
     """The documents' side of round 2: bytes around open grams; settled places become runs."""
 
@@ -359,21 +396,14 @@ def _open_contexts(keys: np.ndarray, m: int):
             if not some:
                 continue
             doc, at, before, after, around = (np.concatenate(x) for x in zip(*some, strict=True))
-            gram = gram_names(np.ascontiguousarray(around).reshape(-1))[np.arange(len(around)) * AROUND + SPAN]
+            some.clear()
+            gram = _grams_of(around)
             if k == OPEN:
                 out += _deal(CONTEXT, _gram_bucket(gram, keys), doc, at, before, after, around)
             else:
-                whole = _whole(before, after)
-                names = _window_names(around, gram)[whole]
-                docs = np.repeat(doc, whole.sum(1))
-                starts = (at.astype(np.int64)[:, None] - SPAN + np.arange(SPAN + 1)[None, :])[whole].astype("<u4")
-                # A window is dealt and compared by its two names whatever gram led to it, so its gram is the one it starts with.
-                first = gram_names(np.ascontiguousarray(around).reshape(-1))[np.arange(len(around))[:, None] * AROUND + np.arange(SPAN + 1)[None, :]][whole]
-                later = _rank_windows(names, first, docs, m)
-                out += _deal(SETTLED, np.full(int(later.sum()), bucket), docs[later], starts[later], starts[later] + np.uint32(LENGTH))
-                _, once = np.unique(np.stack([names, docs.view(U64), starts.astype(U64)])[:, ~later], axis=1, return_index=True) if (~later).any() else (None, np.zeros(0, np.int64))
-                keep = np.flatnonzero(~later)[once]
-                out += _deal(WINDOW, _gram_bucket(names[keep], keys), names[keep].astype("<u8"), first[keep].astype("<u8"), docs[keep], starts[keep])
+                (docs, starts), (names, first, own, begin) = _hot_windows(around, gram, doc, at, before, after, m)
+                out += _deal(SETTLED, np.full(len(docs), bucket), docs, starts, starts + np.uint32(LENGTH))
+                out += _deal(WINDOW, _gram_bucket(names, keys), names.astype("<u8"), first.astype("<u8"), own, begin)
         return pa.Table.from_batches(out, ROW_SCHEMA)
 
     return run
@@ -389,14 +419,14 @@ def _rank_open(keys: np.ndarray, m: int):
         found = []
         if contexts:
             doc, at, before, after, around = _gather(contexts, "<i8", "<u4", "u1", "u1", f"({AROUND},)u1")
-            gram = gram_names(np.ascontiguousarray(around).reshape(-1))[np.arange(len(around)) * AROUND + SPAN]
+            contexts.clear()
+            gram = _grams_of(around)
             order = np.argsort(gram, kind="stable")
-            doc, at, before, after, around, gram = (x[order] for x in (doc, at, before, after, around, gram))
-            starts = np.flatnonzero(_groups(gram))
+            starts = np.flatnonzero(_groups(gram[order]))
             low = 0
             while low < len(gram):  # whole gram groups, some at a time
-                high = int(starts[np.searchsorted(starts, low + 20_000)]) if low + 20_000 < (starts[-1] if len(starts) else 0) else len(gram)
-                part = slice(low, high)
+                high = int(starts[np.searchsorted(starts, low + PIECE)]) if low + PIECE < (starts[-1] if len(starts) else 0) else len(gram)
+                part = order[low:high]
                 whole = _whole(before[part], after[part])
                 names = _window_names(around[part], gram[part])[whole]
                 docs, grams = np.repeat(doc[part], whole.sum(1)), np.repeat(gram[part], whole.sum(1))
