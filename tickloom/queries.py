@@ -278,9 +278,10 @@ bk AS (SELECT * FROM a0 WHERE NOT EXISTS (SELECT 1 FROM bd WHERE bd.book_id = a0
 """
 
 
-def _spans(spark, d):
-    bounds = lines(spark, d).where("flag = 'R'").select("book_id", "ladder", "ticks", "ts_ms")
-    return book.level_spans(lines(spark, d).withColumn("size", F.col("size") - 2), ["book_id"], ORDER, bounds)
+def _spans(spark, d, asked):
+    changes = book.only_asked(lines(spark, d), asked, ["book_id"])
+    bounds = changes.where("flag = 'R'").select("book_id", "ladder", "ticks", "ts_ms")
+    return book.level_spans(changes.withColumn("size", F.col("size") - 2), ["book_id"], ORDER, bounds)
 
 
 def _timed_orders(spark, d):
@@ -293,8 +294,9 @@ def _timed_orders(spark, d):
     coalesce(sum(size) FILTER (WHERE ladder = 'asks' AND (limit_ticks IS NULL OR ticks <= limit_ticks)), 0)::BIGINT AS ask_depth, coalesce(sum(size) FILTER (WHERE ladder = 'bids' AND (limit_ticks IS NULL OR ticks >= limit_ticks)), 0)::BIGINT AS bid_depth FROM bk GROUP BY 1""")
 def q_book_at(spark, d):
     """Best prices, their age and the depth to a bound of each order's book at the order's time."""
-    met = book.book_at(_timed_orders(spark, d), _spans(spark, d), ["book_id"], "at_ms")
-    return book.quotes(met, ["order_id"], F.col("limit_ticks"))
+    o = _timed_orders(spark, d)
+    met = book.book_at(o, _spans(spark, d, o), ["book_id"], "at_ms")
+    return book.quotes(met, ["book_id", "at_ms", "order_id"], F.col("limit_ticks")).drop("book_id", "at_ms")
 
 
 @query("q_fill_at_time", AT + """, mt AS (SELECT *, CASE WHEN reduce_only THEN -ticks ELSE ticks END AS cost, CASE WHEN reduce_only THEN -limit_ticks ELSE limit_ticks END AS cap FROM bk WHERE ladder = CASE WHEN reduce_only THEN 'bids' ELSE 'asks' END),
@@ -304,7 +306,8 @@ k AS (SELECT od.order_id, f, nt, q, wo, n, NOT fok OR coalesce(f >= qty, false)
 SELECT order_id, CASE WHEN keep THEN coalesce(f, 0) ELSE 0 END AS filled, CASE WHEN keep THEN coalesce(nt, 0) ELSE 0 END AS notional_ticks, CASE WHEN keep THEN q END AS quoted_ticks, CASE WHEN keep THEN wo END AS worst_ticks, CASE WHEN keep THEN coalesce(n, 0) ELSE 0 END AS levels_walked FROM k""")
 def q_fill_at_time(spark, d):
     """Each order by itself against the book that stands at its time; some reduce, some are all or none, some have no limit."""
-    out = book.fills_at(_timed_orders(spark, d), _spans(spark, d), ["book_id"], "at_ms")
+    o = _timed_orders(spark, d)
+    out = book.fills_at(o, _spans(spark, d, o), ["book_id"], "at_ms")
     return out.select("order_id", "filled", "notional_ticks", "quoted_ticks", "worst_ticks", "levels_walked")
 
 
